@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spurline.llm import urls
+from spurline.llm import exact, urls
 from spurline.llm.common import table
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+OP6_SQL = """
+with bare as (
+  select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) as text_sha256
+  from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
+  row_number() over w = 1 as kept, text_sha256
+from bare window w as (partition by text_sha256 order by points desc, doc_id nulls last rows between unbounded preceding and unbounded following)
+"""
+
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -34,8 +47,8 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_url_filter": op8_url_filter}
+    return {"op6_exact_dedup": op6_exact_dedup, "op8_url_filter": op8_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
