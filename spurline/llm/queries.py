@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spurline.llm import exact, urls
+from spurline.llm import exact, mixing, urls
 from spurline.llm.common import table
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,16 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 """
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup, "op8_url_filter": op8_url_filter}
+    return {
+        "op6_exact_dedup": op6_exact_dedup,
+        "op8_url_filter": op8_url_filter,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
