@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spurline.llm import exact, mixing, urls
+from spurline.llm import exact, mixing, pieces, urls
 from spurline.llm.common import table
 
+def tokenizer_model() -> bytes:
+    """The 32k-piece model of the installed public tokenizers."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
+def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
+    """Encodes and decodes docs; n_tokens and the digests stand for ids and decoded text."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.decode(pieces.encode(docs, model), model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_model())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
@@ -52,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sentencepiece": op3_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_url_filter": op8_url_filter,
         "op10_source_mix": op10_source_mix,
