@@ -8,9 +8,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, mixing, pieces, urls
+from spurline.llm import exact, mixing, pieces, quality, urls
 from spurline.llm.common import table
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out))
+    return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tokenizer_model() -> bytes:
     """The 32k-piece model of the installed public tokenizers."""
     import public_tokenizers
@@ -73,6 +80,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op3_sentencepiece": op3_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_url_filter": op8_url_filter,
