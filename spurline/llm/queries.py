@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, mixing, pieces, quality, urls
+from spurline.llm import exact, language, mixing, pieces, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,17 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from bare window w as (partition by text_sha256 order by points desc, doc_id nulls last rows between unbounded preceding and unbounded following)
 """
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages, with likelihoods fitted to the declared languages of documents."""
+    docs, pages, carry = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), ("doc_id", "page_id")
+    columns = [*carry, "text", "is_page", "declared", "host"]
+    both = (
+        language.from_documents(docs.select("doc_id", "text", "lang", "source")).withColumn("page_id", F.lit(None).cast("long")).select(columns)
+        .unionByName(language.from_pages(pages.select("page_id", "url", "html")).withColumn("doc_id", F.lit(None).cast("long")).select(columns))
+    )
+    return language.identify(both, language.fit(docs), carry=carry)
+
+
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -83,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_sentencepiece": op3_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
         "op10_source_mix": op10_source_mix,
     }
