@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, mixing, pieces, quality, urls
+from spurline.llm import exact, language, mixing, pages, pieces, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_model())
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
@@ -52,11 +57,11 @@ from bare window w as (partition by text_sha256 order by points desc, doc_id nul
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages, with likelihoods fitted to the declared languages of documents."""
-    docs, pages, carry = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), ("doc_id", "page_id")
+    docs, web, carry = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), ("doc_id", "page_id")
     columns = [*carry, "text", "is_page", "declared", "host"]
     both = (
         language.from_documents(docs.select("doc_id", "text", "lang", "source")).withColumn("page_id", F.lit(None).cast("long")).select(columns)
-        .unionByName(language.from_pages(pages.select("page_id", "url", "html")).withColumn("doc_id", F.lit(None).cast("long")).select(columns))
+        .unionByName(language.from_pages(web.select("page_id", "url", "html")).withColumn("doc_id", F.lit(None).cast("long")).select(columns))
     )
     return language.identify(both, language.fit(docs), carry=carry)
 
@@ -65,8 +70,8 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+    web = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(web, urls.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP8_SQL = """
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_html_text": op4_html_text,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
