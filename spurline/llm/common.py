@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +42,26 @@ def absent_as_null(df: DataFrame, **types: str) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys in sorted batches, each as one batch; holds one run and one batch at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            column = batch.column(k)
+            changes |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+        borders = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.concat_batches(held)
+            held = []
+        for at, end in zip(borders, borders[1:]):
+            if at and held:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.concat_batches(held)

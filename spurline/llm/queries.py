@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, mixing, pages, pieces, quality, urls
+from spurline.llm import exact, language, lattice, mixing, pages, pieces, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,10 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
 """
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
     }
 
