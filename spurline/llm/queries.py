@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, lattice, mixing, pages, pieces, quality, urls
+from spurline.llm import exact, language, lattice, mixing, neardup, pages, pieces, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_html_text": op4_html_text,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
