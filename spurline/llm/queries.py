@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, lattice, mixing, neardup, pages, pieces, quality, urls
+from spurline.llm import exact, language, lattice, licenses, mixing, neardup, pages, pieces, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join(F.array_sort("licenses"), ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"), "unknown")
+
+
 def tokenizer_model() -> bytes:
     """The 32k-piece model of the installed public tokenizers."""
     import public_tokenizers
@@ -105,6 +110,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_license_scan": op2_license_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_html_text": op4_html_text,
         "op5_minhash_dedup": op5_minhash_dedup,
@@ -117,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_license_scan": licenses.as_sql(), "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
