@@ -8,25 +8,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that count as white space in the contracts of this subpackage.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder and cuts its lineage.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share.
 
-    The folder is the one that spark.checkpoint.dir names; a folder of this machine is
-    used only where none is named and Spark runs in one process.
+    A folder of this machine is used only where none is named and Spark runs in one process.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not (sc.master.startswith("local[") or sc.master == "local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-spurline-"))
+    return sc.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Computes df once into the checkpoint folder and cuts its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,12 +38,6 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def absent_as_null(df: DataFrame, **types: str) -> list[Column]:
-    """The named columns, cast; null where df has no such column."""
-    there = set(df.columns)
-    return [(F.col(f"`{c}`") if c in there else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
