@@ -225,7 +225,7 @@ def _importance(counted: DataFrame, s: Settings) -> DataFrame:
 
 
 def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Per host of pages (host, html): nodes, the array of its nodes of low importance.
+    """Per host of pages (host, html) with such: nodes, the array of its nodes of low importance; size, its pages.
 
     Statistics are grouped aggregations of hashes over all pages; texts don't move. As a template node is on a share of a host's
     pages, and a page has few nodes, the array doesn't grow with the host.
@@ -242,7 +242,8 @@ def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     joint = joint.crossJoin(total).select("node", F.col("importance").alias("joint"), (F.col("pages") >= F.greatest(F.lit(s.pages), s.share * F.col("total"))).alias("common"))
     enough = F.col("pages") >= F.greatest(F.lit(s.pages), s.share * F.col("size"))
     noisy = F.when(enough, F.col("importance") < s.least).otherwise((F.col("size") < s.pages) & F.col("common") & (F.col("joint") < s.least))
-    return own.join(sizes, "host").join(joint, "node").where(noisy).where("node not in ('html', 'html>body', 'body')").groupBy("host").agg(F.collect_set("node").alias("nodes"))
+    found = own.join(sizes, "host").join(joint, "node").where(noisy).where("node not in ('html', 'html>body', 'body')")
+    return found.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.max("size").alias("size"))
 
 
 def main_text(page: str | None, noisy: frozenset[str]) -> str:
@@ -253,7 +254,7 @@ def main_text(page: str | None, noisy: frozenset[str]) -> str:
     return "\n".join(b.text for b in found if b.safe or noisy.isdisjoint(b.nodes))
 
 
-def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
+def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 << 20) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, and text: the main text, blocks joined by line breaks.
 
     Branches named as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments (elements,
@@ -261,6 +262,8 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     style tree is of low importance. If a page marks its main text (article, main), all outside it goes, and
     text elements without a name of their own in it stay. Character references are decoded, white space in a block becomes one space.
     Null, empty and textless pages give an empty text. Null urls and urls without a host are one host; ids may repeat.
+
+    The noisy nodes of all hosts are sent to all executors if they take at most sent_bytes; else those of large hosts are, and the others are joined by shuffling.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
 
@@ -270,4 +273,11 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     noisy = keep(noisy_nodes(rows, s))
-    return rows.join(noisy, "host", "left").select("page_id", "url", "html", "nodes").mapInArrow(run, "page_id long, url string, text string")
+    size = noisy.agg(F.sum(F.length(F.array_join("nodes", "")) + 64)).first()[0] or 0
+    if size <= sent_bytes:
+        joined = rows.join(F.broadcast(noisy), "host", "left")
+    else:
+        # a host with over a thousandth of the pages is one of at most a thousand
+        large = F.broadcast(noisy.where(F.col("size") > rows.count() / 1000))
+        joined = rows.join(large, "host").unionByName(rows.join(large, "host", "left_anti").join(noisy, "host", "left"))
+    return joined.select("page_id", "url", "html", "nodes").mapInArrow(run, "page_id long, url string, text string")
