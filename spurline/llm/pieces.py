@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame
 MARK, BREAK = "▁", "\n"
 #: A run of markers with what follows it, text after a line break, or a line break.
 CHUNK = re.compile(f"{MARK}+[^{MARK}{BREAK}]*|[^{MARK}{BREAK}]+|{BREAK}")
-#: Distinct chunks that a worker remembers, and texts that it holds encoded at a time.
-REMEMBERED, TEXTS = 200_000, 500
+#: Distinct chunks that a worker remembers at least, and texts that it holds encoded at a time.
+REMEMBERED, TEXTS = 150_000, 500
+#: Chunks that are segmented as the lines of one short text.
+LINES = 200
 
-_processors: dict[bytes, tuple[sentencepiece.SentencePieceProcessor, dict[str, array]]] = {}
+_processors: dict[bytes, Table] = {}
 
 
-def _processor(model: bytes) -> tuple[sentencepiece.SentencePieceProcessor, dict[str, array]]:
-    """One processor and one table of chunks for each worker and model."""
+def _table(model: bytes) -> Table:
+    """One table for each worker and model."""
     key = hashlib.blake2b(model).digest()
     if key not in _processors:
-        _processors[key] = (sentencepiece.SentencePieceProcessor(model_proto=model), {})
+        _processors[key] = Table(sentencepiece.SentencePieceProcessor(model_proto=model))
     return _processors[key]
 
 
@@ -38,21 +40,41 @@ def check_model(model: bytes) -> None:
         raise ValueError(f"pieces cross white space or line breaks, or white space is normalised: {crossing[:3]}")
 
 
-def encode_texts(texts: list[str | None], sp: sentencepiece.SentencePieceProcessor, table: dict[str, array]) -> tuple[list[int], array]:
+class Table:
+    """Ids of distinct chunks. Holds the last REMEMBERED to twice as many that were met; those unused for longest go."""
+
+    def __init__(self, sp: sentencepiece.SentencePieceProcessor) -> None:
+        self.sp, self.new, self.old = sp, {}, {}
+        self.line_break = sp.encode(BREAK)[-1]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Segments the chunks that the table lacks, as lines of short texts: no piece crosses a line break, nor holds one."""
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
+        unknown = []
+        for c in chunks - self.new.keys():
+            if c == BREAK:
+                self.new[c] = array("i", [self.line_break])
+            elif (ids := self.old.get(c)) is None:
+                unknown.append(c)
+            else:
+                self.new[c] = ids
+        for at in range(0, len(unknown), LINES):
+            some = unknown[at : at + LINES]
+            ids = array("i", self.sp.encode(f"{BREAK}{BREAK.join(some)}{BREAK}".replace(MARK, " ")))
+            ends = [i for i, x in enumerate(ids) if x == self.line_break]
+            self.new.update((c, ids[i + 1 : j]) for c, i, j in zip(some, ends, ends[1:]))
+
+
+def encode_texts(texts: list[str | None], table: Table) -> tuple[list[int], array]:
     """Lengths and all ids of the texts. Each distinct chunk that the table lacks is segmented once."""
     split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    distinct = set().union(*split)
-    if len(table) + len(distinct) > REMEMBERED:
-        table.clear()
-    new = [c for c in distinct if c not in table]
-    # after a line break a chunk stands as it is: without it the processor would add a marker
-    for chunk, ids in zip(new, sp.encode([BREAK + c.replace(MARK, " ") for c in new], num_threads=1)):
-        table[chunk] = array("i", ids[2:])
-    flat, lengths = array("i"), []
+    table.learn(set().union(*split))
+    known, flat, lengths = table.new, array("i"), []
     for chunks in split:
         before = len(flat)
         for c in chunks:
-            flat += table[c]
+            flat += known[c]
         lengths.append(len(flat) - before)
     return lengths, flat
 
@@ -68,11 +90,11 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, table = _processor(sent.value)
+        table = _table(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                lengths, flat = encode_texts(part.column("text").to_pylist(), sp, table)
+                lengths, flat = encode_texts(part.column("text").to_pylist(), table)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
@@ -85,7 +107,7 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, _ = _processor(sent.value)
+        sp = _table(sent.value).sp
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
