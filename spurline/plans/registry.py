@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spurline.plans import fields, grids
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**grids.QUERIES, **fields.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**grids.SQL, **fields.SQL}
