@@ -6,6 +6,7 @@ folder, and only a count comes to the driver.
 
 from __future__ import annotations
 
+import heapq
 import math
 import tempfile
 from collections.abc import Callable, Sequence
@@ -139,20 +140,29 @@ def least_cost(df: DataFrame, cost: str, source: str, cell: float, by: Sequence[
     return done.select(*by, "row", "col", F.col("best.reach").alias("reach"), F.col("best.length").alias("length"), before("r").alias("from_row"), before("c").alias("from_col"))
 
 
-def flooded(df: DataFrame, z: str, eps: float = 1e-4, by: Sequence[str] = ()) -> DataFrame:
-    """Adds filled: the lowest surface on or above z that falls by at least eps on some way from every cell to the edge of the grid.
+def flooded(df: DataFrame, z: str, by: Sequence[str], eps: float = 1e-4) -> DataFrame:
+    """Adds filled: the lowest surface on or above z that falls by at least eps on some way from every cell to the edge of its area.
 
-    The greatest lower rounds: edges start at z, the rest at infinity, and each cell takes max(z, least neighbour + eps) until nothing sinks.
+    Cells are taken in order of their filled height from the edge inwards, which is sequential, so each area is one task of its size; areas run side by side.
     """
-    around = neighbours(df.select(*by, "row", "col"), ["row"], by).groupBy(*by, "row", "col").agg(F.count(F.lit(1)).alias("n"))
-    edge = df.join(around, [*by, "row", "col"], "left").withColumn("filled", F.when(F.coalesce("n", F.lit(0)) < 8, F.col(z).cast("double")).otherwise(F.lit(math.inf)))
 
-    def step(state: DataFrame) -> DataFrame:
-        low = neighbours(state, ["filled"], by).groupBy(*by, "row", "col").agg(F.min("to_filled").alias("low"))
-        new = F.least("filled", F.greatest(F.col(z).cast("double"), F.col("low") + eps))
-        return state.join(low, [*by, "row", "col"]).withColumn("changed", new < F.col("filled")).withColumn("filled", new).drop("low")
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        height = dict(zip(zip(cells["row"], cells["col"]), cells[z].astype(float)))
+        around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
+        edge = [(h, q) for q, h in height.items() if any((q[0] + r, q[1] + c) not in height for r, c in around)]
+        filled, heap = {q: h for h, q in edge}, edge
+        heapq.heapify(heap)
+        while heap:
+            h, (r, c) = heapq.heappop(heap)
+            for q in ((r + dr, c + dc) for dr, dc in around):
+                if q in height and q not in filled:
+                    filled[q] = max(height[q], h + eps)
+                    heapq.heappush(heap, (filled[q], q))
+        return cells.assign(filled=[filled[q] for q in zip(cells["row"], cells["col"])])
 
-    return fixpoint(edge.select(*by, "row", "col", z, "filled"), step, "changed")
+    rows = df.select(*by, "row", "col", z)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, filled double")
 
 
 def shared_flow(df: DataFrame, z: str, cell: float, by: Sequence[str]) -> DataFrame:

@@ -42,13 +42,13 @@ def burned_rings(edges: DataFrame, key: str, west: float, north: float, size: fl
     """edges: key, x1, y1, x2, y2 of closed rings. Cells whose centre is inside, by the even-odd rule along each row of cells."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     first, last = F.ceil((F.lit(north) - high) / size - 0.5), F.ceil((F.lit(north) - low) / size - 0.5) - 1
-    crossed = edges.where("y1 <> y2").withColumns({"first": first, "last": last}).where("first <= last").withColumn("row", F.explode(F.sequence("first", "last")).cast("int"))
+    crossed = edges.where("y1 <> y2").withColumns({"first": first, "last": last}).where("first <= last").withColumn("row", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))))
     y = F.lit(north) - (F.col("row") + 0.5) * size
     at = crossed.select(key, "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x"))
     w = Window.partitionBy(key, "row").orderBy("x")
     spans = at.withColumns({"n": F.row_number().over(w), "end": F.lead("x").over(w)}).where("n % 2 = 1 and end is not null")
     a, b = F.ceil((F.col("x") - west) / size - 0.5), F.ceil((F.col("end") - west) / size - 0.5) - 1
-    return spans.withColumns({"a": a, "b": b}).where("a <= b").select(key, "row", F.explode(F.sequence("a", "b")).cast("int").alias("col"))
+    return spans.withColumns({"a": a, "b": b}).where("a <= b").select(key, "row", F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("col"))
 
 
 def drawn(cells: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:

@@ -268,19 +268,19 @@ def route_trace(spark, sf):
     return graph.route(_tree(spark, sf).select("id", F.col("receiver").alias("parent")), 2080).select("step", "id")
 
 
-@query("""with recursive {LATTICE}, small as (select row, col, d from lat where row < 12 and col < 12), """ + DIRS + """,
+@query("""with recursive {LATTICE}, small as (select row, col, d from lat where row < 8 and col < 8), """ + DIRS + """,
 edge as (select a.row * 64 + a.col as f, b.row * 64 + b.col as t, (a.d + b.d) / 2 * sqrt(dr * dr + dc * dc) * 10.0 as pay from small a cross join dirs join small b on b.row = a.row + dr and b.col = a.col + dc),
 walk(id, reach) using key (id) as (select 0::bigint, 0.0::double union select edge.t::bigint, min(walk.reach + pay) from walk join edge on edge.f = walk.id left join recurring.walk old on old.id = edge.t where old.reach is null or walk.reach + pay < old.reach - 1e-12 group by edge.t)
 select cast(id // 64 as int) as row, cast(id % 64 as int) as col, round(reach, 6) as reach from walk""")
 def least_cost(spark, sf):
-    small = layers(spark, sf).where("row < 12 and col < 12").withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
+    small = layers(spark, sf).where("row < 8 and col < 8").withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
     return graph.least_cost(small, "d", "source", 10.0).select("row", "col", r6("reach").alias("reach"))
 
 
 @query()
 def filled_depressions(spark, sf):
-    small = layers(spark, sf).where("row < 24 and col < 24").select("row", "col", "z")
-    return graph.flooded(small, "z")
+    quarter = layers(spark, sf).withColumn("area_id", (F.floor(F.col("row") / 32) * 2 + F.floor(F.col("col") / 32)).cast("int"))
+    return graph.flooded(quarter, "z", ["area_id"]).withColumn("filled", r6("filled"))
 
 
 @query()
