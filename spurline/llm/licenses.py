@@ -55,7 +55,7 @@ CRITICAL = "(?i)licen[cs]e|copyright|permission|permitted|redistribut|warrant|pu
 #: Steps of normalisation: pattern, replacement. $1 stands for the first group.
 STEPS = (
     ("licence", "license"), ("[^a-z0-9.+]+", " "), (r"[.]+( |$)", " "), (" v(?:ersion)? ?([0-9])", " $1"), (" +", " "), ("^ | $", ""),
-    ("^(?:this|the|all|these|our) (?:[a-z]+ ){1,3}(?:is|are) (?:also )?", ""),
+    ("^(?:it|(?:this|the|all|these|our)(?: [a-z]+){1,3}) (?:is|are) (?:also )?", ""),
     ("^(?:hereby )?(?:licensed|released|distributed|made available|available|published|provided|shared) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:an |a )?", "under "),
 )
 
@@ -68,6 +68,11 @@ def normalised(sentence: Column) -> Column:
     return out
 
 
+def _marked(sequence: str) -> str:
+    """Identifiers as they stand in a list: each between commas of its own."""
+    return "".join(f",{i}," for i in sequence.split())
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, licenses, sentences, unknown.
 
@@ -81,7 +86,7 @@ def scan(docs: DataFrame) -> DataFrame:
     raw = [*((f"Licensed under the {n}.", f"under-{x}") for n, x in NAMES.items()), *SENTENCES.items()]
     known = spark.createDataFrame(raw, "sentence string, id string").select(normalised(F.col("sentence")).alias("key"), "id").distinct().collect()
     ids = F.create_map(*(F.lit(x) for r in known for x in (r["key"], r["id"])))
-    rules = F.array(*(F.struct(F.lit("," + ",".join(f"{i}" for i in seq.split()) + ",").alias("ids"), F.lit(x).alias("license")) for seq, x in RULES))
+    rules = F.array(*(F.struct(F.lit(_marked(seq)).alias("ids"), F.lit(x).alias("license")) for seq, x in RULES))
 
     ended = F.regexp_replace(F.coalesce("text", F.lit("")), F.lit(r"([.!?])\s+"), F.lit("$1\n"))
     critical = F.when(F.col("text").rlike(CRITICAL), F.filter(F.split(ended, r"[\n\r]+"), lambda x: x.rlike(CRITICAL))).otherwise(F.array().cast("array<string>"))
@@ -105,8 +110,8 @@ def as_sql() -> str:
         return out
 
     raw = [*((f"Licensed under the {n}.", f"under-{x}") for n, x in NAMES.items()), *SENTENCES.items()]
-    taken = [f"case when contains(l{k}, {q(',' + ','.join(seq.split()) + ',')}) then {q(x)} end" for k, (seq, x) in enumerate(RULES)]
-    steps = "".join(f", r{k + 1} as (select *, replace(l{k}, {q(',' + ','.join(seq.split()) + ',')}, '') as l{k + 1} from r{k})" for k, (seq, _) in enumerate(RULES))
+    taken = [f"case when contains(l{k}, {q(_marked(seq))}) then {q(x)} end" for k, (seq, x) in enumerate(RULES)]
+    steps = "".join(f", r{k + 1} as (select *, replace(l{k}, {q(_marked(seq))}, '') as l{k + 1} from r{k})" for k, (seq, _) in enumerate(RULES))
     return f"""
 with known as (select distinct {even('s')} as key, id from (values {', '.join(f'({q(s)}, {q(i)})' for s, i in raw)}) t(s, id)),
 parts as (select row_number() over () as n, doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), '[\\n\\r]+'), lambda x: regexp_matches(x, {q(CRITICAL)})) as critical from documents),
