@@ -189,7 +189,7 @@ def identify(rows: DataFrame, model: Likelihoods, s: Settings = Settings(), carr
     )
     named = F.array(*map(F.lit, model.names))
     accepted = F.col("letters") & (F.col("at") < k - 1) & (F.col("posterior") >= s.sure)
-    return fused.select(*carry, named[F.col("best")].alias("text_lang"), named[F.col("at")].alias("lang"), "posterior", accepted.alias("accepted"))
+    return fused.select(*carry, F.get(named, F.col("best")).alias("text_lang"), F.get(named, F.col("at")).alias("lang"), "posterior", accepted.alias("accepted"))
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
