@@ -29,9 +29,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computes df once into the checkpoint folder and cuts its lineage."""
+    """Computes df once into the checkpoint folder and cuts its lineage.
+
+    A checkpoint hands its inferred constraints on, which in loops of joins grow until planning takes longer than the work: they are off meanwhile.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def shuffles(spark: SparkSession) -> int:

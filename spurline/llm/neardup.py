@@ -10,20 +10,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spurline.llm.common import keep, segments
-from spurline.llm.components import components
+from spurline.llm.components import components, merged
 
 WORD = re.compile(r"\w+")
 _U = np.uint64
+#: Rows of three numbers that are sent to all executors at most.
+SENT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """words: in a shingle; similarity: least Jaccard similarity of a link. bands of rows coordinates each make the signature.
-    weighted: shingles weigh their number of occurrences, not 1, in signatures and in similarity."""
+    weighted: shingles weigh their number of occurrences, not 1, in signatures and in similarity. rounds: of
+    comparisons with one member of a bucket's largest component, before its other pairs are compared."""
 
     words: int = 5
     similarity: float = 0.8
@@ -31,6 +34,7 @@ class Settings:
     rows: int = 6
     seed: int = 5
     weighted: bool = False
+    rounds: int = 2
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -120,7 +124,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> np.nda
 
 
 def _signed(s: Settings):
-    """Per row: its number and id, a digest of its weighted set (null without words), and the keys of its bands."""
+    """Per row: its number and id, a digest of its weighted set (null without words), the keys of its bands, and four bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +137,20 @@ def _signed(s: Settings):
                 # equal sets of a part are signed once
                 distinct = {d: x for d, x in zip(digests, sets) if d is not None}
                 keys: dict[bytes | None, list[int]] = {None: []}
+                nibbles: dict[bytes | None, list[int]] = {None: []}
                 if distinct:
                     codes = signatures(list(distinct.values()), s).reshape(len(distinct), s.bands, s.rows)
                     joint = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), (len(distinct), s.bands))
                     for r in range(s.rows):
                         joint = _mixed(joint ^ codes[:, :, r], r + 1)
                     keys.update(zip(distinct, joint.view(np.int64).tolist()))
+                    bits = np.zeros((len(distinct), -(-s.bands * s.rows // 16) * 16), dtype=np.uint64)
+                    bits[:, : s.bands * s.rows] = codes.reshape(len(distinct), -1) & _U(15)
+                    packed = (bits.reshape(len(distinct), -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64)
+                    nibbles.update(zip(distinct, packed.view(np.int64).tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([keys[d] for d in digests], pa.list_(pa.int64()))], ["row", "doc_id", "digest", "keys"]
+                    [part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array([x[d] for d in digests], pa.list_(pa.int64())) for x in (keys, nibbles))],
+                    ["row", "doc_id", "digest", "keys", "nibbles"],
                 )
 
     return run
@@ -168,14 +178,40 @@ def _distances(s: Settings):
     return run
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """pairs: a, b, distinct; texts: id, text. Adds away. Texts that are compared with many are copied to blocks of about 256 of them."""
+def _compare(pairs: DataFrame, rows: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
+    """pairs: a, b, distinct; rows: row, text; index: id, row. Adds away.
+
+    A text that is compared with many is copied to blocks of about 256 of them. Which row goes to which blocks is a table of numbers; it is
+    sent to all executors up to SENT_ROWS rows, so that only the texts asked for are shuffled, once; a larger table is joined by shuffling.
+    """
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     salted = keep(salted.select("a", "b", "salt"))
-    of_a = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    of_b = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
-    sorted_ = of_a.unionByName(of_b).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return keep(sorted_.mapInArrow(_distances(s), "a long, b long, away double"))
+    asked = salted.select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().unionByName(salted.select(F.col("b").alias("id"), "a", "salt", "b"))
+    asked = keep(asked.join(index, "id").select("row", "a", "salt", "b"))
+    asked = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
+    texts = rows.join(asked, "row").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return keep(texts.mapInArrow(_distances(s), "a long, b long, away double"))
+
+
+def _linked(compared: DataFrame, s: Settings) -> DataFrame:
+    return compared.where(F.col("away") <= 1 - s.similarity + 1e-12).select("a", "b")
+
+
+def _alike(one: str, other: str, s: Settings) -> Column:
+    """How many coordinates agree in the four bits kept of each; sixteen of them fill a number."""
+    count = F.lit(0)
+    for i in range(-(-s.bands * s.rows // 16)):
+        x = F.col(one)[i].bitwiseXOR(F.col(other)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        count = count + 16 - F.bit_count(x)
+    return count
+
+
+def _least_alike(s: Settings) -> int:
+    """Three standard deviations below the coordinates that agree at the similarity of a link, chance agreement of four bits included."""
+    k, p = s.bands * s.rows, s.similarity + (1 - s.similarity) / 16
+    return int(-(-k // 16) * 16 - k + k * p - 3 * (k * p * (1 - p)) ** 0.5)
 
 
 def near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -188,54 +224,45 @@ def near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     is computed, as a table read from files does; row is monotonically_increasing_id() on it.
 
     Rows with equal sets are one class. Classes whose signatures agree in a band share a bucket: at
-    similarity 0.8 a pair meets in none with a chance of 0.0007. In each bucket all are compared with its first class, not with each other; links give
-    components, and buckets whose other members are now in one component are finished. In the rest the member furthest
-    from the first class becomes a second pivot. Pairs of different components that are then left are compared too, save those that the
-    triangle inequality of Jaccard distance rules out: further apart from either pivot than a link is long.
+    similarity 0.8 a pair meets in none with a chance of 0.0007. In each bucket all are compared with one, not with each other; links give
+    components, and buckets in one component are finished, as more links can't change a group. In the rest all outside the bucket's largest
+    component are compared with one of it, s.rounds times, each time another. In buckets that are then still in several components, pairs
+    from different ones are compared too if their signatures agree in enough coordinates, which 0.999 of the pairs at similarity 0.8 do.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = keep(rows.mapInArrow(_signed(s), "row long, doc_id long, digest binary, keys array<long>"))
+    signed = keep(rows.mapInArrow(_signed(s), "row long, doc_id long, digest binary, keys array<long>, nibbles array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     classes = keep(
-        signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("many"))
+        signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("keys").alias("keys"), F.first("nibbles").alias("nibbles"), F.count(F.lit(1)).alias("many"))
         .withColumn("id", F.monotonically_increasing_id())
     )
-    reach = 1 - s.similarity + 1e-12
-
     member = classes.select(F.explode("keys").alias("key"), "id")
     buckets = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1"))
-    member = keep(member.join(buckets, "key").where("id <> pivot").select("key", "pivot", "id", "n"))
-    pairs = keep(member.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    met = classes.select("id", "first.row").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    texts = rows.select("row", "text").join(met, "row").select("id", "text")
-    compared = _compare(pairs, texts, s)
-    links = compared.where(F.col("away") <= reach).select("a", "b")
-
-    def joined(links: DataFrame) -> DataFrame:
-        return keep(components(links))
+    member = keep(member.join(buckets, "key").select("key", "id", "pivot"))
+    index, texts = classes.select("id", "first.row"), rows.select("row", "text")
 
-    group = joined(links)
+    pairs = keep(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    compared = _compare(pairs, texts, index, s)
+    group = components(_linked(compared, s))
     named = F.coalesce("component", "id")
-    # buckets of three and more whose members, the pivot aside, are in different components
-    member = member.where("n > 2").join(group, "id", "left").select("key", "pivot", "id", named.alias("component"))
-    member = member.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "away"), ["pivot", "id"])
-    open_ = member.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max(F.struct("away", "id")).alias("far")).where("c <> d").select("key", F.col("far.id").alias("second"))
-    member = keep(member.join(open_, "key").where("id <> second").select("key", "second", "id", "component", "away"))
-    pairs = member.select(F.least("second", "id").alias("a"), F.greatest("second", "id").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    again = _compare(keep(pairs), texts, s)
-    compared = compared.unionByName(again)
-    links = links.unionByName(again.where(F.col("away") <= reach).select("a", "b"))
-    group = joined(links)
-
-    either = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "away"))
-    member = member.drop("component").join(group, "id", "left").withColumn("component", named).join(either.select(F.col("a").alias("second"), F.col("b").alias("id"), F.col("away").alias("away2")).distinct(), ["second", "id"])
-    member = keep(member.select("key", "id", "component", "away", "away2"))
-    others = member.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "component", "away", "away2")))
-    close = (F.abs(F.col("away") - F.col("away_")) <= reach) & (F.abs(F.col("away2") - F.col("away2_")) <= reach)
-    pairs = member.join(others, "key").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & close)
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    last = _compare(keep(pairs), texts, s)
-    group = joined(links.unionByName(last.where(F.col("away") <= reach).select("a", "b")))
+    for turn in range(s.rounds + 1):
+        # what is left are buckets whose members are in different components
+        placed = member.select("key", "id").join(group, "id", "left").select("key", "id", named.alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("one"))
+        main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "one")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+        member = keep(placed.join(keep(main), "key").select("key", "id", "component", F.col("main.component").alias("most"), F.col("main.one").alias("pivot")))
+        if turn < s.rounds:
+            pairs = member.where("component <> most").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        else:
+            one = member.join(classes.select("id", "nibbles"), "id").select("key", "id", "component", "nibbles")
+            other = one.select("key", F.col("id").alias("id_"), F.col("component").alias("component_"), F.col("nibbles").alias("nibbles_"))
+            apart = (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (_alike("nibbles", "nibbles_", s) >= _least_alike(s))
+            pairs = one.join(other, "key").where(apart).select(F.col("id").alias("a"), F.col("id_").alias("b"))
+        pairs = keep(pairs.distinct().join(compared, ["a", "b"], "left_anti"))
+        if not pairs.count():
+            continue
+        new = _compare(pairs, texts, index, s)
+        compared, group = compared.unionByName(new), merged(group, _linked(new, s))
 
     placed = classes.join(group, "id", "left").select("digest", "first", "many", named.alias("component"))
     whole = keep(placed.groupBy("component").agg(F.min("first").alias("best"), F.sum("many").alias("group_size")))
