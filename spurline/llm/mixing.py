@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spurline.llm.common import keep
 
 #: Rows that one leaf of the reduction tree takes about, and leaves under one node.
-LEAF_ROWS, FAN_IN = 20_000, 64
+LEAF_ROWS, FAN_IN = 2_000, 64
 #: No source takes over this many times its own size.
 MOST_TIMES = 3
 
