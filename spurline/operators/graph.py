@@ -20,14 +20,23 @@ from spurline.operators.lattice import neighbours
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computes df once into the folder that spark.checkpoint.dir names and cuts its lineage; one of this machine only in one process."""
+    """Computes df once into the folder that spark.checkpoint.dir names and cuts its lineage; one of this machine only in one process.
+
+    Constraints that a checkpoint hands on would make the plans of a loop grow, so none are inferred meanwhile.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-spurline-"))
-    return df.checkpoint()
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int = 10_000) -> DataFrame:
