@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,23 @@ def keep(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the checkpoint folder. For loops of joins: unlike a checkpoint it is planned by its own size, not by
+    an estimate that multiplies from round to round until it takes longer to compute than the round."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a table of written()."""
+    sc = df.sparkSession.sparkContext
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
