@@ -140,12 +140,9 @@ def test_quality_learns_and_holds_out(spark, odd, none):
 def test_quality_update_is_the_published_one():
     s = quality.Settings(passes=1)
     w = quality.learn(["a b", "c d"], [1, 0], s)
-    i, x = quality.features("a b", s)
     z, n = np.zeros_like(w, dtype=float), np.zeros_like(w, dtype=float)
     for text, y in (("a b", 1), ("c d", 0)):
         j, v = quality.features(text, s)
-        for a, b in zip(j, v):
-            pass
         ww = [0.0 if abs(z[a]) <= s.l1 else -(z[a] - math.copysign(s.l1, z[a])) / ((s.beta + math.sqrt(n[a])) / s.alpha + s.l2) for a in j]
         p = 1 / (1 + math.exp(-sum(q * b for q, b in zip(ww, v))))
         for a, b, q in zip(j, v, ww):
@@ -153,7 +150,7 @@ def test_quality_update_is_the_published_one():
             z[a] += g - (math.sqrt(n[a] + g * g) - math.sqrt(n[a])) / s.alpha * q
             n[a] += g * g
     want = np.array([0.0 if abs(a) <= s.l1 else -(a - math.copysign(s.l1, a)) / ((s.beta + math.sqrt(b)) / s.alpha + s.l2) for a, b in zip(z, n)])
-    assert np.allclose(w, want) and len(i) == len(x)
+    assert np.allclose(w, want) and w.any()
 
 
 def test_language(spark, odd, none, tmp_path):
@@ -201,7 +198,6 @@ def test_licences(spark, odd, none):
 
 
 def test_urls_against_startswith(spark):
-    rng = random.Random(4)
     hosts, paths = ["net", "example.net", "a.example.net", "badexample.net", "example.com", "x.org", "", "EXAMPLE.Net"], ["", "/", "/en", "/en/", "/en/x/y", "/english", "/de/", "/fr/1"]
     seen = [f"http://{h}{p}{t}" for h, p, t in itertools.product(hosts, paths, ["", "?a=/en/", "#/de/"])] + [None, "", "no host", "a://b://c/en/"]
     rules = [*queries.URL_RULES, ("allow", "net", "/en"), ("block", "a.example.net", "/en/x/"), ("block", "x.org", "/"), ("allow", "x.org", "/"), (None, "com", "/"), ("block", None, "/")]
@@ -214,7 +210,7 @@ def test_urls_against_startswith(spark):
         fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if v and h and host and path and (host == h or host.endswith("." + h)) and (path.startswith(p) if p.endswith("/") else path == p)]
         best = max(fits, default=None)
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best[3] if best else None, best[4] if best else "allow")
-    assert rng and urls.filter_urls(df, urls.rules_frame(spark, [])).where("verdict <> 'allow'").isEmpty()
+    assert urls.filter_urls(df, urls.rules_frame(spark, [])).where("verdict <> 'allow'").isEmpty()
 
 
 def test_main_text(spark):
@@ -226,7 +222,7 @@ def test_main_text(spark):
     for sent in (32 << 20, 0):  # all noisy nodes sent, and those of large hosts only
         got = [(r["page_id"], r["text"]) for r in pages.extract(df, sent_bytes=sent).collect()]
         assert len(got) == len(rows)
-        found = dict(got[:1] + got[1:])
+        found = dict(got)
         for i in range(40):
             assert found[i] == f"Title {i}\nOwn text {i} <b> goes on\nMore {i * 7}"
         assert found[100] == "T & c\na b c\nx\n1\n2\ntail" and found[101] == found[102] == ""
@@ -279,7 +275,7 @@ def test_signatures_estimate_weighted_similarity():
     a, b = rng.integers(1, 6, 300), rng.integers(1, 6, 300)
     agree = [np.mean(np.equal(*neardup.signatures([(e, a), (e, b)], neardup.Settings(seed=q)))) for q in range(12)]
     assert abs(np.mean(agree) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
-    alone, _ = neardup.signatures([(e, a)], neardup.Settings()), None
+    alone = neardup.signatures([(e, a)], neardup.Settings())
     assert np.array_equal(alone[0], neardup.signatures([(e[:5], a[:5]), (e, a)], neardup.Settings())[1])
 
 
