@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spurline.operators.graph import keep
+
 
 def log_factorial(n: Column) -> Column:
     """ln n! of a whole number, as a sum of logarithms."""
@@ -20,10 +22,29 @@ def poisson_tail(hits: Column, expected: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.aggregate(below, F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(expected) - expected - log_factorial(k))))
 
 
+def _stirling_rest(n: Column) -> Column:
+    """ln n! less Stirling's formula, for n from 1; the series' error is below 1e-13 from 16 on."""
+    n = n.cast("double")
+    exact = log_factorial(F.least(n, F.lit(16.0))) - (n + 0.5) * F.ln(n) + n - 0.5 * math.log(2 * math.pi)
+    return F.when(n < 16, exact).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n)
+
+
+def _fair_chance(k: Column, n: Column) -> Column:
+    """Chance of k wins in n fair draws, by Stirling's formula with its rest, so that large parts cancel before they are added."""
+    d = (2.0 * k - n) / n
+    inner = F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - k * F.log1p(d) - (n - k) * F.log1p(-d)) * F.sqrt(n / (2 * math.pi * k * (n - k)))
+    return F.when((k == 0) | (k == n), F.exp(-n * math.log(2))).otherwise(inner)
+
+
 def binomial_tail(wins: Column, n: Column) -> Column:
-    """Chance of so many wins or more in n fair draws."""
-    at = F.sequence(wins.cast("int"), n.cast("int"))
-    return F.aggregate(at, F.lit(0.0), lambda a, k: a + F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)))
+    """Chance of so many wins or more in n fair draws.
+
+    Draws further than 20 * sqrt(n) from the middle are left out: their chance, below exp(-800), is 0 in doubles.
+    """
+    wide = 20 * F.sqrt(n)
+    first, last = F.greatest(wins.cast("long"), F.floor(n / 2 - wide)), F.least(n.cast("long"), F.ceil(n / 2 + wide))
+    at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.least(F.lit(1.0), F.aggregate(at, F.lit(0.0), lambda a, k: a + _fair_chance(k, n)))
 
 
 def normal_tail(z: Column) -> Column:
@@ -93,11 +114,31 @@ def sign_test(df: DataFrame, value: str, middle: float = 0.5, by: Sequence[str]
     return counts.withColumn("p", binomial_tail(F.col("above"), F.col("above") + F.col("below")))
 
 
+def _counted_below(used: DataFrame, available: DataFrame, keys: Sequence[str], value: str, ranges: int = 64) -> DataFrame:
+    """Per keys and value of used: used (rows), below and equal (available rows), valued and total (those of the keys with a value, and all).
+
+    Counts of equal values are summed up in ranges of values, then over the ranges, so no pair of rows is made and a key's values are many tasks.
+    """
+    of = lambda df, u: df.select(*keys, F.col(value).alias(value), F.lit(u).alias("u"))
+    counts = of(used, 1).unionByName(of(available, 0)).dropna(subset=list(keys)).groupBy(*keys, value).agg(F.sum("u").alias("used"), F.sum(1 - F.col("u")).alias("equal"))
+    counts = keep(counts)
+    edges = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)]).alias("edges"))
+    # equal values are in one range; null is one of its own before all others
+    placed = counts.crossJoin(F.broadcast(edges)).withColumn("range", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e <= F.col(value))))).drop("edges")
+    sums = placed.groupBy(*keys, "range").agg(F.sum("equal").alias("n"))
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + 1 rows for each key
+    valued = F.when(F.col("range") >= 0, F.col("n")).otherwise(0)
+    sums = sums.select(*keys, "range", F.coalesce(F.sum(valued).over(before), F.lit(0)).alias("lower"), F.sum(valued).over(whole).alias("valued"), F.sum("n").over(whole).alias("total"))
+    inside = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("inside", F.coalesce(F.sum("equal").over(inside), F.lit(0))).where("used > 0").join(sums, [*keys, "range"]).where("total > 0")
+    return summed.select(*keys, value, "used", (F.col("lower") + F.col("inside")).alias("below"), "equal", "valued", "total")
+
+
 def mid_ranks(used: DataFrame, available: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds position to used: the share of the available values of its keys below it and half of those equal."""
-    return used.join(available.select(*keys, F.col(value).alias("ref")), list(keys)).groupBy(*keys, value).agg(
-        (F.avg((F.col("ref") < F.col(value)).cast("double")) + 0.5 * F.avg((F.col("ref") == F.col(value)).cast("double"))).alias("position"), F.count(F.lit(1)).alias("refs")
-    )
+    c = _counted_below(used, available, keys, value)
+    position = F.when(F.col(value).isNotNull(), F.try_divide(F.col("below") + 0.5 * F.col("equal"), F.col("valued")))
+    return c.select(*keys, value, position.alias("position"), (F.col("used") * F.col("total")).alias("refs"))
 
 
 def rank_p(mean_rank: Column, n: Column, k: int) -> Column:
@@ -159,9 +200,10 @@ def strata(steps_: DataFrame, key: str, ts: str, x: str, y: str, draws: int = 15
 
 
 def outranks_random(pins: DataFrame, randoms: DataFrame, by: Sequence[str], rank: str) -> DataFrame:
-    """Per area: the chance that a pin ranks before a random point, ties half; pins and random points are few for each area."""
-    pairs = pins.select(*by, F.col(rank).alias("p")).join(randoms.select(*by, F.col(rank).alias("q")), list(by))
-    return pairs.groupBy(*by).agg(F.avg(F.when(F.col("p") < F.col("q"), 1.0).when(F.col("p") == F.col("q"), 0.5).otherwise(0.0)).alias("chance"))
+    """Per area: the chance that a pin ranks before a random point, ties half, null ranks never."""
+    c = _counted_below(randoms, pins, by, rank)
+    before = F.when(F.col(rank).isNotNull(), F.col("used") * (F.col("below") + 0.5 * F.col("equal"))).otherwise(0.0)
+    return c.groupBy(*by).agg((F.sum(before) / F.sum(F.col("used") * F.col("total"))).alias("chance"))
 
 
 def greedy_cover(counts: DataFrame, cell: str, unit: str, need: int, most: int) -> DataFrame:

@@ -110,6 +110,13 @@ def sign_counts(spark, sf):
     return evidence.sign_test(e, "value", 250.0, ["event_type"]).withColumn("p", F.round("p", 5))
 
 
+@query("""with e as (select event_type, count(*) filter (value > 250) as above, count(*) filter (value < 250) as below from events group by 1),
+k as (select *, unnest(range(above, above + below + 1)) as k from e)
+select event_type, cast(above as int) as above, cast(below as int) as below, round(sum(exp(lgamma(above + below + 1) - lgamma(k + 1) - lgamma(above + below - k + 1) - (above + below) * ln(2))), 5) as p from k group by 1, 2, 3""")
+def sign_counts_whole(spark, sf):
+    return evidence.sign_test(events(spark, sf), "value", 250.0, ["event_type"]).withColumn("p", F.round("p", 5))
+
+
 @query("""with u as (select event_type, value from events where user_id % 10 = 1), a as (select event_type, value as ref from events where user_id % 10 = 2)
 select event_type, value, round(avg((ref < value)::int) + 0.5 * avg((ref = value)::int), 6) as position, count(*) as refs from u join a using (event_type) group by 1, 2""")
 def mid_rank(spark, sf):
@@ -117,6 +124,14 @@ def mid_rank(spark, sf):
     return evidence.mid_ranks(e.where("user_id % 10 = 1"), e.where("user_id % 10 = 2"), ["event_type"], "value").withColumn("position", r6("position"))
 
 
+@query("""with u as (select event_type, value from events where user_id % 2 = 1), a as (select event_type, value as ref from events where user_id % 2 = 0)
+select event_type, value, round(avg((ref < value)::int) + 0.5 * avg((ref = value)::int), 6) as position, count(*) as refs from u join a using (event_type) group by 1, 2""")
+def mid_rank_whole(spark, sf):
+    """Events of odd users among those of even ones: each event is of one or the other."""
+    e = events(spark, sf)
+    return evidence.mid_ranks(e.where("user_id % 2 = 1"), e.where("user_id % 2 = 0"), ["event_type"], "value").withColumn("position", r6("position"))
+
+
 BINS = """ed as (select list_distinct([quantile_cont(value, i / 10.0) for i in range(1, 10)]) as e from events),
 ed2 as (select unnest(range(1, 10)) as i), q as (select distinct quantile_cont(value, 0.1) as e from events union select quantile_cont(value, 0.2) from events union select quantile_cont(value, 0.3) from events union select quantile_cont(value, 0.4) from events
  union select quantile_cont(value, 0.5) from events union select quantile_cont(value, 0.6) from events union select quantile_cont(value, 0.7) from events union select quantile_cont(value, 0.8) from events union select quantile_cont(value, 0.9) from events),
@@ -157,7 +172,7 @@ def step_table(spark, sf):
 
 @query()
 def available_points(spark, sf):
-    s = evidence.steps(fixes(spark, sf).where("user_id < 60"), "user_id", "ts", "x", "y")
+    s = evidence.steps(fixes(spark, sf), "user_id", "ts", "x", "y")
     return evidence.strata(s, "user_id", "ts", "x", "y")
 
 
@@ -243,6 +258,11 @@ def line_length(spark, sf):
     return vectors.lengths(fixes(spark, sf).where("user_id < 40"), "user_id", "ts", "x", "y").withColumn("length", F.round("length", 3))
 
 
+@query(SQL["line_length"].replace(" where user_id < 40", ""))
+def line_length_whole(spark, sf):
+    return vectors.lengths(fixes(spark, sf), "user_id", "ts", "x", "y").withColumn("length", F.round("length", 3))
+
+
 @query("""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events where user_id < 12),
 s as (select *, lead(x) over o as x2, lead(y) over o as y2 from f window o as (partition by user_id order by ts)), d as (select *, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) as d from s),
 c as (select *, sum(coalesce(d, 0)) over (partition by user_id order by ts) - coalesce(d, 0) as before, sum(d) over (partition by user_id) as total from d),
@@ -252,6 +272,11 @@ def densify(spark, sf):
     return vectors.densified(fixes(spark, sf).where("user_id < 12"), "user_id", "ts", "x", "y", 500.0).select("user_id", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query(SQL["densify"].replace(" where user_id < 12", ""))
+def densify_whole(spark, sf):
+    return vectors.densified(fixes(spark, sf), "user_id", "ts", "x", "y", 500.0).select("user_id", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("""select id, kind, case kind when 'deployment' then start when 'check' then stop else cast(start::date + cast(n * 7 as int) as varchar) end as day from (
  select o_orderkey as id, unnest(case o_orderstatus when 'F' then ['deployment', 'check', 'event', 'event'] when 'O' then ['deployment', 'event'] else ['deployment', 'check'] end) as kind,
   unnest(case o_orderstatus when 'F' then [0, 0, 0, 1] when 'O' then [0, 0] else [0, 0] end) as n, cast(o_orderdate::date as varchar) as start, cast(o_orderdate::date + 30 as varchar) as stop from orders)""")
@@ -299,8 +324,23 @@ def outranks_random(spark, sf):
     return evidence.outranks_random(b.where("k <= 20"), b.where("k between 21 and 60"), ["area"], "value").withColumn("chance", r6("chance"))
 
 
+@query("""with b as (select event_type = 'purchase' as pin, user_id % 8 as area, value from events), p as (select area, value as p from b where pin), q as (select area, value as q from b where not pin)
+select area, round(avg(case when p < q then 1.0 when p = q then 0.5 else 0 end), 6) as chance from p join q using (area) group by 1""")
+def outranks_random_whole(spark, sf):
+    """Purchases among all other events of their area."""
+    b = events(spark, sf).select((F.col("user_id") % 8).alias("area"), "value", (F.col("event_type") == "purchase").alias("pin"))
+    return evidence.outranks_random(b.where("pin"), b.where("not pin"), ["area"], "value").withColumn("chance", r6("chance"))
+
+
 @query("""with m as (select user_id % 8 as area, value / 500 as rank from events where user_id % 8 < 4) select area, count(*) as pins, round(quantile_cont(rank, 0.5), 6) as median, round(avg((rank <= 0.10)::int), 6) as top10, round(avg((rank <= 0.25)::int), 6) as top25 from m group by grouping sets ((area), ())""")
 def area_metrics(spark, sf):
     m = events(spark, sf).where("user_id % 8 < 4").select((F.col("user_id") % 8).alias("area"), (F.col("value") / 500).alias("rank"))
     share = lambda x: r6(F.avg((F.col("rank") <= x).cast("double")))
     return m.groupingSets([["area"], []], "area").agg(F.count(F.lit(1)).alias("pins"), r6(F.median("rank")).alias("median"), share(0.10).alias("top10"), share(0.25).alias("top25"))
+
+
+@query(SQL["area_metrics"].replace(" where user_id % 8 < 4", ""))
+def area_metrics_whole(spark, sf):
+    m = events(spark, sf).select((F.col("user_id") % 8).alias("area"), (F.col("value") / 500).alias("rank"))
+    share = lambda x: r6(F.avg((F.col("rank") <= x).cast("double")))
+    return m.groupingSets([["area"], []], "area").agg(F.count(F.lit(1)).alias("pins"), r6(F.median("rank")).alias("median"), share(0.10).alias("top10"), share(0.25).alias("top25"))

@@ -217,6 +217,17 @@ def mean_flow_position(spark, sf):
     return v.select("label", "row", "col", F.round(F.try_divide(F.col("v") - low, high - low), 5).alias("position"))
 
 
+@query(SQL["mean_flow_position"].replace(" where (row + col) % 3 > 0", ""))
+def mean_flow_position_whole(spark, sf):
+    from pyspark.sql import Window
+
+    lab = layers(spark, sf).withColumn("label", (F.floor(F.col("row") / 8) * 8 + F.floor(F.col("col") / 8)).cast("int"))
+    w = Window.partitionBy("label")
+    v = lab.join(lab.groupBy("label").agg(F.avg("d").alias("flow")), "label").withColumn("v", F.col("z") * F.col("flow"))
+    low, high = F.min("v").over(w), F.max("v").over(w)
+    return v.select("label", "row", "col", F.round(F.try_divide(F.col("v") - low, high - low), 5).alias("position"))
+
+
 @query("""with {LATTICE}, n as (select i + 1 as label from range(70) t(i)), l as (select (row // 8) * 8 + col // 8 + 1 as label, z from lat)
 select cast(n.label as int) as label, count(z) as n, round(coalesce(sum(z), 0), 5) as total, coalesce(min(z), 0) as low, coalesce(max(z), 0) as high from n left join l on l.label = n.label group by 1""")
 def label_stats(spark, sf):
@@ -277,6 +288,12 @@ def least_cost(spark, sf):
     return graph.least_cost(small, "d", "source", 10.0).select("row", "col", r6("reach").alias("reach"))
 
 
+@query(SQL["least_cost"].replace(" where row < 8 and col < 8", ""))
+def least_cost_whole(spark, sf):
+    every = layers(spark, sf).withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
+    return graph.least_cost(every, "d", "source", 10.0).select("row", "col", r6("reach").alias("reach"))
+
+
 @query()
 def filled_depressions(spark, sf):
     quarter = layers(spark, sf).withColumn("area_id", (F.floor(F.col("row") / 32) * 2 + F.floor(F.col("col") / 32)).cast("int"))
@@ -329,6 +346,16 @@ def reason_list(spark, sf):
     return masked(spark, sf).where("row % 4 = 0").select("row", "col", F.array_join(picks.reasons(rules), "; ").alias("reasons"))
 
 
+@query(SQL["reason_list"].replace(" where row % 4 = 0", ""))
+def reason_list_whole(spark, sf):
+    rules = [
+        (F.col("z") >= 30, F.concat(F.lit("high ground at "), F.round("z").cast("int").cast("string"))),
+        (F.col("hit"), F.lit("dense cover")),
+        (F.col("d") < 0.03, F.lit("open")),
+    ]
+    return masked(spark, sf).select("row", "col", F.array_join(picks.reasons(rules), "; ").alias("reasons"))
+
+
 @query()
 def spaced_picks(spark, sf):
     quarter = scored(spark, sf).withColumn("area_id", (F.floor(F.col("row") / 32) * 2 + F.floor(F.col("col") / 32)).cast("int")).select("area_id", "row", "col", "score")
