@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,7 +43,7 @@ CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
-#: Elements that hold running text; in a marked main text they stay as long as their branch has no name.
+#: Elements that hold running text; in a marked main text less importance is asked of them as long as their branch has no name.
 TEXT = frozenset("div p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tr td th caption figure figcaption section article main address details summary".split())
 
 TOKEN = re.compile(
@@ -55,11 +55,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(
 
 @dataclass(frozen=True)
 class Settings:
-    """least: importance below which a branch goes. pages, share: a template node is on so many pages and
+    """least: importance below which a branch goes. marked: the same of an unnamed branch of a marked main text. pages, share: a template node is on so many pages and
     such a share of all pages of its host; a host with fewer pages takes the importance of a
     node from the tree of all hosts. gamma: how fast differing presentations raise importance."""
 
     least: float = 0.5
+    marked: float = 0.25
     pages: int = 5
     share: float = 0.001
     gamma: float = 0.9
@@ -189,12 +190,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for page in batch.column("html"):
             found, styles = parse(page.as_py())
-            judged = [b for b in found if not b.safe]
-            inner = {n for b in judged for n in b.nodes}
+            inner = {n for b in found for n in b.nodes}
             rows.append(
                 [{"kind": 0, "node": n, "feature": 0} for n in inner]
                 + [{"kind": 1, "node": n, "feature": _hash(s)} for n, s in styles.items() if n in inner and s]
-                + [{"kind": 2, "node": n, "feature": f} for n, f in {(b.nodes[-1] if b.nodes else "", _hash(b.text)) for b in judged}]
+                + [{"kind": 2, "node": n, "feature": f} for n, f in {(b.nodes[-1] if b.nodes else "", _hash(b.text)) for b in found}]
             )
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("node", pa.string()), ("feature", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, kind)], ["host", "features"])
@@ -225,7 +225,7 @@ def _importance(counted: DataFrame, s: Settings) -> DataFrame:
 
 
 def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Per host of pages (host, html) with such: nodes, the array of its nodes of low importance; size, its pages.
+    """Per host of pages (host, html) with such: nodes, the map of its nodes of low importance to that; size, its pages.
 
     Statistics are grouped aggregations of hashes over all pages; texts don't move. As a template node is on a share of a host's
     pages, and a page has few nodes, the array doesn't grow with the host.
@@ -243,15 +243,20 @@ def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     enough = F.col("pages") >= F.greatest(F.lit(s.pages), s.share * F.col("size"))
     noisy = F.when(enough, F.col("importance") < s.least).otherwise((F.col("size") < s.pages) & F.col("common") & (F.col("joint") < s.least))
     found = own.join(sizes, "host").join(joint, "node").where(noisy).where("node not in ('html', 'html>body', 'body')")
-    return found.groupBy("host").agg(F.collect_set("node").alias("nodes"), F.max("size").alias("size"))
+    of_node = F.struct("node", F.when(enough, F.col("importance")).otherwise(F.col("joint")).alias("importance"))
+    return found.groupBy("host").agg(F.map_from_entries(F.collect_list(of_node)).alias("nodes"), F.max("size").alias("size"))
 
 
-def main_text(page: str | None, noisy: frozenset[str]) -> str:
-    """The blocks of a page that are in no noisy branch; where the page marks its main text, of that alone."""
+def main_text(page: str | None, noisy: Mapping[str, float], s: Settings = Settings()) -> str:
+    """The blocks of a page that are in no noisy branch; where the page marks its main text, of that alone. noisy: nodes and their importance.
+
+    Pages that are copies of each other make all their nodes noisy; of a marked main text without any other block the unnamed branches stay.
+    """
     found, _ = parse(page)
     if any(b.main for b in found):
         found = [b for b in found if b.main]
-    return "\n".join(b.text for b in found if b.safe or noisy.isdisjoint(b.nodes))
+    kept = [b for b in found if not any(noisy.get(n, 1.0) < (s.marked if b.safe else s.least) for n in b.nodes)]
+    return "\n".join(b.text for b in kept or (b for b in found if b.safe))
 
 
 def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 << 20) -> DataFrame:
@@ -260,7 +265,7 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
     Branches named as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments (elements,
     roles, classes, ids, hidden) are no main text. Of the others those go whose node in the host's
     style tree is of low importance. If a page marks its main text (article, main), all outside it goes, and
-    text elements without a name of their own in it stay. Character references are decoded, white space in a block becomes one space.
+    text elements without a name of their own in it go only at a lower importance. Character references are decoded, white space in a block becomes one space.
     Null, empty and textless pages give an empty text. Null urls and urls without a host are one host; ids may repeat.
 
     The noisy nodes of all hosts are sent to all executors if they take at most sent_bytes; else those of large hosts are, and the others are joined by shuffling.
@@ -269,11 +274,11 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py(), frozenset(n.as_py() or ())) for p, n in zip(batch.column("html"), batch.column("nodes"))]
+            texts = [main_text(p.as_py(), dict(n.as_py() or ()), s) for p, n in zip(batch.column("html"), batch.column("nodes"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     noisy = keep(noisy_nodes(rows, s))
-    size = noisy.agg(F.sum(F.length(F.array_join("nodes", "")) + 64)).first()[0] or 0
+    size = noisy.agg(F.sum(F.length(F.array_join(F.map_keys("nodes"), "")) + 8 * F.size("nodes") + 64)).first()[0] or 0
     if size <= sent_bytes:
         joined = rows.join(F.broadcast(noisy), "host", "left")
     else:

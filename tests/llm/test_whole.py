@@ -1,0 +1,15 @@
+from spurline.llm import pages
+
+
+def test_identical_blocks_in_a_marked_text_go(spark):
+    """A notice in unnamed elements, or such with a plain name, on all pages of a host; texts of its own stay."""
+    page = "<html><body><article><h1>Title {i}</h1><div><p>The same notice.</p></div><section class='content'><ul><li>Share it<li>Print it</ul></section><p>Own text {i} of this page.<p>More {j}</article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, j=i * 7)) for i in range(40)]
+    rows += [(100 + i, "http://copies.example/", "<main><h1>One title</h1><p>One text</p></main>") for i in range(20)]
+    rows += [(200, "http://alone.example/", page.format(i="x", j="y"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (32 << 20, 0):
+        got = {r["page_id"]: r["text"] for r in pages.extract(df, sent_bytes=sent).collect()}
+        assert all(got[i] == f"Title {i}\nOwn text {i} of this page.\nMore {i * 7}" for i in range(40))
+        assert all(got[100 + i] == "One title\nOne text" for i in range(20))
+        assert got[200] == "Title x\nOwn text x of this page.\nMore y"
