@@ -55,14 +55,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(
 
 @dataclass(frozen=True)
 class Settings:
-    """least: importance below which a branch goes. marked: the same of an unnamed branch of a marked main text. pages, share: a template node is on so many pages and
-    such a share of all pages of its host; a host with fewer pages takes the importance of a
-    node from the tree of all hosts. gamma: how fast differing presentations raise importance."""
+    """least: importance below which a branch goes. marked: the same of an unnamed branch of a marked main text. pages: a template node is on so many pages of its host,
+    however many that has; a host with fewer pages takes the importance of a node from the tree of all hosts. gamma: how fast differing presentations raise importance."""
 
     least: float = 0.5
     marked: float = 0.25
     pages: int = 5
-    share: float = 0.001
     gamma: float = 0.9
 
 
@@ -225,10 +223,9 @@ def _importance(counted: DataFrame, s: Settings) -> DataFrame:
 
 
 def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Per host of pages (host, html) with such: nodes, the map of its nodes of low importance to that; size, its pages.
+    """host, node, importance: the nodes of low importance of each host of pages (host, html).
 
-    Statistics are grouped aggregations of hashes over all pages; texts don't move. As a template node is on a share of a host's
-    pages, and a page has few nodes, the array doesn't grow with the host.
+    Statistics are grouped aggregations of hashes over all pages; texts don't move.
     """
     counted = keep(
         pages.select("host", "html").mapInArrow(_features, "host string, features array<struct<kind int, node string, feature long>>")
@@ -238,13 +235,30 @@ def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     own, joint = _importance(counted, s), _importance(everywhere, s)
     # a page is where its outermost node is
     sizes = own.where("not contains(node, '>')").groupBy("host").agg(F.sum("pages").alias("size"))
-    total = joint.where("not contains(node, '>')").groupBy().agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("total"))
-    joint = joint.crossJoin(total).select("node", F.col("importance").alias("joint"), (F.col("pages") >= F.greatest(F.lit(s.pages), s.share * F.col("total"))).alias("common"))
-    enough = F.col("pages") >= F.greatest(F.lit(s.pages), s.share * F.col("size"))
+    joint = joint.select("node", F.col("importance").alias("joint"), (F.col("pages") >= s.pages).alias("common"))
+    enough = F.col("pages") >= s.pages
     noisy = F.when(enough, F.col("importance") < s.least).otherwise((F.col("size") < s.pages) & F.col("common") & (F.col("joint") < s.least))
     found = own.join(sizes, "host").join(joint, "node").where(noisy).where("node not in ('html', 'html>body', 'body')")
-    of_node = F.struct("node", F.when(enough, F.col("importance")).otherwise(F.col("joint")).alias("importance"))
-    return found.groupBy("host").agg(F.map_from_entries(F.collect_list(of_node)).alias("nodes"), F.max("size").alias("size"))
+    return found.select("host", "node", F.when(enough, F.col("importance")).otherwise(F.col("joint")).alias("importance"))
+
+
+def _listed(noisy: DataFrame, key: str) -> DataFrame:
+    return noisy.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes"))
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page and node of its blocks: row, host, node."""
+    for batch in batches:
+        found = [sorted({n for b in parse(page.as_py())[0] for n in b.nodes}) for page in batch.column("html")]
+        at = pa.array([i for i, nodes in enumerate(found) for _ in nodes], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("host").take(at), pa.array([n for nodes in found for n in nodes], pa.string())], ["row", "host", "node"])
+
+
+def _found_by_shuffling(rows: DataFrame, noisy: DataFrame) -> DataFrame:
+    """Adds nodes to rows: the noisy ones that each page itself has."""
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    on_page = numbered.select("row", "host", "html").mapInArrow(_nodes, "row long, host string, node string").join(noisy, ["host", "node"])
+    return numbered.join(_listed(on_page, "row"), "row", "left")
 
 
 def main_text(page: str | None, noisy: Mapping[str, float], s: Settings = Settings()) -> str:
@@ -259,7 +273,7 @@ def main_text(page: str | None, noisy: Mapping[str, float], s: Settings = Settin
     return "\n".join(b.text for b in kept or (b for b in found if b.safe))
 
 
-def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 << 20) -> DataFrame:
+def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 << 20, host_bytes: int = 64 << 10) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, and text: the main text, blocks joined by line breaks.
 
     Branches named as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments (elements,
@@ -268,7 +282,8 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
     text elements without a name of their own in it go only at a lower importance. Character references are decoded, white space in a block becomes one space.
     Null, empty and textless pages give an empty text. Null urls and urls without a host are one host; ids may repeat.
 
-    The noisy nodes of all hosts are sent to all executors if they take at most sent_bytes; else those of large hosts are, and the others are joined by shuffling.
+    The noisy nodes of hosts are sent to all executors if those of a host take at most host_bytes and all together sent_bytes. Those of other hosts
+    are joined, by shuffling, with the nodes of each page, which are numbered: pages with such hosts are to be read from files.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
 
@@ -278,11 +293,16 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     noisy = keep(noisy_nodes(rows, s))
-    size = noisy.agg(F.sum(F.length(F.array_join(F.map_keys("nodes"), "")) + 8 * F.size("nodes") + 64)).first()[0] or 0
-    if size <= sent_bytes:
-        joined = rows.join(F.broadcast(noisy), "host", "left")
+    hosts = keep(noisy.groupBy("host").agg(F.sum(F.length("node") + 16).alias("bytes")))
+    few = F.col("bytes") <= host_bytes
+    sent, wide = hosts.agg(F.sum(F.when(few, F.col("bytes") + 64).otherwise(64)), F.count_if(~few)).first()
+    if (sent or 0) > sent_bytes:
+        joined = _found_by_shuffling(rows, noisy)
     else:
-        # a host with over a thousandth of the pages is one of at most a thousand
-        large = F.broadcast(noisy.where(F.col("size") > rows.count() / 1000))
-        joined = rows.join(large, "host").unionByName(rows.join(large, "host", "left_anti").join(noisy, "host", "left"))
+        of_host = _listed(noisy.join(F.broadcast(hosts.where(few)), "host", "left_semi"), "host")
+        joined = rows.join(F.broadcast(of_host), "host", "left")
+        if wide:
+            many = F.broadcast(hosts.where(~few))
+            of_many = _found_by_shuffling(rows.join(many, "host", "left_semi"), noisy)
+            joined = joined.join(many, "host", "left_anti").select(*rows.columns, "nodes").unionByName(of_many.select(*rows.columns, "nodes"))
     return joined.select("page_id", "url", "html", "nodes").mapInArrow(run, "page_id long, url string, text string")

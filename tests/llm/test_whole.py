@@ -13,3 +13,16 @@ def test_identical_blocks_in_a_marked_text_go(spark):
         assert all(got[i] == f"Title {i}\nOwn text {i} of this page.\nMore {i * 7}" for i in range(40))
         assert all(got[100 + i] == "One title\nOne text" for i in range(20))
         assert got[200] == "Title x\nOwn text x of this page.\nMore y"
+
+
+def test_support_does_not_grow_with_the_table(spark, tmp_path):
+    """A menu on six pages of a host of 8,000, and a branch that six small hosts share: gone as in small tables."""
+    own = "<div class='col'><p>Own text {i} {j}</p></div>"
+    rows = [(i, "http://big.example/", "<body>" + ("<div class='strip'><span>To all parts</span></div>" if i < 6 else "") + own.format(i=i, j=i * 3)) for i in range(8000)]
+    rows += [(9000 + i, f"http://small{i}.example/", "<body><div class='lot'>Made with a kit</div>" + own.format(i=i, j="x")) for i in range(6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    df = spark.read.parquet(str(tmp_path / "pages"))
+    for sent, of_host in ((32 << 20, 64 << 10), (32 << 20, 0), (0, 64 << 10)):  # sent, hosts with many nodes, too many in all
+        got = {r["page_id"]: r["text"] for r in pages.extract(df, sent_bytes=sent, host_bytes=of_host).collect()}
+        assert len(got) == 8006 and all(got[i] == f"Own text {i} {i * 3}" for i in range(8000))
+        assert all(got[9000 + i] == f"Own text {i} x" for i in range(6))
