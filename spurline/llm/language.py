@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +23,14 @@ _LONG = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: of the hashed n-grams of bytes. rows: about how many declared rows the likelihoods are fitted
-    to, drawn by hash. least_share: a language needs this share of them, so there are at most 1 / least_share.
+    """bits: of the hashed n-grams of bytes. rows: about how many declared rows of each language the
+    likelihoods are fitted to, drawn by hash. least_rows: a language needs so many declared rows, of however many.
     temper: overlapping n-grams say the same thing this many times. host, domain, suffix: rows that the
     next wider level of the host prior counts for. sure: the least posterior of an accepted row."""
 
     bits: int = 16
     rows: int = 20_000
-    least_share: float = 0.001
+    least_rows: int = 5
     temper: float = 3.0
     host: float = 5.0
     domain: float = 20.0
@@ -74,31 +73,33 @@ def declared_in(page: Column) -> Column:
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Likelihoods:
-    """Fits likelihoods to docs (doc_id, text, lang) by their declared languages, on about s.rows rows drawn by hash.
+    """Fits likelihoods to docs (doc_id, text, lang) by their declared languages, on all rows of a language or about s.rows drawn by hash.
 
-    Rows without a declared language are left out. UNKNOWN takes every n-gram as equally likely. The counts that come
-    to the driver are at most 2**s.bits for each of at most 1 / s.least_share languages.
+    Rows without a declared language are left out. UNKNOWN takes every n-gram as equally likely. A likelihood is of its
+    own language's rows alone, so the shares of the languages, drawn or not, have no part in it. The counts that come
+    to the driver are at most 2**s.bits for each language.
     """
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"), subtag(F.col("lang").cast("string")).alias("lang")).where("lang is not null and text is not null")
-    there = named.count()
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007))
-    drawn = named.where(spread < 1_000_000_007 * min(1.0, s.rows / there)) if there > s.rows else named
-    shares = drawn.groupBy("lang").count().toArrow().to_pandas() if there else pd.DataFrame({"lang": [], "count": []})
-    names = tuple(sorted(shares["lang"][shares["count"] >= s.least_share * shares["count"].sum()]))
-    at = {n: i for i, n in enumerate(names)}
+    there = sorted((r["lang"], r["count"]) for r in named.groupBy("lang").count().where(F.col("count") >= s.least_rows).collect())
+    names = tuple(n for n, _ in there)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), 2**s.bits), dtype=np.int64)
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                for codes in grams(text.as_py(), s.bits) if lang in at else ():
-                    counts[at[lang]] += np.bincount(codes, minlength=2**s.bits)
-        lang, gram = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(counts[lang, gram])], ["lang", "gram", "n"])
+            for lang, text in zip(batch.column("at").to_pylist(), batch.column("text")):
+                for codes in grams(text.as_py(), s.bits):
+                    counts.setdefault(lang, np.zeros(2**s.bits, dtype=np.int64))
+                    counts[lang] += np.bincount(codes, minlength=2**s.bits)
+        for lang, n in counts.items():
+            gram = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, dtype=np.int32)), pa.array(gram.astype(np.int32)), pa.array(n[gram])], ["lang", "gram", "n"])
 
     counts = np.ones((2**s.bits, len(names) + 1))
     if names:
-        got = drawn.select("lang", "text").mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007))
+        parts = docs.sparkSession.createDataFrame([(n, i, int(1_000_000_007 * min(1.0, s.rows / k))) for i, (n, k) in enumerate(there)], "lang string, at int, below long")
+        drawn = named.join(F.broadcast(parts), "lang").where(spread < F.col("below"))
+        got = drawn.select("at", "text").mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
         np.add.at(counts, (got["gram"].to_numpy(), got["lang"].to_numpy()), got["n"].to_numpy())
     return Likelihoods((*names, UNKNOWN), np.log(counts / counts.sum(axis=0)).astype(np.float32))
 

@@ -1,4 +1,6 @@
-from spurline.llm import pages
+import random
+
+from spurline.llm import language, pages
 
 
 def test_identical_blocks_in_a_marked_text_go(spark):
@@ -26,3 +28,16 @@ def test_support_does_not_grow_with_the_table(spark, tmp_path):
         got = {r["page_id"]: r["text"] for r in pages.extract(df, sent_bytes=sent, host_bytes=of_host).collect()}
         assert len(got) == 8006 and all(got[i] == f"Own text {i} {i * 3}" for i in range(8000))
         assert all(got[9000 + i] == f"Own text {i} x" for i in range(6))
+
+
+def test_rare_language_is_kept(spark):
+    """Eight Korean documents of 12,008, under 0.1 percent, are fitted to and accepted; large languages are fitted to a part."""
+    rng = random.Random(5)
+    kinds = {"en": ["the", "and", "with", "thing", "over"], "de": ["und", "der", "schön", "nicht", "über"], "ko": ["나무", "사람", "하늘", "바다", "그리고"]}
+    rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(20)), lang, "s") for i, lang in enumerate([*["en", "de"] * 6000, *["ko"] * 8])]
+    docs = spark.createDataFrame([*rows, (20000, "the and", "qq", "s")], "doc_id long, text string, lang string, source string")
+    for s in (language.Settings(), language.Settings(rows=300)):
+        model = language.fit(docs, s)
+        assert model.names == ("de", "en", "ko", "und")
+        got = language.identify(language.from_documents(docs.where("doc_id % 50 = 0 or lang = 'ko'")).withColumn("was", F.col("lang")), model, s, carry=("was",)).collect()
+        assert len(got) > 200 and all(r["lang"] == r["was"] and r["accepted"] for r in got if r["was"] != "qq")
