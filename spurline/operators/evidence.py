@@ -98,14 +98,20 @@ def paired(stats: DataFrame, zone: str, arm: str, one: str, other: str) -> DataF
     return both.withColumns({"rate_a": rate("a"), "rate_b": rate("b"), "difference": rate("a") - rate("b")})
 
 
-def sign_flips(differences: DataFrame, value: str, most: int = 16) -> DataFrame:
-    """One row: n, total, p: the share of the 2**n ways to set the signs whose sum is at least as large. For n up to `most`."""
-    listed = differences.agg(F.sort_array(F.collect_list(F.col(value))).alias("d")).where(F.size("d") <= most)
-    ways = F.expr("sequence(0, shiftleft(1, size(d)) - 1)")
-    summed = F.expr("transform(ways, w -> aggregate(transform(d, (x, i) -> if(shiftright(w, i) % 2 = 1, x, -x)), 0D, (a, x) -> a + x))")
-    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    out = listed.withColumn("ways", ways).withColumn("sums", summed).withColumn("total", total)
-    return out.select(F.size("d").alias("n"), "total", (F.size(F.filter("sums", lambda x: x >= F.col("total") - 1e-9)) / F.size("sums")).alias("p"))
+def sign_flips(differences: DataFrame, value: str, most: int = 16, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: n, total, p: the share of the 2**n ways to set the signs whose sum is at least as large; 1 for none.
+
+    Beyond n = `most`, p is (1 + those of `draws`) / (1 + draws) with signs drawn by hashes of (seed, draw, place).
+    """
+    spark = differences.sparkSession
+    listed = differences.agg(F.sort_array(F.collect_list(F.col(value))).alias("d")).withColumn("total", F.aggregate("d", F.lit(0.0), lambda a, x: a + x))
+    few = listed.where(F.size("d") <= most).withColumn("way", F.explode(F.expr("sequence(0, shiftleft(1, size(d)) - 1)"))).withColumn("signed", F.expr("transform(d, (x, i) -> if(shiftright(way, i) % 2 = 1, x, -x))"))
+    many = spark.range(draws).withColumnRenamed("id", "way").crossJoin(F.broadcast(listed.where(F.size("d") > most)))  # listed: one row
+    many = many.withColumn("signed", F.expr(f"transform(d, (x, i) -> if(xxhash64({seed}, way, i) % 2 = 0, x, -x))"))
+    ways = few.select("d", "total", "signed").withColumn("own", F.lit(0)).unionByName(many.select("d", "total", "signed").withColumn("own", F.lit(1)))
+    hit = F.aggregate("signed", F.lit(0.0), lambda a, x: a + x) >= F.col("total") - 1e-9
+    out = ways.select(F.size("d").alias("n"), "total", "own", hit.alias("hit")).groupBy("n", "total", "own").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("ways"))
+    return out.select("n", "total", ((F.col("hits") + F.col("own")) / (F.col("ways") + F.col("own"))).alias("p"))
 
 
 def sign_test(df: DataFrame, value: str, middle: float = 0.5, by: Sequence[str] = ()) -> DataFrame:

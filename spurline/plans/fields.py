@@ -101,6 +101,11 @@ def sign_flip_exact(spark, sf):
     return evidence.sign_flips(d, "difference").select("n", r6("total").alias("total"), r6("p").alias("p"))
 
 
+@query()
+def sign_flip_whole(spark, sf):
+    return evidence.sign_flips(paired_zones(spark, sf), "difference").select("n", r6("total").alias("total"), r6("p").alias("p"))
+
+
 @query("""with e as (select event_type, count(*) filter (value > 250) as above, count(*) filter (value < 250) as below from events where user_id % 10 = 3 group by 1),
 lf as (select n, sum(ln(greatest(n, 1))) over (order by n) as f from range(20000) t(n))
 select event_type, cast(above as int) as above, cast(below as int) as below, round(sum(exp(a.f - b.f - c.f - (above + below) * ln(2))), 5) as p from e join lf a on a.n = above + below

@@ -69,3 +69,12 @@ def test_queries_take_whole_tables(spark, tmp_path):
     odd = [r for r in rows if r[2] % 2]
     assert sum(r["refs"] for r in fields.QUERIES["mid_rank_whole"](spark, str(tmp_path)).collect()) == sum(a[3] == b[3] for a in odd for b in rows if b[2] % 2 == 0)
     assert {"least_cost_whole", "reason_list_whole", "mean_flow_position_whole"} <= set(grids.QUERIES)
+
+
+def test_sign_flips_beyond_sixteen(spark):
+    of = lambda d: evidence.sign_flips(spark.createDataFrame([(x,) for x in d], "v double"), "v").first()
+    assert of([])["p"] == 1.0 and of([1.0, 2.0])["p"] == 0.25
+    d = [1.0] * 13 + [-1.0] * 7
+    r = of(d)
+    assert r["n"] == 20 and r["total"] == 6.0 and abs(r["p"] - sum(math.comb(20, k) for k in range(13, 21)) / 2**20) < 0.02
+    assert of([1.0] * 40)["p"] == 1 / 10_001 and of(d)["p"] == r["p"]
