@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GEOMETRY = "array<array<struct<lon:double,lat:double>>>"
+# Field names of the log and of the weather files.
 LOG = (
     "type string, v int, id string, name string, lat double, lon double, lion_seen boolean, arm string, zone string, start string, end string, detections int, times array<string>, "
     "downtime_nights double, trail_type string, deployment string, date string, removed boolean, datetime string, species string, count int, lines array<array<array<double>>>, notes string, logged string, shared_by string"
@@ -63,7 +64,7 @@ def feature_pages(spark: SparkSession, path: str, layer: str) -> DataFrame:
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("page"), F.posexplode("features").alias("place", "f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     deep = lambda n: F.from_json(text, "array<" * n + "double" + ">" * n)
-    point = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))
     line = lambda ps: F.transform(ps, point)
     lines = (
         F.when(kind == "Point", F.array(F.array(point(deep(1))))).when(kind == "LineString", F.array(line(deep(2))))
