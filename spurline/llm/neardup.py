@@ -10,23 +10,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spurline.llm.common import keep, segments
+from spurline.llm.common import SENT_ROWS, keep, segments, slices
 from spurline.llm.components import components, merged
 
 WORD = re.compile(r"\w+")
 _U = np.uint64
-#: Rows of three numbers that are sent to all executors at most.
-SENT_ROWS = 1_000_000
+#: Members of a bucket, and about how many shingles of theirs, that are compared at a time with as many others.
+BLOCK, SHINGLES = 256, 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """words: in a shingle; similarity: least Jaccard similarity of a link. bands of rows coordinates each make the signature.
-    weighted: shingles weigh their number of occurrences, not 1, in signatures and in similarity. rounds: of
-    comparisons with one member of a bucket's largest component, before its other pairs are compared."""
+    weighted: shingles weigh their number of occurrences, not 1, in signatures and in similarity."""
 
     words: int = 5
     similarity: float = 0.8
@@ -34,7 +33,6 @@ class Settings:
     rows: int = 6
     seed: int = 5
     weighted: bool = False
-    rounds: int = 2
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -52,7 +50,7 @@ def shingles(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
     A shingle is s.words lower-cased words in a row; a text with fewer words is one shingle; without words there is none.
     """
-    if len(_hashes) > 200_000:
+    if len(_hashes) > 100_000:
         _hashes.clear()
     codes = []
     for w in WORD.findall((text or "").lower()):
@@ -127,85 +125,81 @@ def _signed(s: Settings):
     """Per row: its number and id, a digest of its weighted set (null without words), the keys of its bands, and four bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sets = [shingles(t.as_py(), s) for t in part.column("text")]
-                if not s.weighted:
-                    sets = [(e, np.ones(len(e), dtype=np.int64)) for e, _ in sets]
-                digests = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).digest() if len(e) else None for e, w in sets]
-                # equal sets of a part are signed once
-                distinct = {d: x for d, x in zip(digests, sets) if d is not None}
-                keys: dict[bytes | None, list[int]] = {None: []}
-                nibbles: dict[bytes | None, list[int]] = {None: []}
-                if distinct:
-                    codes = signatures(list(distinct.values()), s).reshape(len(distinct), s.bands, s.rows)
-                    joint = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), (len(distinct), s.bands))
-                    for r in range(s.rows):
-                        joint = _mixed(joint ^ codes[:, :, r], r + 1)
-                    keys.update(zip(distinct, joint.view(np.int64).tolist()))
-                    bits = np.zeros((len(distinct), -(-s.bands * s.rows // 16) * 16), dtype=np.uint64)
-                    bits[:, : s.bands * s.rows] = codes.reshape(len(distinct), -1) & _U(15)
-                    packed = (bits.reshape(len(distinct), -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64)
-                    nibbles.update(zip(distinct, packed.view(np.int64).tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array([x[d] for d in digests], pa.list_(pa.int64())) for x in (keys, nibbles))],
-                    ["row", "doc_id", "digest", "keys", "nibbles"],
-                )
+        for part in slices(batches, "text", 200, 1 << 20):
+            sets = _weighted([shingles(t.as_py(), s) for t in part.column("text")], s)
+            digests = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).digest() if len(e) else None for e, w in sets]
+            # equal sets of a part are signed once
+            distinct = {d: x for d, x in zip(digests, sets) if d is not None}
+            keys: dict[bytes | None, list[int]] = {None: []}
+            nibbles: dict[bytes | None, list[int]] = {None: []}
+            if distinct:
+                codes = signatures(list(distinct.values()), s).reshape(len(distinct), s.bands, s.rows)
+                joint = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), (len(distinct), s.bands))
+                for r in range(s.rows):
+                    joint = _mixed(joint ^ codes[:, :, r], r + 1)
+                keys.update(zip(distinct, joint.view(np.int64).tolist()))
+                bits = np.zeros((len(distinct), -(-s.bands * s.rows // 16) * 16), dtype=np.uint64)
+                bits[:, : s.bands * s.rows] = codes.reshape(len(distinct), -1) & _U(15)
+                packed = (bits.reshape(len(distinct), -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64)
+                nibbles.update(zip(distinct, packed.view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(e) for e, _ in sets], pa.int64()), *(pa.array([x[d] for d in digests], pa.list_(pa.int64())) for x in (keys, nibbles))],
+                ["row", "doc_id", "digest", "size", "keys", "nibbles"],
+            )
 
     return run
 
 
 def _distances(s: Settings):
-    """Sorted rows (a, salt, b, text), the text of a first as b null: the Jaccard distance of each b from a."""
+    """Sorted rows (a, salt, b, text), the text of a first as b null: the links of a with each b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in segments(batches, ["a", "salt"]):
-            texts = block.column("text")
-            one, many = shingles(texts[0].as_py(), s)
-            away = []
-            for k in range(1, block.num_rows):
-                other, times = shingles(texts[k].as_py(), s)
-                if s.weighted:
-                    _, i, j = np.intersect1d(one, other, assume_unique=True, return_indices=True)
-                    both, total = np.minimum(many[i], times[j]).sum(), many.sum() + times.sum()
-                else:
-                    both, total = len(np.intersect1d(one, other, assume_unique=True)), len(one) + len(other)
-                away.append(1 - both / (total - both))
-            if away:
-                yield pa.RecordBatch.from_arrays([block.column("a")[1:], block.column("b")[1:], pa.array(away)], ["a", "b", "away"])
+            sets = _weighted([shingles(t.as_py(), s) for t in block.column("text")], s)
+            like = Overlaps(sets).similarity(0)[1:]
+            linked = pa.array(like >= s.similarity - 1e-12)
+            if block.num_rows > 1:
+                yield pa.RecordBatch.from_arrays([block.column("a")[1:].filter(linked), block.column("b")[1:].filter(linked)], ["a", "b"])
 
     return run
 
 
-def _compare(pairs: DataFrame, rows: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
-    """pairs: a, b, distinct; rows: row, text; index: id, row. Adds away.
+def _weighted(sets: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    return sets if s.weighted else [(e, np.ones(len(e), dtype=np.int64)) for e, _ in sets]
+
+
+class Overlaps:
+    """Jaccard similarities within a block of weighted sets (none empty), one set against all at a time."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        distinct, self.at = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+        self.weight = np.concatenate([w for _, w in sets])
+        self.ends = np.cumsum([0, *(len(e) for e, _ in sets)])
+        self.total = np.add.reduceat(self.weight, self.ends[:-1])
+        self.own = np.zeros(len(distinct), dtype=np.int64)
+
+    def similarity(self, i: int) -> np.ndarray:
+        mine = slice(self.ends[i], self.ends[i + 1])
+        self.own[self.at[mine]] = self.weight[mine]
+        both = np.add.reduceat(np.minimum(self.own[self.at], self.weight), self.ends[:-1])
+        self.own[self.at[mine]] = 0
+        return both / (self.total + self.total[i] - both)
 
-    A text that is compared with many is copied to blocks of about 256 of them. Which row goes to which blocks is a table of numbers; it is
-    sent to all executors up to SENT_ROWS rows, so that only the texts asked for are shuffled, once; a larger table is joined by shuffling.
-    """
-    salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    salted = keep(salted.select("a", "b", "salt"))
-    asked = salted.select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().unionByName(salted.select(F.col("b").alias("id"), "a", "salt", "b"))
-    asked = keep(asked.join(index, "id").select("row", "a", "salt", "b"))
-    asked = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
-    texts = rows.join(asked, "row").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return keep(texts.mapInArrow(_distances(s), "a long, b long, away double"))
 
+def _linked(pairs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """pairs: a, b, parts (blocks of a bucket of both); rows: row, text. The pairs that are links: a, b.
 
-def _linked(compared: DataFrame, s: Settings) -> DataFrame:
-    return compared.where(F.col("away") <= 1 - s.similarity + 1e-12).select("a", "b")
+    A text that is compared with many is copied to each block of them. Only the texts asked for are shuffled, once each and block.
+    """
+    salted = keep(pairs.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b"))
+    asked = salted.select(F.col("a").alias("row"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().unionByName(salted.select(F.col("b").alias("row"), "a", "salt", "b"))
+    texts = _with_texts(keep(asked), rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return texts.select("a", "salt", "b", "text").mapInArrow(_distances(s), "a long, b long")
 
 
-def _alike(one: str, other: str, s: Settings) -> Column:
-    """How many coordinates agree in the four bits kept of each; sixteen of them fill a number."""
-    count = F.lit(0)
-    for i in range(-(-s.bands * s.rows // 16)):
-        x = F.col(one)[i].bitwiseXOR(F.col(other)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        count = count + 16 - F.bit_count(x)
-    return count
+def _with_texts(asked: DataFrame, rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """asked joined with rows on row. It is a table of numbers, kept; up to `most` rows it is sent to all executors; a larger table is joined by shuffling."""
+    return rows.join(F.broadcast(asked) if asked.count() <= most else asked, "row")
 
 
 def _least_alike(s: Settings) -> int:
@@ -214,6 +208,69 @@ def _least_alike(s: Settings) -> int:
     return int(-(-k // 16) * 16 - k + k * p - 3 * (k * p * (1 - p)) ** 0.5)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _candidates(block: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a block that may be links: of different components and parts of the bucket as the block asks for, of signatures that
+    agree in enough coordinates, and in no bucket of an earlier band together."""
+    one, other, key = block.column("first")[0].as_py(), block.column("second")[0].as_py(), block.column("key")[0].as_py()
+    part, component = block.column("part").to_numpy(), block.column("component").to_numpy()
+    bits, keys = _matrix(block.column("nibbles")), _matrix(block.column("keys"))
+    left, right = np.flatnonzero(part == one), np.flatnonzero(part == other)
+    found = []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        x = bits[i][:, None, :] ^ bits[right][None, :, :]
+        for shift in (1, 2):
+            x |= (x >> shift) & (2 ** (64 - shift) - 1)
+        alike = bits.shape[1] * 16 - np.bitwise_count(x & 0x1111111111111111).sum(axis=2, dtype=np.int64)
+        a, b = np.nonzero((alike >= _least_alike(s)) & (component[i][:, None] != component[right][None, :]))
+        found.append(np.stack([i[a], right[b]]))
+    i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+    if one == other:
+        i, j = i[i < j], j[i < j]
+    first = (keys[i] == keys[j]).argmax(axis=1)
+    here = keys[i, first] == key
+    return i[here], j[here]
+
+
+def _promising(s: Settings):
+    """Of each block the rows that are in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in segments(batches, ["key", "first", "second"]):
+            yield block.take(pa.array(np.unique(np.concatenate(_candidates(block, s)))))
+
+    return run
+
+
+def _spanning(s: Settings):
+    """Of each block as few links as join all that its candidate pairs link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in segments(batches, ["key", "first", "second"]):
+            i, j = _candidates(block, s)
+            if not len(i):
+                continue
+            like = Overlaps(_weighted([shingles(t.as_py(), s) for t in block.column("text")], s))
+            group, links = block.column("component").to_numpy().copy(), []
+            for a in np.unique(i):
+                others = j[i == a]
+                others = others[group[others] != group[a]]
+                if len(others):
+                    for b in others[like.similarity(a)[others] >= s.similarity - 1e-12]:
+                        if group[a] != group[b]:
+                            group[group == group[b]] = group[a]
+                            links.append((a, b))
+            if links:
+                ids, at = block.column("id"), np.array(links)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
+
+    return run
+
+
 def near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, component_id, group_size, kept, row.
 
@@ -225,44 +282,39 @@ def near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Rows with equal sets are one class. Classes whose signatures agree in a band share a bucket: at
     similarity 0.8 a pair meets in none with a chance of 0.0007. In each bucket all are compared with one, not with each other; links give
-    components, and buckets in one component are finished, as more links can't change a group. In the rest all outside the bucket's largest
-    component are compared with one of it, s.rounds times, each time another. In buckets that are then still in several components, pairs
-    from different ones are compared too if their signatures agree in enough coordinates, which 0.999 of the pairs at similarity 0.8 do.
+    components, and buckets in one component are finished, as more links can't change a group. The members of the others are dealt into blocks of about
+    BLOCK, or fewer long ones, and each pair of blocks is one bounded piece of work: pairs from different components whose signatures agree in enough coordinates, which
+    0.999 of the pairs at similarity 0.8 do, are compared there, in the first band they share, and as few links as join their components are written. So no pairs
+    but links are ever rows, and those no more than the members of the blocks.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = keep(rows.mapInArrow(_signed(s), "row long, doc_id long, digest binary, keys array<long>, nibbles array<long>"))
+    signed = keep(rows.mapInArrow(_signed(s), "row long, doc_id long, digest binary, size long, keys array<long>, nibbles array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     classes = keep(
-        signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("keys").alias("keys"), F.first("nibbles").alias("nibbles"), F.count(F.lit(1)).alias("many"))
-        .withColumn("id", F.monotonically_increasing_id())
+        signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("keys").alias("keys"), F.first("nibbles").alias("nibbles"), F.max("size").alias("size"), F.count(F.lit(1)).alias("many"))
+        .withColumn("id", F.col("first.row"))
+    )
+    member = classes.select(F.explode("keys").alias("key"), "id", "size")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("int")
+    buckets = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"), F.min("id").alias("pivot")).where("n > 1").drop("n"))
+    member, texts = keep(member.join(buckets, "key").select("key", "id", "pivot", "parts")), rows.select("row", "text")
+
+    pairs = member.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("parts").alias("parts"))
+    group, named = components(_linked(pairs, texts, s)), F.coalesce("component", "id")
+
+    # what is left are buckets whose members are in different components
+    placed = keep(member.join(group, "id", "left").select("key", "id", "parts", named.alias("component")))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    dealt = (
+        placed.join(open_, "key", "left_semi").join(classes.select("id", "keys", "nibbles"), "id")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "id", "component", "keys", "nibbles")
     )
-    member = classes.select(F.explode("keys").alias("key"), "id")
-    buckets = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1"))
-    member = keep(member.join(buckets, "key").select("key", "id", "pivot"))
-    index, texts = classes.select("id", "first.row"), rows.select("row", "text")
-
-    pairs = keep(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    compared = _compare(pairs, texts, index, s)
-    group = components(_linked(compared, s))
-    named = F.coalesce("component", "id")
-    for turn in range(s.rounds + 1):
-        # what is left are buckets whose members are in different components
-        placed = member.select("key", "id").join(group, "id", "left").select("key", "id", named.alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("one"))
-        main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "one")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-        member = keep(placed.join(keep(main), "key").select("key", "id", "component", F.col("main.component").alias("most"), F.col("main.one").alias("pivot")))
-        if turn < s.rounds:
-            pairs = member.where("component <> most").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-        else:
-            one = member.join(classes.select("id", "nibbles"), "id").select("key", "id", "component", "nibbles")
-            other = one.select("key", F.col("id").alias("id_"), F.col("component").alias("component_"), F.col("nibbles").alias("nibbles_"))
-            apart = (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & (_alike("nibbles", "nibbles_", s) >= _least_alike(s))
-            pairs = one.join(other, "key").where(apart).select(F.col("id").alias("a"), F.col("id_").alias("b"))
-        pairs = keep(pairs.distinct().join(compared, ["a", "b"], "left_anti"))
-        if not pairs.count():
-            continue
-        new = _compare(pairs, texts, index, s)
-        compared, group = compared.unionByName(new), merged(group, _linked(new, s))
+    of_block, kinds = ["key", "first", "second"], "key long, first int, second int, part int, id long, component long, keys array<long>, nibbles array<long>"
+    asked = keep(dealt.repartition(*of_block).sortWithinPartitions(*of_block).mapInArrow(_promising(s), kinds)).withColumn("row", F.col("id"))
+    compared = _with_texts(asked, texts, SENT_ROWS // 32).select(*(k.split()[0] for k in kinds.split(", ")), "text")
+    links = keep(compared.repartition(*of_block).sortWithinPartitions(*of_block).mapInArrow(_spanning(s), "a long, b long"))
+    group = merged(group, links)
 
     placed = classes.join(group, "id", "left").select("digest", "first", "many", named.alias("component"))
     whole = keep(placed.groupBy("component").agg(F.min("first").alias("best"), F.sum("many").alias("group_size")))
