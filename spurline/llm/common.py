@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that count as white space in the contracts of this subpackage.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows of a few numbers that are sent to all executors at most; the same join shuffles beyond.
+SENT_ROWS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -69,6 +71,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most `rows` rows and about `size` bytes of a text or binary column, one row at least; what Arrow has freed goes back to the system after each batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys in sorted batches, each as one batch; holds one run and one batch at a time."""
     held: list[pa.RecordBatch] = []

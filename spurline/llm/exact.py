@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spurline.llm.common import SPACES, keep, shuffles
+from spurline.llm.common import SPACES, keep, shuffles, slices
 
 #: Bytes of UTF-8 in a block.
 BLOCK_BYTES = 8192
+#: Texts that a worker holds as Python bytes at a time.
+TEXTS = 200
 
 
 def _key(block: bytes, seed: int) -> bytes:
@@ -36,14 +38,14 @@ def _measured(size: int, seed: int):
     """Per row: its number, id, code points, digest of the bare text, and the sort key of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches, "raw", TEXTS):
             digests, keys = [], []
-            for text in batch.column("raw"):
+            for text in part.column("raw"):
                 bare, blocks = _blocks(text.as_py(), size)
                 digests.append(hashlib.sha256(bare).hexdigest())
                 keys.append([_key(b, seed) for b in blocks])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("points"), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.binary()))],
+                [part.column("row"), part.column("doc_id"), part.column("points"), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.binary()))],
                 ["row", "doc_id", "points", "text_sha256", "keys"],
             )
 
@@ -51,11 +53,11 @@ def _measured(size: int, seed: int):
 
 
 def _contents(size: int, seed: int):
-    """Each different block of a batch with its sort key."""
+    """Each different block of some texts with its sort key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = {b: _key(b, seed) for text in batch.column("raw") for b in _blocks(text.as_py(), size)[1]}
+        for part in slices(batches, "raw", TEXTS):
+            seen = {b: _key(b, seed) for text in part.column("raw") for b in _blocks(text.as_py(), size)[1]}
             yield pa.RecordBatch.from_arrays([pa.array(seen.values(), pa.binary()), pa.array(seen.keys(), pa.binary())], ["key", "block"])
 
     return run
