@@ -2,7 +2,8 @@
 
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids
 are one node. Nodes whose presentation and content hardly differ from page to page carry
-templates, so their branches go.
+templates. What a branch declares itself to be is a prior that its importance is multiplied with; branches
+whose product is low go.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spurline.llm.common import keep
+from spurline.llm.common import keep, slices
 from spurline.llm.urls import host_of
 
 # Elements and names that say what a branch is for.
@@ -43,6 +45,13 @@ CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
+#: What the importance of a branch, 0 to 1, is multiplied with: one declared as boilerplate by its element, role, class, id or as hidden; one outside
+#: the main text that the page marks; an unnamed one inside it; any other.
+DECLARED, OUTSIDE, INSIDE, PLAIN_BRANCH = 0.4, 0.4, 2.0, 1.0
+#: Elements nested deeper belong to the node of the element at this depth; ends that a tag implies are looked for so far up.
+DEPTH, SCOPE = 64, 512
+#: Pages that a worker counts together at most.
+PAGES = 500
 #: Elements that hold running text; in a marked main text less importance is asked of them as long as their branch has no name.
 TEXT = frozenset("div p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tr td th caption figure figcaption section article main address details summary".split())
 
@@ -55,21 +64,21 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(
 
 @dataclass(frozen=True)
 class Settings:
-    """least: importance below which a branch goes. marked: the same of an unnamed branch of a marked main text. pages: a template node is on so many pages of its host,
+    """least: importance times prior below which a branch goes. pages: a template node is on so many pages of its host,
     however many that has; a host with fewer pages takes the importance of a node from the tree of all hosts. gamma: how fast differing presentations raise importance."""
 
     least: float = 0.5
-    marked: float = 0.25
     pages: int = 5
     gamma: float = 0.9
 
 
 @dataclass
 class Block:
-    """A block of text and its style nodes, outermost first; safe: in a marked main text and in no named branch of it."""
+    """A block of text and its style node. declared: in a branch declared as boilerplate; main: in a marked main text; safe: in that, and in no named branch of it."""
 
-    nodes: list[str]
+    node: int
     text: str
+    declared: bool
     main: bool
     safe: bool
 
@@ -79,14 +88,58 @@ class _Open:
     """An open element. held: of an inline element whose text goes, the block's text before it."""
 
     tag: str
-    node: str
-    gone: bool = False
+    label: str
+    declared: bool = False
     main: bool = False
     named: bool = False
+    node: int = 0
+    depth: int = 0
     children: list[str] = field(default_factory=list)
     held: list[str] | None = None
 
 
+@dataclass
+class Parsed:
+    """blocks: in order. above: each node's parent, parents first; 0 is the page. styles: each node's presentation: its child elements in order, runs as one."""
+
+    blocks: list[Block]
+    above: dict[int, int]
+    styles: dict[int, int]
+
+    def textual(self) -> dict[int, list[int]]:
+        """The nodes with text in them, each with the nodes above it, itself first."""
+        found: dict[int, list[int]] = {}
+        for b in self.blocks:
+            way, n = [], b.node
+            while n and n not in found:
+                way.append(n)
+                n = self.above[n]
+            for k in reversed(way):
+                found[k] = [k, *found.get(self.above[k], ())]
+        return found
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+_nodes: dict[tuple[int, str], int] = {}
+
+
+def node(parent: int, label: str) -> int:
+    """The name of a style node: a hash of its parent's and its own label."""
+    if len(_nodes) > 200_000:
+        _nodes.clear()
+    found = _nodes.get((parent, label))
+    if found is None:
+        found = _nodes[parent, label] = _hash(f"{parent}>{label}") or 1
+    return found
+
+
+#: Nodes that hold every page's text.
+WHOLE = (0, node(0, "html"), node(node(0, "html"), "body"), node(0, "body"))
+
+
 def _attributes(rest: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, *values in ATTRIBUTE.findall(rest):
@@ -101,18 +154,15 @@ def _opened(tag: str, rest: str, above: _Open) -> _Open:
     names, role = {w for w in re.split(r"[^a-z]+", label) if w}, at.get("role", "").lower()
     heads = HEADS if above.main or tag in MAIN else frozenset()
     hidden = "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.IGNORECASE)
-    gone = above.gone or bool(names & NAMES - heads or hidden) or tag in NOT_MAIN or role in ROLES or (tag == "header" and not above.main)
+    declared = above.declared or bool(names & NAMES - heads or hidden) or tag in NOT_MAIN or role in ROLES or (tag == "header" and not above.main)
     named = above.main and (above.named or tag not in TEXT or bool(names - PLAIN - heads))
-    return _Open(tag, ".".join([tag, *sorted(names)]), gone, above.main or tag in MAIN or role == "main", named)
-
+    return _Open(tag, ".".join([tag, *sorted(names)]), declared, above.main or tag in MAIN or role == "main", named)
 
-def parse(page: str | None) -> tuple[list[Block], dict[str, str]]:
-    """The blocks of a page outside branches named as no main text, and each node's presentation: its child nodes in order, runs as one."""
-    page, out, styles = page or "", [], {}
-    stack, run = [_Open("", "")], []
 
-    def nodes(upto: int) -> list[str]:
-        return [">".join(e.node for e in stack[1 : i + 1]) for i in range(1, upto)]
+def parse(page: str | None) -> Parsed:
+    """The blocks of a page with their style nodes; text of scripts, styles and the like, and of declared inline elements, is left out."""
+    page, out = page or "", Parsed([], {}, {})
+    stack, run, there = [_Open("", "")], [], Counter()
 
     def settle() -> None:
         """Ends inline elements whose text goes."""
@@ -124,14 +174,24 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, str]]:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         top = stack[-1]
-        if text and not top.gone:
-            out.append(Block(nodes(len(stack)), text, top.main, top.main and not top.named))
+        if text:
+            out.blocks.append(Block(top.node, text, top.declared, top.main, top.main and not top.named))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            if not stack[-1].gone:
-                styles[">".join(e.node for e in stack[1:])] = " ".join(stack[-1].children)
-            stack.pop()
+            e = stack.pop()
+            there[e.tag] -= 1
+            out.styles[e.node] = _hash(" ".join(e.children)) if e.children else out.styles.get(e.node, 0)
+
+    def top_down(tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> int:
+        """The place of the outermost open element of tags above the innermost of stop."""
+        found = len(stack)
+        if any(there[t] > 0 for t in tags):
+            for i in range(len(stack) - 1, max(0, len(stack) - 1 - SCOPE), -1):
+                if stack[i].tag in stop:
+                    break
+                found = i if stack[i].tag in tags else found
+        return found
 
     at = 0
     while at < len(page):
@@ -155,90 +215,89 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, str]]:
         elif tag in INLINE:
             if end and stack[-1].held is not None and stack[-1].tag == tag:
                 settle()
-            elif not end and rest.strip() and not stack[-1].gone and (inner := _opened(tag, rest, stack[-1])).gone:
-                inner.held, run = run, []
+            elif not end and rest.strip() and not stack[-1].declared and (inner := _opened(tag, rest, stack[-1])).declared:
+                inner.held, inner.node, inner.depth, run = run, stack[-1].node, stack[-1].depth, []
                 stack.append(inner)
         else:
             flush()
             if end:
-                close(next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), len(stack)))
+                close(next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), len(stack)) if there[tag] > 0 else len(stack))
                 continue
             if tag in CLOSES:
-                ended, within = CLOSES[tag]
-                floor = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in within), 0)
-                close(next((i for i in range(floor + 1, len(stack)) if stack[i].tag in ended), len(stack)))
+                close(top_down(*CLOSES[tag]))
             elif stack[-1].tag == "p":
                 close(len(stack) - 1)
-            new = _opened(tag, rest, stack[-1])
-            if not new.gone and stack[-1].children[-1:] != [new.node]:
-                stack[-1].children.append(new.node)
+            top = stack[-1]
+            new = _opened(tag, rest, top)
+            new.depth = top.depth + 1
+            new.node = node(top.node, new.label) if new.depth <= DEPTH else top.node
+            if new.node != top.node:
+                out.above.setdefault(new.node, top.node)
+                if top.children[-1:] != [new.label]:
+                    top.children.append(new.label)
+            there[tag] += 1
             stack.append(new)
     flush()
     close(1)
-    return out, styles
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Once for each page: its nodes (kind 0), their presentations (1) and the texts in them (2)."""
-    for batch in batches:
-        rows = []
-        for page in batch.column("html"):
-            found, styles = parse(page.as_py())
-            inner = {n for b in found for n in b.nodes}
-            rows.append(
-                [{"kind": 0, "node": n, "feature": 0} for n in inner]
-                + [{"kind": 1, "node": n, "feature": _hash(s)} for n, s in styles.items() if n in inner and s]
-                + [{"kind": 2, "node": n, "feature": f} for n, f in {(b.nodes[-1] if b.nodes else "", _hash(b.text)) for b in found}]
-            )
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("node", pa.string()), ("feature", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, kind)], ["host", "features"])
+    """On how many pages of a host each node is under each above it, itself too (kind 0), has each presentation (1), and holds each text (2); node 0 is the page."""
+    for part in slices(batches, "html", PAGES):
+        counts = Counter()
+        for host, page in zip(part.column("host").to_pylist(), part.column("html")):
+            found = parse(page.as_py())
+            if not found.blocks:
+                continue
+            textual = found.textual()
+            counts[host, 0, 0, 0] += 1
+            counts.update((host, 0, n, a) for n, way in textual.items() for a in way)
+            counts.update((host, 1, n, found.styles[n]) for n in textual if found.styles.get(n))
+            counts.update({(host, 2, b.node, _hash(b.text)) for b in found.blocks})
+        columns = list(zip(*counts)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(counts.values(), pa.int64())], ["host", "kind", "node", "feature", "n"])
 
 
-def _importance(counted: DataFrame, s: Settings) -> DataFrame:
-    """counted: host, kind, node, feature, n (pages). Per host and node: its pages and importance.
+def importance(counted: DataFrame, s: Settings) -> DataFrame:
+    """counted: host, kind, node, feature, n (pages) of _features. Per host and node: its pages and importance.
 
     Importance is (1 - gamma**l) * E + gamma**l * C: l presentations with entropy E to the base of the node's pages, and
-    C the mean, over the texts in the branch, of 1 minus the entropy of a text's pages, ln(pages of text) / ln(pages of node).
+    C the mean, over the texts in the branch, of 1 minus the entropy of a text's pages, ln(pages of text) / ln(pages of its node).
+    The sums need no join: they are taken of n first, and divided by the node's pages after.
     """
-    at = counted.where("kind = 0").select("host", "node", F.col("n").alias("pages"))
-    base = F.ln(F.greatest(F.col("pages"), F.lit(2)))
-    texts = (
-        counted.where("kind = 2").join(at, ["host", "node"])
-        .groupBy("host", "node").agg(F.sum(F.ln("n") / base).alias("h"), F.count(F.lit(1)).alias("texts"))
-        .withColumn("above", F.expr("transform(sequence(1, size(split(node, '>'))), i -> substring_index(node, '>', i))"))
-        .select("host", "h", "texts", F.explode("above").alias("node"))
-        .groupBy("host", "node").agg((1 - F.sum("h") / F.sum("texts")).alias("content"))
-    )
-    p = F.col("n") / F.col("pages")
-    styles = counted.where("kind = 1").join(at, ["host", "node"]).groupBy("host", "node").agg(F.sum(-p * F.ln(p) / base).alias("e"), F.count(F.lit(1)).alias("l"))
-    kept = F.pow(F.lit(s.gamma), F.coalesce("l", F.lit(0)))
-    alone = F.when(F.col("pages") < 2, 1.0)
-    return at.join(texts, ["host", "node"]).join(styles, ["host", "node"], "left").select(
-        "host", "node", "pages", F.coalesce(alone, (1 - kept) * F.coalesce("e", F.lit(0.0)) + kept * F.col("content")).alias("importance")
+    n, own = F.col("n"), lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    nodes = counted.groupBy("host", "node").agg(
+        own(0, F.when(F.col("node") == F.col("feature"), n)).alias("pages"), own(1, 1).alias("l"), own(1, n).alias("shown"), own(1, n * F.ln(n)).alias("shown_ln"), own(2, 1).alias("texts"), own(2, F.ln(n)).alias("texts_ln")
     )
+    base = F.ln(F.greatest("pages", F.lit(2)))
+    nodes = nodes.where("pages is not null").withColumns({"base": base, "h": F.col("texts_ln") / base, "e": (F.col("shown") * F.ln("pages") - F.col("shown_ln")) / F.col("pages") / base})
+    ways = counted.where("kind = 0").select("host", "node", F.col("feature").alias("of"))
+    branch = ways.join(nodes.where("texts > 0").select("host", "node", "h", "texts"), ["host", "node"]).groupBy("host", F.col("of").alias("node")).agg((1 - F.sum("h") / F.sum("texts")).alias("content"))
+    kept = F.pow(F.lit(s.gamma), F.coalesce("l", F.lit(0)))
+    found = (1 - kept) * F.coalesce("e", F.lit(0.0)) + kept * F.col("content")
+    return nodes.join(branch, ["host", "node"]).select("host", "node", "pages", F.when(F.col("pages") < 2, 1.0).otherwise(found).alias("importance"))
 
 
-def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """host, node, importance: the nodes of low importance of each host of pages (host, html).
+def count_features(pages: DataFrame) -> DataFrame:
+    """pages: host, html. The rows of _features over all of them: a grouped aggregation of hashes; texts don't move."""
+    kinds = "host string, kind int, node long, feature long, n long"
+    return pages.select("host", "html").mapInArrow(_features, kinds).groupBy("host", "kind", "node", "feature").agg(F.sum("n").alias("n"))
 
-    Statistics are grouped aggregations of hashes over all pages; texts don't move.
-    """
-    counted = keep(
-        pages.select("host", "html").mapInArrow(_features, "host string, features array<struct<kind int, node string, feature long>>")
-        .select("host", F.explode("features").alias("f")).groupBy("host", "f.kind", "f.node", "f.feature").agg(F.count(F.lit(1)).alias("n"))
-    )
+
+def noisy_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """host, node, importance: the nodes of low importance of each host of pages (host, html)."""
+    counted = keep(count_features(pages))
     everywhere = counted.groupBy("kind", "node", "feature").agg(F.sum("n").alias("n")).withColumn("host", F.lit(""))
-    own, joint = _importance(counted, s), _importance(everywhere, s)
-    # a page is where its outermost node is
-    sizes = own.where("not contains(node, '>')").groupBy("host").agg(F.sum("pages").alias("size"))
+    own, joint = importance(counted, s), importance(everywhere, s)
+    sizes = counted.where("kind = 0 and node = 0").select("host", F.col("n").alias("size"))
+    # importances above may matter only where a prior lets them
+    low = max([s.least, *(x for p in (DECLARED, OUTSIDE) if (x := s.least / p) <= 1)])
     joint = joint.select("node", F.col("importance").alias("joint"), (F.col("pages") >= s.pages).alias("common"))
     enough = F.col("pages") >= s.pages
-    noisy = F.when(enough, F.col("importance") < s.least).otherwise((F.col("size") < s.pages) & F.col("common") & (F.col("joint") < s.least))
-    found = own.join(sizes, "host").join(joint, "node").where(noisy).where("node not in ('html', 'html>body', 'body')")
+    noisy = F.when(enough, F.col("importance") < low).otherwise((F.col("size") < s.pages) & F.col("common") & (F.col("joint") < low))
+    found = own.join(sizes, "host").join(joint, "node").where(noisy).where(~F.col("node").isin(*WHOLE))
     return found.select("host", "node", F.when(enough, F.col("importance")).otherwise(F.col("joint")).alias("importance"))
 
 
@@ -246,41 +305,49 @@ def _listed(noisy: DataFrame, key: str) -> DataFrame:
     return noisy.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes"))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page and node of its blocks: row, host, node."""
     for batch in batches:
-        found = [sorted({n for b in parse(page.as_py())[0] for n in b.nodes}) for page in batch.column("html")]
+        found = [list(parse(page.as_py()).textual()) for page in batch.column("html")]
         at = pa.array([i for i, nodes in enumerate(found) for _ in nodes], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("host").take(at), pa.array([n for nodes in found for n in nodes], pa.string())], ["row", "host", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("host").take(at), pa.array([n for nodes in found for n in nodes], pa.int64())], ["row", "host", "node"])
 
 
 def _found_by_shuffling(rows: DataFrame, noisy: DataFrame) -> DataFrame:
     """Adds nodes to rows: the noisy ones that each page itself has."""
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    on_page = numbered.select("row", "host", "html").mapInArrow(_nodes, "row long, host string, node string").join(noisy, ["host", "node"])
+    on_page = numbered.select("row", "host", "html").mapInArrow(_nodes_of, "row long, host string, node long").join(noisy, ["host", "node"])
     return numbered.join(_listed(on_page, "row"), "row", "left")
 
 
-def main_text(page: str | None, noisy: Mapping[str, float], s: Settings = Settings()) -> str:
-    """The blocks of a page that are in no noisy branch; where the page marks its main text, of that alone. noisy: nodes and their importance.
+def main_text(page: str | None, noisy: Mapping[int, float], s: Settings = Settings()) -> tuple[str, int]:
+    """The blocks of a page whose branch's importance times prior is high enough, and the number of blocks that the tree finds unimportant without any prior.
 
-    Pages that are copies of each other make all their nodes noisy; of a marked main text without any other block the unnamed branches stay.
+    noisy: nodes and their importance; that of others is 1, that of a branch the least of its nodes. Pages that are copies of each other make all their nodes noisy; of
+    a marked main text without any other block the unnamed branches stay.
     """
-    found, _ = parse(page)
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    kept = [b for b in found if not any(noisy.get(n, 1.0) < (s.marked if b.safe else s.least) for n in b.nodes)]
-    return "\n".join(b.text for b in kept or (b for b in found if b.safe))
+    found, low = parse(page), {0: 1.0}
+    for n, parent in found.above.items():
+        low[n] = min(noisy.get(n, 1.0), low[parent])
+    marked = any(b.main and not b.declared for b in found.blocks)
+    kept = []
+    for b in found.blocks:
+        prior = DECLARED if b.declared else OUTSIDE if marked and not b.main else INSIDE if b.safe else PLAIN_BRANCH
+        if low[b.node] * prior >= s.least:
+            kept.append(b)
+    text = "\n".join(b.text for b in kept or (b for b in found.blocks if b.safe and not b.declared))
+    return text, sum(low[b.node] < s.least for b in found.blocks)
 
 
 def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 << 20, host_bytes: int = 64 << 10) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, and text: the main text, blocks joined by line breaks.
+    """Per row of pages (page_id, url, html): page_id, url, text: the main text, blocks joined by line breaks, and n_noisy: blocks whose branch alone is of low importance.
 
-    Branches named as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments (elements,
-    roles, classes, ids, hidden) are no main text. Of the others those go whose node in the host's
-    style tree is of low importance. If a page marks its main text (article, main), all outside it goes, and
-    text elements without a name of their own in it go only at a lower importance. Character references are decoded, white space in a block becomes one space.
-    Null, empty and textless pages give an empty text. Null urls and urls without a host are one host; ids may repeat.
+    Every block's branch has an importance by its host's style tree, declared boilerplate and what is outside a marked main text (article, main)
+    too. It is multiplied with a prior: low for branches declared as menus, headers, footers, sidebars, notices, adverts, forms or comments (elements,
+    roles, classes, ids, hidden) and for all outside a marked main text, high for text elements without a name of their own in that. Branches
+    whose product is under s.least go; at the least of 0.5 a prior of 0.4 decides alone. Text of scripts, styles, and the like is none. Character references are decoded, white space in a block becomes one space.
+    Null, empty and textless pages give an empty text. Null urls and urls without a host are one host; ids may repeat. Work and memory are linear in a
+    page's length: elements nested over 64 deep share a node.
 
     The noisy nodes of hosts are sent to all executors if those of a host take at most host_bytes and all together sent_bytes. Those of other hosts
     are joined, by shuffling, with the nodes of each page, which are numbered: pages with such hosts are to be read from files.
@@ -288,12 +355,14 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(p.as_py(), dict(n.as_py() or ()), s) for p, n in zip(batch.column("html"), batch.column("nodes"))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        for part in slices(batches, "html", PAGES):
+            found = [main_text(p.as_py(), dict(n.as_py() or ()), s) for p, n in zip(part.column("html"), part.column("nodes"))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_noisy"]
+            )
 
     noisy = keep(noisy_nodes(rows, s))
-    hosts = keep(noisy.groupBy("host").agg(F.sum(F.length("node") + 16).alias("bytes")))
+    hosts = keep(noisy.groupBy("host").agg((F.count(F.lit(1)) * 32).alias("bytes")))
     few = F.col("bytes") <= host_bytes
     sent, wide = hosts.agg(F.sum(F.when(few, F.col("bytes") + 64).otherwise(64)), F.count_if(~few)).first()
     if (sent or 0) > sent_bytes:
@@ -305,4 +374,4 @@ def extract(pages: DataFrame, s: Settings = Settings(), sent_bytes: int = 32 <<
             many = F.broadcast(hosts.where(~few))
             of_many = _found_by_shuffling(rows.join(many, "host", "left_semi"), noisy)
             joined = joined.join(many, "host", "left_anti").select(*rows.columns, "nodes").unionByName(of_many.select(*rows.columns, "nodes"))
-    return joined.select("page_id", "url", "html", "nodes").mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "nodes").mapInArrow(run, "page_id long, url string, text string, n_noisy long")
