@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spurline.llm.common import keep, segments
+from spurline.llm.common import SENT_ROWS, keep, segments
 from spurline.llm.components import components
 
 
@@ -114,31 +114,56 @@ def _placed(s: Settings):
     return run
 
 
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of the links between n rows, those by which a search reaches each row first: as few as join the same rows."""
+    linked = np.zeros((n, n), dtype=bool)
+    linked[i, j] = linked[j, i] = True
+    unseen, found = linked.any(axis=1), []
+    while unseen.any():
+        ways = [int(unseen.argmax())]
+        unseen[ways[0]] = False
+        while ways:
+            at = ways.pop()
+            new = np.flatnonzero(linked[at] & unseen)
+            unseen[new] = False
+            found += [(at, k) for k in new]
+            ways += new.tolist()
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+
 def _compared(s: Settings):
-    """The links in each cell's blocks; each link once: in the first table whose cells join the pair, in the smaller id's cell if both do."""
+    """Of each pair of blocks of a cell: rows a, n: the other rows (equal ones of a class each) that a links with, and rows a, b: as few links as join the same.
+
+    Each link counts once: in the first table whose cells join the pair, in the smaller id's cell if both do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in segments(batches, ["label", "dim", "place", "key", "first", "second"]):
-            ids, part = block.column("id").to_numpy(), block.column("part").to_numpy()
+            ids, at = np.unique(block.column("id").to_numpy(), return_index=True)  # two probes of a row may meet in a cell
+            block = block.take(pa.array(at))
+            part, many = block.column("part").to_numpy(), block.column("many").to_numpy()
             place, key = block.column("place")[0].as_py(), np.int64(block.column("key")[0].as_py())
             unit = _units(block.column("vector"))[0][1]
             one, other = block.column("first")[0].as_py(), block.column("second")[0].as_py()
             left, right = np.flatnonzero(part == one), np.flatnonzero(part == other)
             i, j = np.nonzero(unit[left] @ unit[right].T >= s.cosine)
             i, j = left[i], right[j]
-            i, j = (x[ids[i] < ids[j]] for x in (i, j)) if one == other else (i, j)
+            i, j = (i[i < j], j[i < j]) if one == other else (np.minimum(i, j), np.maximum(i, j))  # rows are in order of ids
             if not len(i):
                 continue
-            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-            keys = cells(unit, s).view(np.int64)
+            keys, counted = cells(unit, s).view(np.int64), np.zeros(len(i), dtype=bool)
             for at in range(0, len(i), 100_000):
                 a, b = i[at : at + 100_000], j[at : at + 100_000]
                 by_a = (keys[a, :, :1] == keys[b]).any(axis=2)
                 by_b = (keys[b, :, :1] == keys[a]).any(axis=2)
                 met = by_a | by_b
-                here = met.any(axis=1) & (met.argmax(axis=1) == place) & (np.where(by_a[:, place], keys[a, place, 0], keys[b, place, 0]) == key)
-                if here.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[here]]), pa.array(ids[b[here]])], ["a", "b"])
+                counted[at : at + 100_000] = met.any(axis=1) & (met.argmax(axis=1) == place) & (np.where(by_a[:, place], keys[a, place, 0], keys[b, place, 0]) == key)
+            i, j = i[counted], j[counted]
+            links = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
+            of, tree = np.flatnonzero(links), _forest(i, j, len(ids))
+            null = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), null(len(of)), pa.array(links[of].astype(np.int64))], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[tree[:, 0]]), pa.array(ids[tree[:, 1]]), null(len(tree))], ["a", "b", "n"])
 
     return run
 
@@ -154,8 +179,8 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Equal vectors of a label are one class with a multiplicity. Each class goes to one cell in each table and probes the cells
     of the neighbouring lattice points. Only cells that hold a vector and anything else are compared: their rows are dealt into
-    blocks of about s.block_rows, and each pair of blocks is one matrix product, so a crowded cell is many bounded pieces of work and no
-    pairs but links are written.
+    blocks of about s.block_rows, and each pair of blocks is one matrix product, so a crowded cell is many bounded pieces of work. Written are
+    each row's number of links in a pair of blocks, and as few links as join what is linked there: no more than twice the rows compared.
     """
     kind = dict(vectors.dtypes)["embedding"]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -163,19 +188,21 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     sound = F.coalesce(F.expr("label is not null and size(vector) > 0 and forall(vector, x -> x is not null and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"), F.lit(False))
     classes = keep(rows.where(sound).groupBy("label", "vector").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
 
-    placed = keep(classes.select("id", "label", "vector").mapInArrow(_placed(s), "id long, label string, dim int, place int, key long, own boolean").distinct())
+    placed = keep(classes.select("id", "label", "vector").mapInArrow(_placed(s), "id long, label string, dim int, place int, key long, own boolean"))
     cell = ["label", "dim", "place", "key"]
     busy = keep(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("held")).where("held and n > 1").select(*cell, F.ceil(F.col("n") / s.block_rows).cast("int").alias("parts")))
+    # most probes meet nobody; where the busy cells are few enough to be sent, the others are dropped before anything is shuffled again
+    met = placed.join(F.broadcast(busy) if busy.count() <= SENT_ROWS else busy, cell)
     dealt = (
-        placed.join(busy, cell).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("id", *cell, "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
     )
     group = [*cell, "first", "second"]
-    links = keep(dealt.join(classes.select("id", "vector"), "id").repartition(*group).sortWithinPartitions(*group).mapInArrow(_compared(s), "a long, b long"))
+    found = keep(dealt.join(classes.select("id", "vector", "many"), "id").repartition(*group).sortWithinPartitions(*group).mapInArrow(_compared(s), "a long, b long, n long"))
 
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("id").alias("b"), "many"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("others"))
+    linked = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    links = found.where("b is not null").select("a", "b")
     joined = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     found = keep(
