@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,23 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spurline.llm.common import keep
+from spurline.llm.common import keep, slices
 from spurline.llm.urls import host_of
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[a-z/!?][^>]*(?:>|\Z)")
-_LONG = 200_000
+#: Words of a text that are read at a time.
+_LONG = 30_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: of the hashed n-grams of bytes. rows: about how many declared rows of each language the
+    """bits: of the hashed n-grams of bytes. unseen: an n-gram that a language's rows lack speaks against it so many times to one at most. rows: about how many declared rows of each language the
     likelihoods are fitted to, drawn by hash. least_rows: a language needs so many declared rows, of however many.
     temper: overlapping n-grams say the same thing this many times. host, domain, suffix: rows that the
     next wider level of the host prior counts for. sure: the least posterior of an accepted row."""
 
     bits: int = 16
+    unseen: float = 4.0
     rows: int = 20_000
     least_rows: int = 5
     temper: float = 3.0
@@ -40,21 +43,24 @@ class Settings:
 
 @dataclass(frozen=True)
 class Likelihoods:
-    """names: the languages, then UNKNOWN; table: log P(n-gram | language), one row for each n-gram."""
+    """names: the languages, then UNKNOWN; table: log P(n-gram | language), one row for each n-gram, held from below as fit() says."""
 
     names: tuple[str, ...]
     table: np.ndarray
 
 
 def grams(text: str | None, bits: int) -> Iterator[np.ndarray]:
-    """Hashed trigrams of the bytes of the lower-cased letters of a text, words parted by one space; none without letters."""
-    text = text or ""
-    for at in range(0, len(text), _LONG):
-        words = WORD.findall(text[at : at + _LONG].lower())
-        if words:
-            b = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
-            codes = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-            yield (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    """Hashed trigrams of the bytes of the lower-cased letters of a text, words parted by one space; none without letters.
+
+    A long text comes in pieces of _LONG words; each starts with the two bytes before it, so no trigram is lost between them.
+    """
+    found, before = WORD.finditer((text or "").lower()), b" "
+    while words := [m[0] for m in itertools.islice(found, _LONG)]:
+        joined = before + f"{' '.join(words)} ".encode("utf-8", "replace")
+        before = joined[-2:]
+        b = np.frombuffer(joined, dtype=np.uint8).astype(np.uint32)
+        codes = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        yield (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
 def visible(page: str | None) -> str:
@@ -75,8 +81,9 @@ def declared_in(page: Column) -> Column:
 def fit(docs: DataFrame, s: Settings = Settings()) -> Likelihoods:
     """Fits likelihoods to docs (doc_id, text, lang) by their declared languages, on all rows of a language or about s.rows drawn by hash.
 
-    Rows without a declared language are left out. UNKNOWN takes every n-gram as equally likely. A likelihood is of its
-    own language's rows alone, so the shares of the languages, drawn or not, have no part in it. The counts that come
+    Rows without a declared language are left out. UNKNOWN takes every n-gram as equally likely, at 2**-s.bits. A language holds an n-gram
+    that its rows have for no less likely than that, and one that they lack for no less than that / s.unseen, so that short texts of a language aren't
+    taken for none of them because of rare words. A likelihood is of its own language's rows alone, so the shares of the languages, drawn or not, have no part in it. The counts that come
     to the driver are at most 2**s.bits for each language.
     """
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"), subtag(F.col("lang").cast("string")).alias("lang")).where("lang is not null and text is not null")
@@ -85,7 +92,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Likelihoods:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, "text", 500):
             for lang, text in zip(batch.column("at").to_pylist(), batch.column("text")):
                 for codes in grams(text.as_py(), s.bits):
                     counts.setdefault(lang, np.zeros(2**s.bits, dtype=np.int64))
@@ -94,14 +101,16 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Likelihoods:
             gram = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, dtype=np.int32)), pa.array(gram.astype(np.int32)), pa.array(n[gram])], ["lang", "gram", "n"])
 
-    counts = np.ones((2**s.bits, len(names) + 1))
+    counts = np.zeros((2**s.bits, len(names) + 1))
     if names:
         spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007))
         parts = docs.sparkSession.createDataFrame([(n, i, int(1_000_000_007 * min(1.0, s.rows / k))) for i, (n, k) in enumerate(there)], "lang string, at int, below long")
         drawn = named.join(F.broadcast(parts), "lang").where(spread < F.col("below"))
         got = drawn.select("at", "text").mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
         np.add.at(counts, (got["gram"].to_numpy(), got["lang"].to_numpy()), got["n"].to_numpy())
-    return Likelihoods((*names, UNKNOWN), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    least = np.where(counts > 0, 1.0, 1 / s.unseen) / 2**s.bits
+    least[:, -1] = 2.0**-s.bits
+    return Likelihoods((*names, UNKNOWN), np.log(np.maximum((counts + 1) / (counts + 1).sum(axis=0), least)).astype(np.float32))
 
 
 def evidence(rows: DataFrame, model: Likelihoods, s: Settings = Settings()) -> DataFrame:
@@ -114,7 +123,7 @@ def evidence(rows: DataFrame, model: Likelihoods, s: Settings = Settings()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for batch in batches:
+        for batch in slices(batches, "text", 500):
             likely, letters = np.zeros((batch.num_rows, width)), np.zeros(batch.num_rows, dtype=bool)
             for k, (text, is_page) in enumerate(zip(batch.column("text"), batch.column("is_page").to_pylist())):
                 for codes in grams(visible(text.as_py()) if is_page else text.as_py(), s.bits):
