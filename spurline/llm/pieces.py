@@ -12,11 +12,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from spurline.llm.common import slices
+
 MARK, BREAK = "▁", "\n"
 #: A run of markers with what follows it, text after a line break, or a line break.
 CHUNK = re.compile(f"{MARK}+[^{MARK}{BREAK}]*|[^{MARK}{BREAK}]+|{BREAK}")
-#: Distinct chunks that a worker remembers at least, and texts that it holds encoded at a time.
-REMEMBERED, TEXTS = 150_000, 500
+#: Distinct chunks that a worker remembers at least, and texts that it holds encoded at a time at most.
+REMEMBERED, TEXTS = 100_000, 500
 #: Chunks that are segmented as the lines of one short text.
 LINES = 200
 
@@ -91,13 +93,11 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                lengths, flat = encode_texts(part.column("text").to_pylist(), table)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        for part in slices(batches, "text", TEXTS):
+            lengths, flat = encode_texts(part.column("text").to_pylist(), table)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -197,20 +197,93 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+BSD_TEXT = """Copyright (c) 2019, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_HEADER = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+def test_licence_texts_and_rules(spark):
+    """Wrapped canonical texts in comments and lists; sequences in order, broken by other sentences, overlapping, and with neighbours made by a cut."""
+    grant, source, binary, names = (next(t for t, i in licenses.SENTENCES.items() if i == f"bsd-{k}") for k in ("grant", "source", "binary", "names"))
+    mit, notice = (next(t for t, i in licenses.SENTENCES.items() if i == f"mit-{k}") for k in ("grant", "notice"))
+    cases = [
+        (MIT_TEXT, ["MIT"]), (APACHE_HEADER, ["Apache-2.0"]), (BSD_TEXT, ["BSD-3-Clause"]), (GPL_HEADER, ["GPL-2.0-or-later"]), ("// SPDX-License-Identifier: MPL-2.0\nint x;", ["MPL-2.0"]),
+        (" ".join((grant, source, binary)), ["BSD-2-Clause"]), ("\n".join((grant, source, binary, names)), ["BSD-3-Clause"]), ("\n".join((source, grant, binary)), []),  # order
+        ("\n".join((grant, source, "A sentence of another kind.", binary)), []), ("\n".join((grant, source, "No warranty at all.", binary)), []),  # broken
+        ("\n".join((grant, grant, source, binary)), ["BSD-2-Clause"]), ("\n".join((grant, source, binary, grant, source, binary, names)), ["BSD-3-Clause", "BSD-2-Clause"]),  # overlapping
+        ("\n".join((grant, source, mit, notice, binary)), ["MIT"]),  # what stood around a match is not made neighbours
+        ("All rights reserved.", ["Proprietary"]), ("\n".join(("All rights reserved.", "Released under the MIT License.")), ["MIT"]),
+        ("This line is as long as wrapped ones are and has no mark at all\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("x" * 60 + "***\nReleased under the MIT License.", ["MIT"]),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(documents(spark, list(enumerate(t for t, _ in cases)))).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    keys = [(r["k"], r["id"]) for r in spark.createDataFrame(licenses._known(), "s string, id string").select(licenses.normalised(F.col("s")).alias("k"), "id").distinct().collect()]
+    assert len({k for k, _ in keys}) == len(keys)
+
+
 def test_urls_against_startswith(spark):
     hosts, paths = ["net", "example.net", "a.example.net", "badexample.net", "example.com", "x.org", "", "EXAMPLE.Net"], ["", "/", "/en", "/en/", "/en/x/y", "/english", "/de/", "/fr/1"]
     seen = [f"http://{h}{p}{t}" for h, p, t in itertools.product(hosts, paths, ["", "?a=/en/", "#/de/"])] + [None, "", "no host", "a://b://c/en/"]
-    rules = [*queries.URL_RULES, ("allow", "net", "/en"), ("block", "a.example.net", "/en/x/"), ("block", "x.org", "/"), ("allow", "x.org", "/"), (None, "com", "/"), ("block", None, "/")]
+    rules = [*queries.URL_RULES, ("allow", "net", "/en"), ("block", "com", "/d"), ("block", "a.example.net", "/en/x/"), ("block", "x.org", "/"), ("allow", "x.org", "/"), (None, "com", "/"), ("block", None, "/")]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(seen)] + [(0, seen[0], "clash")], "page_id long, url string, host string")
     got = urls.filter_urls(df, urls.rules_frame(spark, rules)).collect()
     assert len(got) == len(seen) + 1
     for r in got:
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
-        fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if v and h and host and path and (host == h or host.endswith("." + h)) and (path.startswith(p) if p.endswith("/") else path == p)]
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if v and h and host and path and (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=None)
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best[3] if best else None, best[4] if best else "allow")
     assert urls.filter_urls(df, urls.rules_frame(spark, [])).where("verdict <> 'allow'").isEmpty()
+    assert urls.filter_urls(df.limit(0), urls.rules_frame(spark, rules)).count() == 0
 
 
 def test_main_text(spark):
@@ -334,13 +407,19 @@ def test_components_of_a_long_chain(spark):
     assert got[1000] == 0 and got[1001] == 0 and got[7001] == 7000
 
 
-def test_pipeline_stages(spark, odd, tmp_path):
-    docs, seen = odd.drop("row"), []
+def test_pipeline_stages(spark, odd, none, tmp_path):
+    docs, seen = odd.withColumns({"copies": F.lit("c"), "key": F.lit("k")}), []
+    docs.write.parquet(str(tmp_path / "more"))
+    docs = spark.read.parquet(str(tmp_path / "more"))
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         seen.append(docs.count())
-        assert name == "sentencepiece" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name != "sentencepiece":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "copies", "key"]
+            assert docs.where("row <> 'x' or copies <> 'c' or key <> 'k'").isEmpty()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "source_mix", "sentencepiece"]
     assert seen[0] == 12 and seen[1] < seen[0] and seen[2] < seen[1] and seen[3] == seen[4]
 
