@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Directions, lengths and weights.
 SECTORS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 METRES_PER_DEGREE = 111_320.0
 METRES_PER_DEGREE_NORTH = 110_540.0
@@ -260,13 +260,105 @@ def half_precision(x: Column | str) -> Column:
     return F.when((v == 0) | v.isNull(), v).otherwise(F.bround(v / unit) * unit)
 
 
-def month_partners(month: Column | str) -> Column:
-    """The months that are read together with this one: its neighbours, over the new year too."""
-    m = _col(month)
-    return F.array(((m + 10) % 12 + 1).cast("int"), m.cast("int"), (m % 12 + 1).cast("int"))
+# The months whose records are read with the run of a month.
+SEASONS = {10: (5, 6, 7, 8, 9, 10, 11), 1: (12, 1, 2, 3, 4)}
+
+
+def season_months(month: Column | str) -> Column:
+    """The months that go with the run of a month, null where there is no such run."""
+    table = F.create_map(*(x for m, months in SEASONS.items() for x in (F.lit(m), F.array(*map(F.lit, months)))))
+    return F.try_element_at(table, _col(month).cast("int"))
 
 
 def local_time(text: Column | str, zone: str) -> Column:
     """A date or time with or without an offset as naive time of a zone; bare dates are midnight."""
     t = _col(text)
     return F.when(t.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_timestamp(t).cast("timestamp_ntz"))).otherwise(F.try_to_timestamp(t).cast("timestamp_ntz"))
+
+
+# Classes of roads, surfaces, water bodies and trails as their sources code them.
+DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "road")
+MAYBE_DRIVABLE = ("track", "service")
+PAVED_ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
+PAVED_SURFACES = ("paved", "asphalt", "concrete", "chipseal")
+LAKE_TYPES, LAKE_CODES = (390, 436), (39000, 39004, 39009, 39010, 39011, 39012, 43600, 43601)
+ON_TRAIL = ("open-dirt", "closed-road", "hiking-trail", "game-trail")
+CONFIDENCE = ("certain", "probable", "possible")
+
+
+def one_of(x: Column, values: Sequence[str | int]) -> Column:
+    """Whether x is one of the values; false for null."""
+    return F.coalesce(x.isin(*values), F.lit(False))
+
+
+def drivable(tags: Column) -> Column:
+    """yes, maybe (tracks and service roads) or null, of a way's tags map<string, string>."""
+    t = lambda k: F.try_element_at(tags, F.lit(k))
+    closed = one_of(t("access"), ("private", "no")) | one_of(t("motor_vehicle"), ("private", "no")) | one_of(t("service"), ("driveway", "parking_aisle", "drive-through"))
+    return F.when(closed, None).when(one_of(t("highway"), DRIVABLE), "yes").when(one_of(t("highway"), MAYBE_DRIVABLE), "maybe")
+
+
+def paved(tags: Column) -> Column:
+    """A large road, or any with a paved surface."""
+    t = lambda k: F.try_element_at(tags, F.lit(k))
+    return one_of(t("highway"), PAVED_ROADS) | (t("highway").isNotNull() & one_of(t("surface"), PAVED_SURFACES))
+
+
+def quiet(tags: Column) -> Column:
+    """Neither closed to the public nor paved."""
+    return ~one_of(F.try_element_at(tags, F.lit("access")), ("private", "no")) & ~paved(tags)
+
+
+def is_barrier(tags: Column) -> Column:
+    t = lambda k: F.try_element_at(tags, F.lit(k))
+    return one_of(t("barrier"), ("fence", "wall")) | (F.coalesce(t("railway"), F.lit("")) != "") | one_of(t("man_made"), ("pipeline",))
+
+
+def is_lake(ftype: Column, fcode: Column) -> Column:
+    return one_of(ftype, LAKE_TYPES) | one_of(fcode, LAKE_CODES)
+
+
+def is_winter_range(name: Column, notes: Column, kind: Column) -> Column:
+    """Deer or elk, and winter in the notes or a regular concentration."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return (F.upper(F.coalesce(notes, F.lit(""))).contains("WINTER") | one_of(kind, ("Regular Concentration",))) & (low.contains("deer") | low.contains("elk"))
+
+
+def placement(trail: Column, arm: Column) -> Column:
+    """on-feature, off-feature or unrecorded: by the kind of trail, without one by the arm."""
+    said = F.nullif(trail, F.lit(""))
+    return F.when(said.isNotNull(), F.when(said.isin(*ON_TRAIL), "on-feature").otherwise("off-feature")).when(one_of(arm, ("on-feature", "off-feature")), arm).otherwise("unrecorded")
+
+
+def confident(level: Column, least: str = "probable") -> Column:
+    """Whether a level is at least as sure as the least; null for a level that isn't known."""
+    levels = F.array(*map(F.lit, CONFIDENCE))
+    return F.nullif(F.array_position(levels, level), F.lit(0)) <= CONFIDENCE.index(least) + 1
+
+
+def inside_box(lon: Column, lat: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Half-open: the west and south borders belong to the box."""
+    return (lon >= west) & (lon < east) & (lat >= south) & (lat < north)
+
+
+def along_line(distance: Column, angle: Column, close: float = 1.5, reach: float = 10.0, parallel: float = 30.0) -> Column:
+    """Whether a line runs along another: as close as `close`, or within reach and within so many degrees of parallel; angle: between them, degrees."""
+    turned = F.abs(F.pmod(angle + 90, F.lit(180.0)) - 90)
+    return F.coalesce((distance <= close) | ((distance <= reach) & (turned <= parallel)), F.lit(False))
+
+
+def degree_tiles(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The names of all one-degree tiles that a box touches, from south to north, then west to east."""
+    rows, cols = F.sequence(F.floor(south), F.floor(north)), F.sequence(F.floor(west), F.floor(east))
+    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: degree_tile(c + 0.5, r + 0.5))))
+
+
+def past_days(today: Column, month: Column, day: Column, years: int) -> Column:
+    """The last so many yearly dates of a month and day that are before today."""
+    last = F.year(today) - F.when(F.make_date(F.year(today), month, day) < today, 0).otherwise(1)
+    return F.transform(F.sequence(F.lit(0), F.lit(years - 1)), lambda k: F.make_date(last - k, month, day))
+
+
+def share_tag(sender: Column) -> Column:
+    """A sender's name as a prefix of ids."""
+    return slug(sender, "shared")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spurline.operators.graph import keep
+from spurline.operators.ranks import quantiles
+from spurline.operators.store import keep
 
 
 def log_factorial(n: Column) -> Column:
@@ -16,10 +17,16 @@ def log_factorial(n: Column) -> Column:
     return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
 
 
+def ln_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series with an exact start."""
+    m = F.greatest(n.cast("double"), F.lit(1.0))
+    return F.when(n <= 1, 0.0).otherwise((m + 0.5) * F.ln(m) - m + 0.5 * math.log(2 * math.pi) + _stirling_rest(m))
+
+
 def poisson_tail(hits: Column, expected: Column) -> Column:
-    """Chance of so many hits or more."""
+    """Chance of so many hits or more; the chances of fewer are added up in logarithms, so large expectations don't underflow."""
     below = F.when(hits >= 1, F.sequence(F.lit(0), (hits - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.greatest(F.lit(0.0), 1 - F.aggregate(below, F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(expected) - expected - log_factorial(k))))
+    return F.greatest(F.lit(0.0), 1 - F.aggregate(below, F.lit(0.0), lambda a, k: a + F.exp(k * F.ln(expected) - expected - ln_factorial(k))))
 
 
 def _stirling_rest(n: Column) -> Column:
@@ -78,16 +85,26 @@ def effort_by_month(deployments: DataFrame, key: str, start: str, stop: str, dow
     return nights.groupBy(key, F.year("night").alias("year"), F.month("night").alias("month")).agg(F.sum("share").alias("nights"))
 
 
-def rates(stats: DataFrame, arm: str, placement: str, least_nights: float = 30.0) -> DataFrame:
-    """stats: nights, hits, expected. Per arm, and per arm and placement (null: all): hits, nights, rate per 100 nights, and ratio to what was expected.
+def rates(stats: DataFrame, arm: str, placement: str, on: str = "on-feature", least_nights: float = 30.0) -> DataFrame:
+    """stats: nights, hits, expected. Per arm (placement null), and per arm and placement: cameras, nights, hits and per_100 nights.
 
-    rate and ratio are null below least_nights.
+    Rows of an arm compare its cameras of the placement `on` alone with what was expected of them: compared_nights, base_per_100, ratio, and p, the
+    Poisson chance of doing that well; ratio and p are null, and few true, below least_nights of such nights.
     """
-    summed = stats.groupingSets([[arm], [arm, placement]], arm, placement).agg(F.sum("hits").alias("hits"), F.sum("nights").alias("nights"), F.sum("expected").alias("expected"))
-    enough = F.col("nights") >= least_nights
-    return summed.select(
-        arm, placement, "hits", "nights", F.when(enough, F.try_divide(100.0 * F.col("hits"), F.col("nights"))).alias("rate"), F.when(enough, F.try_divide(F.col("hits").cast("double"), F.col("expected"))).alias("ratio")
-    )
+    is_on = F.col(placement) == on
+    of = lambda c: F.coalesce(F.sum(F.when(is_on, F.col(c))), F.lit(0.0))
+    sums = [F.count(F.lit(1)).alias("cameras"), F.sum("hits").alias("hits"), F.sum("nights").alias("nights")]
+    each = stats.groupBy(arm, placement).agg(*sums)
+    whole = stats.groupBy(arm).agg(*sums, of("nights").alias("compared_nights"), of("expected").alias("base"), of("hits").alias("on_hits"))
+    few = F.col("compared_nights") < least_nights
+    shown = (F.col("base") > 0) & ~few
+    per_100 = F.when(F.col("nights") > 0, F.round(100.0 * F.col("hits") / F.col("nights"), 3)).alias("per_100")
+    compared = whole.select(
+        arm, F.lit(None).cast("string").alias(placement), "cameras", "hits", F.round("nights", 1).alias("nights"), per_100, F.round("compared_nights", 1).alias("compared_nights"),
+        F.when(F.col("compared_nights") > 0, F.round(100.0 * F.col("base") / F.col("compared_nights"), 3)).alias("base_per_100"), F.when(shown, F.round(F.col("on_hits") / F.col("base"), 2)).alias("ratio"),
+        F.when(shown, F.round(poisson_tail(F.col("on_hits"), F.col("base")), 4)).alias("p"), few.alias("few"),
+    )
+    return compared.unionByName(each.select(arm, placement, "cameras", "hits", F.round("nights", 1).alias("nights"), per_100), allowMissingColumns=True)
 
 
 def paired(stats: DataFrame, zone: str, arm: str, one: str, other: str) -> DataFrame:
@@ -153,17 +170,29 @@ def rank_p(mean_rank: Column, n: Column, k: int) -> Column:
 
 
 def used_available(df: DataFrame, value: str, used: str, bins: int = 10) -> DataFrame:
-    """Per bin of equally many rows (fewer where values tie): the share of used over the share of available rows, smoothed by half a row."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias("edges"))
-    placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))  # edges: one row
-    return placed.groupBy("bin").agg(F.count_if(used).alias("used"), F.count_if(~F.col(used)).alias("available")).withColumn("ratio", (F.col("used") + 0.5) / (F.col("available") + 0.5))
+    """Per bin of equally many available rows (fewer bins where values tie): used and available rows, and the ratio of their shares, null where none is available. Null values are left out."""
+    edges = quantiles(df.where(~F.col(used)), value, [i / bins for i in range(1, bins)]).agg(F.array_sort(F.collect_set(value)).alias("edges"))  # at most bins - 1 values
+    range_ = df.where(~F.col(used)).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    inner = edges.crossJoin(range_).select(F.filter("edges", lambda e: (e > F.col("low")) & (e < F.col("high"))).alias("edges"))  # one row
+    placed = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(inner)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
+    counted = placed.groupBy("bin").agg(F.count_if(used).alias("used"), F.count_if(~F.col(used)).alias("available"))
+    whole = Window.partitionBy()  # at most `bins` rows
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(whole))
+    return counted.withColumn("ratio", F.when(F.col("available") > 0, share("used") / share("available")))
 
 
-def boyce(df: DataFrame, value: str, used: str, bins: int = 10) -> DataFrame:
-    """One row: n bins and the rank correlation of bin and used/available ratio; null with under three bins."""
+def boyce(df: DataFrame, value: str, used: str, bins: int = 10, least_used: int = 5) -> DataFrame:
+    """One row: bins with available rows, and boyce, the rank correlation of bin and ratio of used_available().
+
+    It is null with fewer than least_used used or `bins` available rows, under three bins, or one ratio in all of them.
+    """
     b = used_available(df, value, used, bins)
-    ranked = b.withColumn("r", F.rank().over(Window.partitionBy().orderBy("ratio")) + (F.count(F.lit(1)).over(Window.partitionBy("ratio")) - 1) / 2).withColumn("q", F.rank().over(Window.partitionBy().orderBy("bin")))  # at most `bins` rows
-    return ranked.agg(F.count(F.lit(1)).alias("bins"), F.when(F.count(F.lit(1)) >= 3, F.corr("r", "q")).alias("boyce"))
+    whole = Window.partitionBy()  # at most `bins` rows
+    ok = b.withColumns({"all_used": F.sum("used").over(whole), "all_available": F.sum("available").over(whole), "all_bins": F.count(F.lit(1)).over(whole)}).where("ratio is not null")
+    ranked = ok.withColumn("r", F.rank().over(whole.orderBy("ratio")) + (F.count(F.lit(1)).over(Window.partitionBy("ratio")) - 1) / 2).withColumn("q", F.rank().over(whole.orderBy("bin")))
+    n = F.count(F.lit(1))
+    enough = (F.max("all_used") >= least_used) & (F.max("all_available") >= bins) & (F.max("all_bins") >= 3) & (n >= 3) & (F.max("ratio") > F.min("ratio"))
+    return ranked.agg(n.alias("bins"), F.when(enough, F.round(F.corr("r", "q"), 3)).alias("boyce"))
 
 
 def rolled_up(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
@@ -186,22 +215,41 @@ def one_fix_per_time(fixes: DataFrame, key: str, ts: str, x: str, y: str) -> Dat
     return fixes.distinct().withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def strata(steps_: DataFrame, key: str, ts: str, x: str, y: str, draws: int = 15, tolerance: float = 0.25) -> DataFrame:
-    """For each regular step (within tolerance of the key's median interval) draws available end points, as rows k, ax, ay.
+def drawn(seed: str, salt: int, *key: str) -> Column:
+    """A number from 0 to 2**32 - 1 that follows from the key alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.lit(str(salt)), *(F.col(k).cast("string") for k in key))), 1, 8), 16, 10).cast("long")
 
-    Lengths and turns come from the key's own regular steps, by positions that hashes of (key, time, k) draw, so
-    a stratum has the same points however the work is cut.
+
+def strata(steps_: DataFrame, key: str, ts: str, x: str, y: str, sun: str, draws: int = 15, tolerance: float = 0.25, longest_h: float = 8.0, dark: float = 6.0, enough: int = 30, seed: str = "0") -> DataFrame:
+    """steps_: the result of steps() with sun, its height in degrees. For each used step draws available end points: key, ts, x, y, length, k, ax, ay.
+
+    Used are steps within tolerance of the key's median interval that end with the sun below `dark`, of keys with three fixes and an interval of up to longest_h hours. Available points start where the step does.
+    Their lengths are drawn from the key's used steps, and their turns, from the heading of the step before, from those of these that have one: it is
+    regular too and both moved over a metre. Where fewer than `enough` are used, or turn, those of any hour are drawn from. Without a heading before, or any turn, the heading is drawn.
+    Draws are hashes of (seed, key, ts, k), so a stratum has the same points however the work is cut.
     """
-    usual = steps_.groupBy(key).agg(F.median("seconds").alias("usual"))
-    regular = steps_.join(usual, key).where(F.abs(F.col("seconds") - F.col("usual")) <= tolerance * F.col("usual")).where("turn is not null")
-    numbered = regular.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    asked = numbered.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumns({"li": F.pmod(F.xxhash64(key, ts, "k", F.lit(1)), F.col("n")), "ti": F.pmod(F.xxhash64(key, ts, "k", F.lit(2)), F.col("n"))})
-    pool = numbered.select(key, F.col("i").alias("li"), F.col("length").alias("drawn_length"))
-    pool2 = numbered.select(key, F.col("i").alias("ti"), F.col("turn").alias("drawn_turn"))
-    a = F.radians(F.col("heading") - F.col("turn") + F.col("drawn_turn"))
+    w = Window.partitionBy(key).orderBy(ts)
+    usual = steps_.groupBy(key).agg(F.median("seconds").alias("usual"), F.count(F.lit(1)).alias("steps"))
+    near = steps_.join(usual.where((F.col("steps") >= 2) & (F.col("usual") <= longest_h * 3600)), key).withColumns({"regular": F.abs(F.col("seconds") - F.col("usual")) <= tolerance * F.col("usual"), "moved": F.col("length") > 1.0})
+    near = near.withColumn("before", F.when(F.lag("regular").over(w) & F.lag("moved").over(w), F.lag("heading").over(w)))
+    near = near.withColumns({"use": F.col("regular") & (F.col(sun) < dark), "turns": F.col("regular") & F.col("before").isNotNull() & F.col("moved")})
+    whole = Window.partitionBy(key)
+    near = near.withColumn("wide", F.count_if("use").over(whole) < enough)
+    near = near.withColumn("pooled", F.col("use") | (F.col("wide") & F.col("regular")))
+    near = keep(near.withColumn("turned", F.col("turns") & (F.col("pooled") | (F.count_if(F.col("turns") & F.col("pooled")).over(whole) < enough))))
+
+    def pool(which: str, value: Column, name: str) -> DataFrame:
+        return near.where(which).select(key, (F.row_number().over(w) - 1).cast("long").alias(f"{name}_i"), value.alias(name))
+
+    lengths, turns = pool("pooled", F.col("length"), "drawn_length"), pool("turned", F.pmod(F.col("heading") - F.col("before") + 180, F.lit(360.0)) - 180, "drawn_turn")
+    sizes = near.groupBy(key).agg(F.count_if("pooled").alias("lengths"), F.count_if("turned").alias("turns_n"))
+    asked = near.where("use").join(sizes, key).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    of = lambda salt: drawn(seed, salt, key, "micros", "k")
+    asked = asked.withColumns({"drawn_length_i": of(1) % F.col("lengths"), "drawn_turn_i": F.when(F.col("turns_n") > 0, of(2) % F.greatest("turns_n", F.lit(1))), "free": of(3) * (360.0 / 2**32)})
+    a = F.radians(F.coalesce(F.col("before") + F.col("drawn_turn"), F.col("free")))
     start = lambda c, f: F.col(c) - F.col("length") * f(F.radians("heading"))
-    return asked.join(pool, [key, "li"]).join(pool2, [key, "ti"]).select(
-        key, ts, x, y, "k", (start(x, F.sin) + F.col("drawn_length") * F.sin(a)).alias("ax"), (start(y, F.cos) + F.col("drawn_length") * F.cos(a)).alias("ay")
+    return asked.join(lengths, [key, "drawn_length_i"]).join(turns, [key, "drawn_turn_i"], "left").select(
+        key, ts, x, y, "length", "k", (start(x, F.sin) + F.col("drawn_length") * F.sin(a)).alias("ax"), (start(y, F.cos) + F.col("drawn_length") * F.cos(a)).alias("ay")
     )
 
 
@@ -227,3 +275,67 @@ def greedy_cover(counts: DataFrame, cell: str, unit: str, need: int, most: int)
             break
         picked.append(best[0][cell])
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(picked)], f"place int, {cell} long")
+
+
+def robust_spread(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per `by`: 1.4826 times the median distance from the median of the finite values, or 1 where that is 0 or there are none."""
+    sound = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (F.abs(F.col(value)) < F.lit(float("inf"))))
+    middle = quantiles(sound, value, [0.5], by).select(*by, F.col(value).alias("middle"))
+    away = (sound.join(F.broadcast(middle), list(by)) if by else sound.crossJoin(F.broadcast(middle))).withColumn("away", F.abs(F.col(value) - F.col("middle")))
+    found = quantiles(away, "away", [0.5], by).select(*by, (1.4826 * F.col("away")).alias("spread"))
+    every = df.select(*by).distinct().join(found, list(by), "left") if by else df.sparkSession.range(1).select().crossJoin(F.broadcast(found.agg(F.first("spread").alias("spread"))))
+    return every.select(*by, F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0).alias("spread"))
+
+
+def ended(deployments: DataFrame, checks: DataFrame, key: str) -> DataFrame:
+    """Adds ended to deployments (key, end): its end, else the day of the first check (key, day, removed) that removed it."""
+    first = checks.where("removed").groupBy(key).agg(F.min("day").alias("first"))
+    return deployments.join(first, key, "left").withColumn("ended", F.coalesce("end", "first")).drop("first")
+
+
+def summaries(ranks: DataFrame, by: Sequence[str], least: float = 100.0) -> DataFrame:
+    """ranks: rank, k (available points), step. Per `by`: n, mean rank, p by the normal approximation with each stratum's own k, and the same mean of the steps of at least `least`."""
+    moving = F.col("step") >= least
+    out = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("rank").alias("mean"), F.sum((F.col("k") + 2) / (12.0 * F.col("k"))).alias("v"), F.count_if(moving).alias("moving"), F.avg(F.when(moving, F.col("rank"))).alias("moving_rank"))
+    return out.select(*by, "n", F.round("mean", 3).alias("rank"), F.round(normal_tail((F.col("mean") - 0.5) / (F.sqrt("v") / F.col("n"))), 4).alias("p"), "moving", F.round("moving_rank", 3).alias("moving_rank"))
+
+
+def across(animals: DataFrame, by: Sequence[str], value: str, least: int = 20) -> DataFrame:
+    """animals: n and value of each. Per `by`, of those with at least so many strata: animals, the median of value, and the sign test against one half."""
+    ok = animals.where(F.col("n") >= least)
+    tested = sign_test(ok, value, 0.5, by)
+    middle = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("animals"), F.round(F.median(value), 3).alias("median"))
+    return (middle.join(tested, list(by)) if by else middle.crossJoin(tested)).withColumn("p", F.when(F.col("above") + F.col("below") > 0, F.col("p")))
+
+
+def compared(one: DataFrame, other: DataFrame, key: str, value: str, by: Sequence[str] = (), least: int = 20) -> DataFrame:
+    """one, other: key, n, value. Per `by`, of the keys in both with at least `least` strata in one: where one is better and worse, the mean difference, and the two-sided sign test."""
+    both = one.where(F.col("n") >= least).join(other.select(key, F.col(value).alias("value_b")), key).where(F.col(value).isNotNull() & F.col("value_b").isNotNull())
+    d = F.col(value) - F.col("value_b")
+    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), F.round(F.avg(d), 3).alias("mean_diff"))
+    n = F.col("better") + F.col("worse")
+    two = F.least(F.lit(1.0), 2 * binomial_tail(F.greatest("better", "worse"), n))
+    return out.withColumn("p", F.when(n > 0, F.round(two, 4)))
+
+
+def tracks_needed(spark: SparkSession, chances: Sequence[float], alpha: float = 0.05, power: float = 0.8, most: int = 200) -> DataFrame:
+    """Per chance that a track beats its copies: the fewest tracks (up to most) with which the sign test at alpha finds it with the power wanted; null where none do."""
+    n = spark.range(1, most + 1).select(F.col("id").alias("n"))
+    k = n.withColumn("k", F.explode(F.sequence(F.lit(0), "n")))
+    least = k.where(binomial_tail(F.col("k"), F.col("n")) <= alpha).groupBy("n").agg(F.min("k").alias("least"))
+    asked = spark.createDataFrame([(float(c),) for c in chances], "chance double")
+    each = least.crossJoin(F.broadcast(asked)).withColumn("i", F.explode(F.sequence("least", "n")))
+    term = F.exp(ln_factorial(F.col("n")) - ln_factorial(F.col("i")) - ln_factorial(F.col("n") - F.col("i")) + F.col("i") * F.ln("chance") + F.when(F.col("i") == F.col("n"), 0.0).otherwise((F.col("n") - F.col("i")) * F.log1p(-F.col("chance"))))
+    found = each.groupBy("chance", "n").agg(F.sum(term).alias("power")).where(F.col("power") >= power - 1e-12).groupBy("chance").agg(F.min("n").alias("tracks"))
+    return asked.join(found, "chance", "left")
+
+
+def transects(routes: DataFrame, crossings: DataFrame, survey: str, value: str, metres: float = 5.0) -> DataFrame:
+    """routes, crossings: the score at each route point and crossing inside the area. One row: crossings, auc (the mean share of its own route's points that a crossing
+    outscores, ties half), route km, and crossings per 10 km in the top and bottom third of all route points."""
+    placed = mid_ranks(crossings, routes, [survey], value).join(crossings.groupBy(survey, value).agg(F.count(F.lit(1)).alias("times")), [survey, value])
+    auc = placed.agg(F.sum("times").alias("crossings"), F.round(F.sum(F.col("position") * F.col("times")) / F.sum("times"), 3).alias("auc"))
+    thirds = quantiles(routes, value, [1 / 3, 2 / 3]).agg(F.min(value).alias("low"), F.max(value).alias("high"))  # one row
+    count = lambda df, name: df.crossJoin(F.broadcast(thirds)).agg(F.count_if(F.col(value) >= F.col("high")).alias(f"{name}_top"), F.count_if(F.col(value) <= F.col("low")).alias(f"{name}_bottom"), F.count(F.lit(1)).alias(name))
+    per = lambda end: F.round(F.try_divide(10.0 * F.col(f"c_{end}"), F.col(f"r_{end}") * metres / 1000), 2).alias(f"{end}_per_10km")
+    return auc.crossJoin(count(routes, "r")).crossJoin(count(crossings, "c")).select("crossings", "auc", F.round(F.col("r") * metres / 1000, 2).alias("route_km"), per("top"), per("bottom"))

@@ -8,13 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spurline.operators.lattice import peaks
+from spurline.functions.scalar import threshold
+from spurline.operators.lattice import gaussian, peaks
+from spurline.operators.ranks import summed_before
+from spurline.operators.store import keep
 
 
-def spaced(candidates: DataFrame, score: str, radius: float, per_zone: int, most: int, by: Sequence[str], prefix: str = "#") -> DataFrame:
+def spaced(candidates: DataFrame, score: str, radius: float, per_zone: int, most: int, by: Sequence[str], prefix: str = "#", times: int = 8) -> DataFrame:
     """Greedy picks by score (then row, col): one is skipped when per_zone kept ones lie within the radius; at most `most` for each area.
 
-    zone is that of the first earlier pick within the radius, numbered by appearance. An area's candidates are peaks, few by their spacing, so each area is one small group.
+    zone is that of the first earlier pick within the radius, numbered by appearance. Of an area's candidates the best times * most are looked at, so each area is one small group.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -32,7 +35,7 @@ def spaced(candidates: DataFrame, score: str, radius: float, per_zone: int, most
         return rows.loc[kept].assign(rank=range(1, len(kept) + 1), zone=zones)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
-    picked = candidates.groupBy(*by).applyInPandas(run, f"{kinds}, rank int, zone int")
+    picked = best(candidates, score, times * most, by).drop("rank").groupBy(*by).applyInPandas(run, f"{kinds}, rank int, zone int")
     return picked.withColumn("name", F.concat(F.lit(prefix), "rank"))
 
 
@@ -41,25 +44,54 @@ def pick(df: DataFrame, score: str, spacing: int, least: float, radius: float, p
     return spaced(peaks(df, score, spacing, least, by), score, radius, per_zone, most, by, prefix)
 
 
+def snapped(df: DataFrame, score: str, usable: str, sigma: float, spacing: int, snap: int, height: int, width: int, most: int, by: Sequence[str] = (), times: int = 8) -> DataFrame:
+    """The best usable peaks of the smoothed score, at least spacing apart, each moved to the cell of the highest score within snap cells: by, row, col, score, peak.
+
+    A peak has to be above a threshold that follows from the best usable one of its area; of them the best times * most count.
+    """
+    smooth = gaussian(df.select(*by, "row", "col", usable, score, F.col(score).alias("smooth_")), "smooth_", sigma, height, width, by=by)
+    best_of = smooth.where(usable).groupBy(*by).agg(F.max("smooth_").alias("top_"))
+    limited = (smooth.join(F.broadcast(best_of), list(by)) if by else smooth.crossJoin(F.broadcast(best_of))).withColumn("at_", F.when(F.col(usable), F.col("smooth_")))
+    tops = peaks(limited, "at_", spacing, None, by).where(F.col("at_") > threshold("top_"))
+    tops = best(tops, "at_", times * most, by).select(*by, F.col("row").alias("r_"), F.col("col").alias("c_"), F.col("at_").alias("peak"))
+    moves = F.explode(F.sequence(F.lit(-snap), F.lit(snap)))
+    around = tops.withColumn("dr", moves).withColumn("dc", moves).select(*by, "r_", "c_", "peak", (F.col("r_") + F.col("dr")).alias("row"), (F.col("c_") + F.col("dc")).alias("col"))
+    chosen = around.join(df.select(*by, "row", "col", score), [*by, "row", "col"]).groupBy(*by, "r_", "c_", "peak").agg(F.max(F.struct(F.col(score).alias("s"), (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("b"))
+    return chosen.select(*by, (-F.col("b.r")).alias("row"), (-F.col("b.c")).alias("col"), F.col("b.s").alias(score), "peak")
+
+
+def two_lists(df: DataFrame, score: str, public: str, private: str, sigma: float, spacing: int, snap: int, radius: float, per_zone: int, height: int, width: int, most: int, by: Sequence[str] = ()) -> DataFrame:
+    """The spots on public ground, named #1, #2, ..., and those on private ground, named P1, P2, ...: scores count where their own mask holds."""
+    lists = []
+    for mask, prefix in ((public, "#"), (private, "P")):
+        own = df.select(*by, "row", "col", mask, F.when(F.col(mask), F.col(score)).otherwise(0.0).alias(score))
+        found = snapped(own, score, mask, sigma, spacing, snap, height, width, most, by)
+        found = found if by else found.withColumn("all_", F.lit(0))
+        lists.append(spaced(found, score, radius, per_zone, most, by or ["all_"], prefix).drop("all_"))
+    return lists[0].unionByName(lists[1])
+
+
 def best(df: DataFrame, score: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """The n highest cells of each area with rank; ties in row-major order."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), "row", "col")
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def blocks_apart(blocks: DataFrame, score: str, least: float, by: Sequence[str]) -> DataFrame:
-    """Blocks in order of score, none touching a chosen one even at a corner."""
+def blocks_apart(blocks: DataFrame, score: str, least: float, by: Sequence[str], most: int = 100) -> DataFrame:
+    """At most `most` blocks in order of score, none touching a chosen one even at a corner. A choice strikes out eight others at most, so the best 9 * most blocks of an area decide, and each area is one small group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows[score] > least].sort_values([score, "block_row", "block_col"], ascending=[False, True, True])
+        rows = rows.sort_values([score, "block_row", "block_col"], ascending=[False, True, True])
         kept: list[int] = []
         for i in rows.index:
-            if all(max(abs(rows.at[i, "block_row"] - rows.at[j, "block_row"]), abs(rows.at[i, "block_col"] - rows.at[j, "block_col"])) > 1 for j in kept):
+            if len(kept) < most and all(max(abs(rows.at[i, "block_row"] - rows.at[j, "block_row"]), abs(rows.at[i, "block_col"] - rows.at[j, "block_col"])) > 1 for j in kept):
                 kept.append(i)
         return rows.loc[kept].assign(rank=range(1, len(kept) + 1))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-    return blocks.groupBy(*by).applyInPandas(run, f"{kinds}, rank int")
+    order = Window.partitionBy(*by).orderBy(F.desc(score), "block_row", "block_col")
+    high = blocks.where(F.col(score) > least).withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= 9 * most).drop("place_")
+    return high.groupBy(*by).applyInPandas(run, f"{kinds}, rank int")
 
 
 def reasons(rules: Sequence[tuple[Column, Column]]) -> Column:
@@ -68,8 +100,23 @@ def reasons(rules: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def share_above(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds position: the mid-rank of each value among all of its area, from 0 to 1; ties share the middle of their ranks."""
-    w = Window.partitionBy(*by)
-    ties = Window.partitionBy(*by, value)
-    rank = F.rank().over(w.orderBy(value)) - 1
-    return df.withColumn("position", (rank + 0.5 * F.count(F.lit(1)).over(ties)) / F.count(F.lit(1)).over(w))
+    """Adds position: the mid-rank of each value among all of its area, from 0 to 1; ties share the middle of their ranks, null has none.
+
+    Equal values are counted and the counts summed up in ranges, so no task holds an area.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"))
+    placed = keep(summed_before(counts, [F.col(value)], {"low_": F.col("n_")}, by))
+    total = placed.groupBy(*by).agg(F.sum("n_").alias("all_"))
+    shares = (placed.join(F.broadcast(total), list(by)) if by else placed.crossJoin(F.broadcast(total))).select(*by, value, ((F.col("low_") + 0.5 * F.col("n_")) / F.col("all_")).alias("position"))
+    return df.join(shares, [*by, value], "left")
+
+
+def ranked_among(points: DataFrame, spots: DataFrame, key: str, score: str, least_own: float = 0.0) -> DataFrame:
+    """points: key and score of each; spots: scores of an area's spots. Adds fraction: (spots of a higher score + 1) / spots, at most 1; null without spots."""
+    all_spots = spots.select(F.col(score).alias("s_"))
+    n = all_spots.agg(F.count(F.lit(1)).alias("n_"))  # one row
+    counts = all_spots.groupBy("s_").agg(F.count(F.lit(1)).alias("k_"))
+    both = points.select(F.col(score).alias("s_"), F.lit(0).cast("long").alias("k_")).unionByName(counts).groupBy("s_").agg(F.sum("k_").alias("k_"))
+    above = summed_before(both, [-F.col("s_")], {"higher_": F.col("k_")}).select(F.col("s_").alias(score), "higher_")
+    out = points.join(above, score, "left").crossJoin(F.broadcast(n))
+    return out.withColumn("fraction", F.when(F.col("n_") > 0, F.least(F.lit(1.0), (F.col("higher_") + 1) / F.col("n_")))).drop("higher_", "n_")

@@ -23,10 +23,16 @@ def versioned(rows: DataFrame, version: str, newest: int) -> DataFrame:
 
 
 def named(rows: DataFrame, base: str, order: str, taken: DataFrame) -> DataFrame:
-    """Adds id: the first free of base, base#2, base#3, ... in order; taken: id, those in use."""
-    used = taken.select(F.regexp_replace("id", r"#\d+$", "").alias(base)).groupBy(base).agg(F.count(F.lit(1)).alias("used"))
-    place = F.row_number().over(Window.partitionBy(base).orderBy(order)) + F.coalesce("used", F.lit(0))
-    return rows.join(used, base, "left").withColumn("place", place).withColumn("id", F.when(F.col("place") == 1, F.col(base)).otherwise(F.concat(base, F.lit("#"), F.col("place").cast("string")))).drop("place", "used")
+    """Adds id: the first of base, base#2, base#3, ... that is neither taken (id, those in use) nor given to a row before it in order.
+
+    As many numbers as there are new rows and ids of the base in use are tried, so enough of them are free; those in use are struck out by a join.
+    """
+    id_of = F.when(F.col("number") == 1, F.col(base)).otherwise(F.concat(base, F.lit("#"), F.col("number").cast("string")))
+    stems = taken.select(F.explode(F.array_distinct(F.array("id", F.regexp_replace("id", r"#\d+$", "")))).alias(base)).groupBy(base).agg(F.count(F.lit(1)).alias("used"))
+    asked = rows.groupBy(base).agg(F.count(F.lit(1)).alias("new")).join(stems, base, "left").select(base, F.explode(F.sequence(F.lit(1), (F.col("new") + F.coalesce("used", F.lit(0))).cast("int"))).alias("number"))
+    free = asked.withColumn("id", id_of).join(taken.select("id").distinct(), "id", "left_anti")
+    free = free.withColumn("place", F.row_number().over(Window.partitionBy(base).orderBy("number"))).select(base, "place", "id")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(base).orderBy(order))).join(free, [base, "place"]).drop("place")
 
 
 def imported(rows: DataFrame, sender: str, ids: Sequence[str]) -> DataFrame:
@@ -49,3 +55,18 @@ def evolved(state: DataFrame, neutral: dict[str, Column]) -> DataFrame:
     missing = [c for c in neutral if c not in state.columns]
     filled = reduce(lambda df, c: df.withColumn(c, neutral[c]), missing, state)
     return filled.withColumn("unmodeled", F.array(*map(F.lit, missing)).cast("array<string>"))
+
+
+def combined_roads(mapped: DataFrame, forest: DataFrame, inside: str) -> DataFrame:
+    """The roads open to vehicles: mapped ones (id, drivable: yes, maybe or null, inside: in a national forest) that are, maybe ones outside the forest, where
+    its own map (id, open) doesn't decide, and the open ones of that; source names where each comes from."""
+    sure = mapped.where((F.col("drivable") == "yes") | ((F.col("drivable") == "maybe") & ~F.col(inside)))
+    return sure.select("id", F.lit("mapped").alias("source")).unionByName(forest.where("open").select("id", F.lit("forest").alias("source")))
+
+
+def first_kind(df: DataFrame, kinds: Sequence[Column]) -> Column:
+    """The number, from 1, of the first condition that holds; 0 without one."""
+    out = F.lit(0)
+    for i, k in reversed(list(enumerate(kinds, 1))):
+        out = F.when(k, i).otherwise(out)
+    return out

@@ -78,10 +78,18 @@ STATS = f"""{DEPLOY}, st as (select c_custkey, c_mktsegment as arm, cast(c_custk
  from customer left join dep on dep.id = c_custkey left join (select o_custkey, count(*) filter (o_orderstatus = 'F') as hits from orders group by 1) h on h.o_custkey = c_custkey)"""
 
 
-@query(f"""with {STATS} select arm, placement, cast(sum(hits) as bigint) as hits, sum(nights) as nights, round(case when sum(nights) >= 30 then 100.0 * sum(hits) / sum(nights) end, 6) as rate,
- round(case when sum(nights) >= 30 then sum(hits) / sum(nights * 0.0062) end, 6) as ratio from st group by grouping sets ((arm), (arm, placement))""")
+PLACES = "['on-feature', 'off-feature', 'unrecorded']"
+
+
+@query(f"""with {STATS.replace("cast(c_custkey % 3 as varchar)", PLACES + "[c_custkey % 3 + 1]")},
+a as (select arm, count(*) as cameras, sum(hits) as hits, sum(nights) as nights, coalesce(sum(nights) filter (placement = 'on-feature'), 0) as cn, coalesce(sum(nights * 0.0062) filter (placement = 'on-feature'), 0) as base, coalesce(sum(hits) filter (placement = 'on-feature'), 0) as ch from st group by 1),
+k as (select arm, sum(exp(k * ln(base) - base - lgamma(k + 1))) as below from (select arm, base, unnest(range(0, ch::bigint)) as k from a where base > 0) group by 1)
+select arm, null::varchar as placement, cameras, cast(hits as bigint) as hits, round(nights, 1) as nights, case when nights > 0 then round(100.0 * hits / nights, 3) end as per_100, round(cn, 1) as compared_nights, case when cn > 0 then round(100.0 * base / cn, 3) end as base_per_100,
+ case when base > 0 and cn >= 30 then round(ch / base, 2) end as ratio, case when base > 0 and cn >= 30 then round(greatest(0, 1 - coalesce(below, 0)), 4) end as p, cn < 30 as few from a left join k using (arm)
+union all select arm, placement, count(*), cast(sum(hits) as bigint), round(sum(nights), 1), case when sum(nights) > 0 then round(100.0 * sum(hits) / sum(nights), 3) end, null, null, null, null, null from st group by 1, 2""")
 def arm_rates(spark, sf):
-    return evidence.rates(stats(spark, sf), "arm", "placement").withColumns({"rate": r6("rate"), "ratio": r6("ratio")})
+    place = F.element_at(F.array(*map(F.lit, ("on-feature", "off-feature", "unrecorded"))), (F.col("c_custkey") % 3).cast("int") + 1)
+    return evidence.rates(stats(spark, sf).withColumn("placement", place), "arm", "placement")
 
 
 PAIRED = f"""{STATS}, pr as (select zone, sum(hits) filter (arm = 'BUILDING') as ha, sum(hits) filter (arm = 'MACHINERY') as hb, sum(nights) filter (arm = 'BUILDING') as na, sum(nights) filter (arm = 'MACHINERY') as nb from st group by zone),
@@ -93,68 +101,57 @@ def paired_zones(spark, sf):
     return evidence.paired(stats(spark, sf), "zone", "arm", "BUILDING", "MACHINERY").select("zone", r6("rate_a").alias("rate_a"), r6("rate_b").alias("rate_b"), r6("difference").alias("difference"))
 
 
-@query(f"""with {PAIRED}, t as (select row_number() over (order by zone) - 1 as i, difference as d from df where zone < 10),
+REGIONAL = PAIRED.replace("c_nationkey as zone", "c_nationkey // 5 as zone")
+
+
+@query(f"""with {REGIONAL}, t as (select row_number() over (order by zone) - 1 as i, difference as d from df),
 m as (select w.i as way, sum(case when (w.i >> t.i) % 2 = 1 then d else -d end) as s from range(1024) w(i) cross join t where w.i < power(2, (select count(*) from t)) group by w.i)
 select cast((select count(*) from t) as int) as n, round((select sum(d) from t), 6) as total, round(count(*) filter (s >= (select sum(d) from t) - 1e-9) / count(*)::double, 6) as p from m""")
 def sign_flip_exact(spark, sf):
-    d = paired_zones(spark, sf).where("zone < 10")
+    """Zones of five nations each: all signs are tried."""
+    wide = stats(spark, sf).withColumn("zone", F.expr("zone div 5"))
+    d = evidence.paired(wide, "zone", "arm", "BUILDING", "MACHINERY").select(r6("difference").alias("difference"))
     return evidence.sign_flips(d, "difference").select("n", r6("total").alias("total"), r6("p").alias("p"))
 
 
 @query()
-def sign_flip_whole(spark, sf):
+def sign_flip_drawn(spark, sf):
     return evidence.sign_flips(paired_zones(spark, sf), "difference").select("n", r6("total").alias("total"), r6("p").alias("p"))
 
 
-@query("""with e as (select event_type, count(*) filter (value > 250) as above, count(*) filter (value < 250) as below from events where user_id % 10 = 3 group by 1),
-lf as (select n, sum(ln(greatest(n, 1))) over (order by n) as f from range(20000) t(n))
-select event_type, cast(above as int) as above, cast(below as int) as below, round(sum(exp(a.f - b.f - c.f - (above + below) * ln(2))), 5) as p from e join lf a on a.n = above + below
-join lf b on b.n between above and above + below join lf c on c.n = above + below - b.n group by 1, 2, 3""")
-def sign_counts(spark, sf):
-    e = events(spark, sf).where("user_id % 10 = 3")
-    return evidence.sign_test(e, "value", 250.0, ["event_type"]).withColumn("p", F.round("p", 5))
-
-
 @query("""with e as (select event_type, count(*) filter (value > 250) as above, count(*) filter (value < 250) as below from events group by 1),
 k as (select *, unnest(range(above, above + below + 1)) as k from e)
 select event_type, cast(above as int) as above, cast(below as int) as below, round(sum(exp(lgamma(above + below + 1) - lgamma(k + 1) - lgamma(above + below - k + 1) - (above + below) * ln(2))), 5) as p from k group by 1, 2, 3""")
-def sign_counts_whole(spark, sf):
+def sign_counts(spark, sf):
     return evidence.sign_test(events(spark, sf), "value", 250.0, ["event_type"]).withColumn("p", F.round("p", 5))
 
 
-@query("""with u as (select event_type, value from events where user_id % 10 = 1), a as (select event_type, value as ref from events where user_id % 10 = 2)
-select event_type, value, round(avg((ref < value)::int) + 0.5 * avg((ref = value)::int), 6) as position, count(*) as refs from u join a using (event_type) group by 1, 2""")
-def mid_rank(spark, sf):
-    e = events(spark, sf)
-    return evidence.mid_ranks(e.where("user_id % 10 = 1"), e.where("user_id % 10 = 2"), ["event_type"], "value").withColumn("position", r6("position"))
-
-
 @query("""with u as (select event_type, value from events where user_id % 2 = 1), a as (select event_type, value as ref from events where user_id % 2 = 0)
 select event_type, value, round(avg((ref < value)::int) + 0.5 * avg((ref = value)::int), 6) as position, count(*) as refs from u join a using (event_type) group by 1, 2""")
-def mid_rank_whole(spark, sf):
+def mid_rank(spark, sf):
     """Events of odd users among those of even ones: each event is of one or the other."""
     e = events(spark, sf)
     return evidence.mid_ranks(e.where("user_id % 2 = 1"), e.where("user_id % 2 = 0"), ["event_type"], "value").withColumn("position", r6("position"))
 
 
-BINS = """ed as (select list_distinct([quantile_cont(value, i / 10.0) for i in range(1, 10)]) as e from events),
-ed2 as (select unnest(range(1, 10)) as i), q as (select distinct quantile_cont(value, 0.1) as e from events union select quantile_cont(value, 0.2) from events union select quantile_cont(value, 0.3) from events union select quantile_cont(value, 0.4) from events
- union select quantile_cont(value, 0.5) from events union select quantile_cont(value, 0.6) from events union select quantile_cont(value, 0.7) from events union select quantile_cont(value, 0.8) from events union select quantile_cont(value, 0.9) from events),
-pl as (select event_type = 'purchase' as used, (select count(*) from q where q.e <= value) as bin from events),
-bb as (select bin, count(*) filter (used) as used, count(*) filter (not used) as available, (count(*) filter (used) + 0.5) / (count(*) filter (not used) + 0.5) as ratio from pl group by bin)"""
-BINS = BINS[BINS.index("q as (select distinct") :]
+BINS = """av as (select value from events where event_type <> 'purchase'), q as (select distinct unnest(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as e from av),
+inn as (select e from q where e > (select min(value) from av) and e < (select max(value) from av)),
+pl as (select event_type = 'purchase' as used, (select count(*) from inn where e <= value) as bin from events),
+bb as (select bin, count(*) filter (used) as used, count(*) filter (not used) as available from pl group by bin),
+br as (select *, case when available > 0 then (used / sum(used) over ()) / (available / sum(available) over ()) end as ratio from bb)"""
 
 
-@query(f"with {BINS} select cast(bin as int) as bin, used, available, round(ratio, 6) as ratio from bb")
+@query(f"with {BINS} select cast(bin as int) as bin, used, available, round(ratio, 6) as ratio from br")
 def boyce_bins(spark, sf):
     e = events(spark, sf).withColumn("used", F.col("event_type") == "purchase")
     return evidence.used_available(e, "value", "used").withColumn("ratio", r6("ratio"))
 
 
-@query(f"with {BINS}, rk as (select rank() over (order by ratio) + (count(*) over (partition by ratio) - 1) / 2.0 as r, rank() over (order by bin) as q from bb) select count(*) as bins, round(corr(r, q), 6) as boyce from rk")
+@query(f"""with {BINS}, rk as (select ratio, rank() over (order by ratio) + (count(*) over (partition by ratio) - 1) / 2.0 as r, rank() over (order by bin) as q from br where ratio is not null)
+select count(*) as bins, case when (select sum(used) >= 5 and sum(available) >= 10 and count(*) >= 3 from bb) and count(*) >= 3 and max(ratio) > min(ratio) then round(corr(r, q), 3) end as boyce from rk""")
 def boyce_index(spark, sf):
     e = events(spark, sf).withColumn("used", F.col("event_type") == "purchase")
-    return evidence.boyce(e, "value", "used").withColumn("boyce", r6("boyce"))
+    return evidence.boyce(e, "value", "used")
 
 
 @query("select event_type, cast(user_id % 4 as bigint) as bucket, round(avg(value), 5) as mean, round(quantile_cont(value, 0.5), 6) as median, count(*) as n from events group by rollup (event_type, user_id % 4)".replace("cast(user_id % 4 as bigint) as bucket", "user_id % 4 as bucket"))
@@ -175,10 +172,35 @@ def step_table(spark, sf):
     return evidence.steps(fixes(spark, sf), "user_id", "ts", "x", "y").select("user_id", "ts", "seconds", *(F.round(c, 4).alias(c) for c in ("length", "heading", "turn")))
 
 
-@query()
+SUN = """degrees(asin(sin(radians(lat)) * sin(de) + cos(radians(lat)) * cos(de) * cos(radians(gm * 15 + lon) - ra)))"""
+ALMANAC = """g1 as (select *, radians(357.528 + 0.9856003 * n) as g, radians(23.439 - 0.0000004 * n) as tilt from g0), g2 as (select *, radians(280.460 + 0.9856474 * n + 1.915 * sin(g) + 0.020 * sin(2 * g)) as ec from g1),
+g3 as (select *, atan2(cos(tilt) * sin(ec), cos(ec)) as ra, asin(sin(tilt) * sin(ec)) as de, (18.697374558 + 24.06570982441908 * n) - 24 * floor((18.697374558 + 24.06570982441908 * n) / 24) as gm from g2)"""
+
+
+@query(f"""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y, epoch_us(ts) as us from events),
+w as (select *, x - lag(x) over o as dx, y - lag(y) over o as dy, (us - lag(us) over o) / 1e6 as seconds from f window o as (partition by user_id order by ts)),
+g0 as (select *, sqrt(dx * dx + dy * dy) as length, (degrees(atan2(dx, dy)) + 360) - 360 * floor((degrees(atan2(dx, dy)) + 360) / 360) as heading, us / 1e6 / 86400.0 + 2440587.5 - 2451545.0 as n, -117.6 + x / 70000 as lon, 47.9 + y / 111320 as lat from w where seconds is not null),
+{ALMANAC}, s as (select *, {SUN} as sun from g3),
+u as (select *, median(seconds) over (partition by user_id) as usual, count(*) over (partition by user_id) as fixes from s),
+r as (select *, abs(seconds - usual) <= 0.25 * usual as regular, length > 1 as moved from u where fixes >= 2 and usual <= 8 * 3600),
+b as (select *, case when lag(regular) over o and lag(moved) over o then lag(heading) over o end as before from r window o as (partition by user_id order by ts)),
+t as (select *, regular and sun < 6 as use, regular and before is not null and moved as turns from b),
+p as (select *, use or (regular and count(*) filter (use) over (partition by user_id) < 30) as pooled from t),
+q as (select *, turns and (pooled or count(*) filter (turns and pooled) over (partition by user_id) < 30) as turned from p),
+ln as (select user_id, row_number() over (partition by user_id order by ts) - 1 as i, length as l from q where pooled),
+tn as (select user_id, row_number() over (partition by user_id order by ts) - 1 as i, (heading - before + 540) - 360 * floor((heading - before + 540) / 360) - 180 as a from q where turned),
+c as (select user_id, count(*) filter (pooled) as nl, count(*) filter (turned) as nt from q group by 1),
+k as (select *, unnest(range(1, 16)) as k from q join c using (user_id) where use),
+h as (select *, cast('0x' || substr(md5('0/1/' || user_id || '/' || us || '/' || k), 1, 8) as bigint) % nl as li, case when nt > 0 then cast('0x' || substr(md5('0/2/' || user_id || '/' || us || '/' || k), 1, 8) as bigint) % nt end as ti,
+ cast('0x' || substr(md5('0/3/' || user_id || '/' || us || '/' || k), 1, 8) as bigint) * (360.0::double / 4294967296) as free from k),
+j as (select h.*, l, radians(coalesce(before + a, free)) as way from h join ln on ln.user_id = h.user_id and ln.i = li left join tn on tn.user_id = h.user_id and tn.i = ti)
+select user_id, ts, cast(k as int) as k, round(length, 4) as length, round(x - length * sin(radians(heading)) + l * sin(way), 3) as ax, round(y - length * cos(radians(heading)) + l * cos(way), 3) as ay from j""")
 def available_points(spark, sf):
+    """Used steps in the dark, the lattice of events taken for metres about a point in the north-west."""
     s = evidence.steps(fixes(spark, sf), "user_id", "ts", "x", "y")
-    return evidence.strata(s, "user_id", "ts", "x", "y")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    s = s.withColumn("sun", S.sun_angle(at, F.lit(-117.6) + F.col("x") / 70000, F.lit(47.9) + F.col("y") / 111320))
+    return evidence.strata(s, "user_id", "ts", "x", "y", "sun").select("user_id", "ts", "k", F.round("length", 4).alias("length"), F.round("ax", 3).alias("ax"), F.round("ay", 3).alias("ay"))
 
 
 @query("""with h as (select event_type, epoch_us(ts) / 1e6 / 86400.0 + 2440587.5 - 2451545.0 as n, event_id, -117.6 + (user_id % 20) * 0.1 as lon, 40.0 + user_id % 15 as lat from events),
@@ -257,28 +279,19 @@ def ring_area(spark, sf):
     return s.select("id", F.round(S.ring_area("ring", "lat"), 1).alias("area"))
 
 
-@query("""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events where user_id < 40)
+@query("""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events)
 select user_id, round(sum(sqrt(dx * dx + dy * dy)), 3) as length, count(*) as points from (select user_id, x - lag(x) over o as dx, y - lag(y) over o as dy from f window o as (partition by user_id order by ts)) group by 1""")
 def line_length(spark, sf):
-    return vectors.lengths(fixes(spark, sf).where("user_id < 40"), "user_id", "ts", "x", "y").withColumn("length", F.round("length", 3))
-
-
-@query(SQL["line_length"].replace(" where user_id < 40", ""))
-def line_length_whole(spark, sf):
     return vectors.lengths(fixes(spark, sf), "user_id", "ts", "x", "y").withColumn("length", F.round("length", 3))
 
 
-@query("""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events where user_id < 12),
+@query("""with f as (select user_id, ts, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events),
 s as (select *, lead(x) over o as x2, lead(y) over o as y2 from f window o as (partition by user_id order by ts)), d as (select *, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) as d from s),
-c as (select *, sum(coalesce(d, 0)) over (partition by user_id order by ts) - coalesce(d, 0) as before, sum(d) over (partition by user_id) as total from d),
-k as (select user_id, unnest(range(0, cast(floor(max(total) / 500) as bigint) + 1)) as k from c group by user_id)
-select c.user_id, k.k, round(x + (x2 - x) * (k.k * 500 - before) / d, 3) as x, round(y + (y2 - y) * (k.k * 500 - before) / d, 3) as y from c join k on k.user_id = c.user_id and k.k * 500 >= before and k.k * 500 < before + d where d > 0""")
+c as (select *, sum(coalesce(d, 0)) over (partition by user_id order by ts) - coalesce(d, 0) as before, sum(coalesce(d, 0)) over (partition by user_id) as total from d),
+k as (select user_id, unnest(range(0, cast(ceil(max(total) / 500) as bigint))) as k from c group by user_id)
+select c.user_id, k.k, round(x + (x2 - x) * (k.k * 500 - before) / d, 3) as x, round(y + (y2 - y) * (k.k * 500 - before) / d, 3) as y from c join k on k.user_id = c.user_id and k.k * 500 >= before and k.k * 500 < before + d where d > 0
+union all select user_id, cast(ceil(total / 500) as bigint), round(x, 3), round(y, 3) from c where d is null""")
 def densify(spark, sf):
-    return vectors.densified(fixes(spark, sf).where("user_id < 12"), "user_id", "ts", "x", "y", 500.0).select("user_id", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
-
-
-@query(SQL["densify"].replace(" where user_id < 12", ""))
-def densify_whole(spark, sf):
     return vectors.densified(fixes(spark, sf), "user_id", "ts", "x", "y", 500.0).select("user_id", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
@@ -292,11 +305,15 @@ def v1_expand(spark, sf):
     return records.expanded(v1).select("id", "kind", "day")
 
 
-@query("""with taken as (select 'site' || (c_custkey % 50) as base, c_custkey from customer) select c_custkey, case when row_number() over (partition by base order by c_custkey) = 1 then base else base || '#' || row_number() over (partition by base order by c_custkey) end as id from taken""")
+@query("""with c as (select c_custkey, 'site' || (c_custkey % 50) as base from customer), used as (select distinct 'site' || (s_suppkey % 20) || case when s_suppkey % 7 = 0 then '' else '#' || (s_suppkey % 7 + 1) end as id from supplier),
+tried as (select base, unnest(range(1, cast(count(*) as bigint) + 1 + (select count(*) from used))) as number from c group by base),
+free as (select base, number, case when number = 1 then base else base || '#' || number end as id from tried), left_ as (select base, id, row_number() over (partition by base order by number) as place from free where id not in (select id from used)),
+p as (select *, row_number() over (partition by base order by c_custkey) as place from c) select c_custkey, id from p join left_ using (base, place)""")
 def free_ids(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("site"), (F.col("c_custkey") % 50).cast("string")).alias("base"))
-    none = spark.createDataFrame([], "id string")
-    return records.named(c, "base", "c_custkey", none).select("c_custkey", "id")
+    k = F.col("s_suppkey")
+    used = table(spark, sf, "supplier").select(F.concat(F.lit("site"), (k % 20).cast("string"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("#"), (k % 7 + 1).cast("string")))).alias("id"))
+    return records.named(c, "base", "c_custkey", used).select("c_custkey", "id")
 
 
 @query("""select c_custkey, 'team/' || c_name as name, 'team' as sender from customer where c_nationkey = 3 union all select c_custkey, c_name, case when c_custkey % 5 = 0 then 'old' end from customer where c_nationkey <> 3 and c_custkey % 5 <> 1""")
@@ -321,31 +338,16 @@ def names(spark, sf):
     return j.select("r_name", S.slug("r_name").alias("slug"), S.display_name("r_name", "n_name").alias("label"), S.mentions("r_name", ["asia", "east"]).alias("mention"))
 
 
-@query("""with b as (select event_type, user_id % 8 as area, value, row_number() over (partition by user_id % 8 order by event_id) as k from events where user_id % 8 < 4), p as (select area, value as p from b where k <= 20), q as (select area, value as q from b where k between 21 and 60)
-select area, round(avg(case when p < q then 1.0 when p = q then 0.5 else 0 end), 6) as chance from p join q using (area) group by 1""")
-def outranks_random(spark, sf):
-    k = F.row_number().over(Window.partitionBy(F.col("user_id") % 8).orderBy("event_id"))
-    b = events(spark, sf).where("user_id % 8 < 4").select((F.col("user_id") % 8).alias("area"), "value", k.alias("k"))
-    return evidence.outranks_random(b.where("k <= 20"), b.where("k between 21 and 60"), ["area"], "value").withColumn("chance", r6("chance"))
-
-
 @query("""with b as (select event_type = 'purchase' as pin, user_id % 8 as area, value from events), p as (select area, value as p from b where pin), q as (select area, value as q from b where not pin)
 select area, round(avg(case when p < q then 1.0 when p = q then 0.5 else 0 end), 6) as chance from p join q using (area) group by 1""")
-def outranks_random_whole(spark, sf):
+def outranks_random(spark, sf):
     """Purchases among all other events of their area."""
     b = events(spark, sf).select((F.col("user_id") % 8).alias("area"), "value", (F.col("event_type") == "purchase").alias("pin"))
     return evidence.outranks_random(b.where("pin"), b.where("not pin"), ["area"], "value").withColumn("chance", r6("chance"))
 
 
-@query("""with m as (select user_id % 8 as area, value / 500 as rank from events where user_id % 8 < 4) select area, count(*) as pins, round(quantile_cont(rank, 0.5), 6) as median, round(avg((rank <= 0.10)::int), 6) as top10, round(avg((rank <= 0.25)::int), 6) as top25 from m group by grouping sets ((area), ())""")
+@query("""with m as (select user_id % 8 as area, value / 500 as rank from events) select area, count(*) as pins, round(quantile_cont(rank, 0.5), 6) as median, round(avg((rank <= 0.10)::int), 6) as top10, round(avg((rank <= 0.25)::int), 6) as top25 from m group by grouping sets ((area), ())""")
 def area_metrics(spark, sf):
-    m = events(spark, sf).where("user_id % 8 < 4").select((F.col("user_id") % 8).alias("area"), (F.col("value") / 500).alias("rank"))
-    share = lambda x: r6(F.avg((F.col("rank") <= x).cast("double")))
-    return m.groupingSets([["area"], []], "area").agg(F.count(F.lit(1)).alias("pins"), r6(F.median("rank")).alias("median"), share(0.10).alias("top10"), share(0.25).alias("top25"))
-
-
-@query(SQL["area_metrics"].replace(" where user_id % 8 < 4", ""))
-def area_metrics_whole(spark, sf):
     m = events(spark, sf).select((F.col("user_id") % 8).alias("area"), (F.col("value") / 500).alias("rank"))
     share = lambda x: r6(F.avg((F.col("rank") <= x).cast("double")))
-    return m.groupingSets([["area"], []], "area").agg(F.count(F.lit(1)).alias("pins"), r6(F.median("rank")).alias("median"), share(0.10).alias("top10"), share(0.25).alias("top25"))
+    return m.groupingSets([["area"], []], "area").agg(F.count(F.lit(1)).alias("pins"), r6(F.median("rank")).alias("median"), share(0.10).alias("top10"), share(0.25).alias("top25"))
\ No newline at end of file

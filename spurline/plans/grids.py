@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spurline.functions import scalar as S
 from spurline.operators import graph, lattice, picks
+from spurline.operators.store import keep
 
 SIZE = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,23 +205,12 @@ def priority_source(spark, sf):
     return lattice.best_source(layers(spark, sf), s, 3, 4.0, 10).select("row", "col", r6("value").alias("value"), "place")
 
 
-@query("""with {LATTICE}, l as (select cast((row // 8) * 8 + col // 8 as int) as label, row, col, z, d from lat where (row + col) % 3 > 0),
+@query("""with {LATTICE}, l as (select cast((row // 8) * 8 + col // 8 as int) as label, row, col, z, d from lat),
 m as (select label, avg(d) as flow from l group by 1), x as (select l.label, row, col, z * flow as v from l join m using (label))
 select label, row, col, round((v - min(v) over (partition by label)) / (max(v) over (partition by label) - min(v) over (partition by label)), 5) as position from x""")
 def mean_flow_position(spark, sf):
     from pyspark.sql import Window
 
-    lab = layers(spark, sf).where((F.col("row") + F.col("col")) % 3 > 0).withColumn("label", (F.floor(F.col("row") / 8) * 8 + F.floor(F.col("col") / 8)).cast("int"))
-    w = Window.partitionBy("label")
-    v = lab.join(lab.groupBy("label").agg(F.avg("d").alias("flow")), "label").withColumn("v", F.col("z") * F.col("flow"))
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    return v.select("label", "row", "col", F.round(F.try_divide(F.col("v") - low, high - low), 5).alias("position"))
-
-
-@query(SQL["mean_flow_position"].replace(" where (row + col) % 3 > 0", ""))
-def mean_flow_position_whole(spark, sf):
-    from pyspark.sql import Window
-
     lab = layers(spark, sf).withColumn("label", (F.floor(F.col("row") / 8) * 8 + F.floor(F.col("col") / 8)).cast("int"))
     w = Window.partitionBy("label")
     v = lab.join(lab.groupBy("label").agg(F.avg("d").alias("flow")), "label").withColumn("v", F.col("z") * F.col("flow"))
@@ -279,31 +269,25 @@ def route_trace(spark, sf):
     return graph.route(_tree(spark, sf).select("id", F.col("receiver").alias("parent")), 2080).select("step", "id")
 
 
-@query("""with recursive {LATTICE}, small as (select row, col, d from lat where row < 8 and col < 8), """ + DIRS + """,
+@query("""with recursive {LATTICE}, small as (select row, col, d from lat), """ + DIRS + """,
 edge as (select a.row * 64 + a.col as f, b.row * 64 + b.col as t, (a.d + b.d) / 2 * sqrt(dr * dr + dc * dc) * 10.0 as pay from small a cross join dirs join small b on b.row = a.row + dr and b.col = a.col + dc),
 walk(id, reach) using key (id) as (select 0::bigint, 0.0::double union select edge.t::bigint, min(walk.reach + pay) from walk join edge on edge.f = walk.id left join recurring.walk old on old.id = edge.t where old.reach is null or walk.reach + pay < old.reach - 1e-12 group by edge.t)
 select cast(id // 64 as int) as row, cast(id % 64 as int) as col, round(reach, 6) as reach from walk""")
 def least_cost(spark, sf):
-    small = layers(spark, sf).where("row < 8 and col < 8").withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
-    return graph.least_cost(small, "d", "source", 10.0).select("row", "col", r6("reach").alias("reach"))
-
-
-@query(SQL["least_cost"].replace(" where row < 8 and col < 8", ""))
-def least_cost_whole(spark, sf):
-    every = layers(spark, sf).withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
-    return graph.least_cost(every, "d", "source", 10.0).select("row", "col", r6("reach").alias("reach"))
+    every = keep(layers(spark, sf).select("row", "col", "d")).withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
+    return graph.cheapest(every, "d", "source", 10.0, tile=32).select("row", "col", r6("reach").alias("reach"))
 
 
 @query()
 def filled_depressions(spark, sf):
     quarter = layers(spark, sf).withColumn("area_id", (F.floor(F.col("row") / 32) * 2 + F.floor(F.col("col") / 32)).cast("int"))
-    return graph.flooded(quarter, "z", ["area_id"]).withColumn("filled", r6("filled"))
+    return graph.flooded(keep(quarter), "z", ["area_id"], tile=16).withColumn("filled", r6("filled"))
 
 
 @query()
 def shared_drainage(spark, sf):
     quarter = layers(spark, sf).withColumn("area_id", (F.floor(F.col("row") / 32) * 2 + F.floor(F.col("col") / 32)).cast("int"))
-    return graph.shared_flow(quarter, "z", 10.0, ["area_id"]).select("area_id", "row", "col", r6("area").alias("area"))
+    return graph.shared_flow(keep(quarter), "z", 10.0, ["area_id"], tile=16).select("area_id", "row", "col", r6("area").alias("area"))
 
 
 @query("with {LATTICE} select row, col, round((rank() over (order by z) - 1 + 0.5 * count(*) over (partition by z)) / count(*) over (), 6) as position from lat")
@@ -336,18 +320,8 @@ def block_upsample(spark, sf):
 
 
 @query("""with {LATTICE}, s as (select row, col, z, d, hit from masked)
-select row, col, array_to_string(list_filter([case when z >= 30 then 'high ground at ' || cast(round(z)::int as varchar) end, case when hit then 'dense cover' end, case when d < 0.03 then 'open' end], x -> x is not null), '; ') as reasons from s where row % 4 = 0""".replace("x -> x is not null", "lambda x: x is not null"))
+select row, col, array_to_string(list_filter([case when z >= 30 then 'high ground at ' || cast(round(z)::int as varchar) end, case when hit then 'dense cover' end, case when d < 0.03 then 'open' end], x -> x is not null), '; ') as reasons from s""".replace("x -> x is not null", "lambda x: x is not null"))
 def reason_list(spark, sf):
-    rules = [
-        (F.col("z") >= 30, F.concat(F.lit("high ground at "), F.round("z").cast("int").cast("string"))),
-        (F.col("hit"), F.lit("dense cover")),
-        (F.col("d") < 0.03, F.lit("open")),
-    ]
-    return masked(spark, sf).where("row % 4 = 0").select("row", "col", F.array_join(picks.reasons(rules), "; ").alias("reasons"))
-
-
-@query(SQL["reason_list"].replace(" where row % 4 = 0", ""))
-def reason_list_whole(spark, sf):
     rules = [
         (F.col("z") >= 30, F.concat(F.lit("high ground at "), F.round("z").cast("int").cast("string"))),
         (F.col("hit"), F.lit("dense cover")),
@@ -377,7 +351,7 @@ def spaced_blocks(spark, sf):
 @query()
 def score_pipeline(spark, sf):
     """Layers, slopes, smoothed factors, score, penalties, usable ground, peaks, spaced picks with reasons."""
-    lat = scored(spark, sf).withColumn("spot", F.col("spot") * F.col("habitat")).select("row", "col", "z", "d", "t", "p", "hit", "spot", "n_on")
+    lat = keep(scored(spark, sf).withColumn("spot", F.col("spot") * F.col("habitat")).select("row", "col", "z", "d", "t", "p", "hit", "spot", "n_on"))
     blurred = lattice.gaussian(lat, "spot", 2.0, SIZE, SIZE)
     near = lattice.disc_sum(lattice.nearest(blurred, points(spark, sf), 12), points(spark, sf).withColumn("n", F.lit(1)), "n", 8)
     cost = S.penalty(F.coalesce(F.sqrt("d2") * 50, F.lit(2000.0)), "total", F.lit(500.0))

@@ -53,22 +53,23 @@ def exact(w, n):
 
 
 def test_queries_take_whole_tables(spark, tmp_path):
-    """Users, areas and ranks beyond the cuts of the queries of the same name without _whole."""
+    """Users, areas and ranks of all kinds."""
     rows = [(u * 20 + i, f"2026-01-01T{i:02d}:{u % 60:02d}:00", u, "purchase" if i % 3 else "view", float((u * 7 + i * 31) % 500), f'{{"k": {(i * i + u) % 50}}}') for u in (3, 7, 12, 45, 61, 62) for i in range(20)]
     e = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
     e.withColumn("ts", F.to_timestamp("t").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     users = {3, 7, 12, 45, 61, 62}
-    for name in ("available_points", "line_length_whole", "densify_whole"):
+    for name in ("line_length", "densify"):
         assert {r["user_id"] for r in fields.QUERIES[name](spark, str(tmp_path)).select("user_id").distinct().collect()} == users
-    assert {r["area"] for r in fields.QUERIES["area_metrics_whole"](spark, str(tmp_path)).collect()} == {u % 8 for u in users} | {None}
-    assert sum(r["above"] + r["below"] for r in fields.QUERIES["sign_counts_whole"](spark, str(tmp_path)).collect()) == sum(r[4] != 250 for r in rows)
-    got = {r["area"]: r["chance"] for r in fields.QUERIES["outranks_random_whole"](spark, str(tmp_path)).collect()}
+    assert {r["area"] for r in fields.QUERIES["area_metrics"](spark, str(tmp_path)).collect()} == {u % 8 for u in users} | {None}
+    assert sum(r["above"] + r["below"] for r in fields.QUERIES["sign_counts"](spark, str(tmp_path)).collect()) == sum(r[4] != 250 for r in rows)
+    got = {r["area"]: r["chance"] for r in fields.QUERIES["outranks_random"](spark, str(tmp_path)).collect()}
     for a in {u % 8 for u in users}:
         p, q = (sorted(r[4] for r in rows if r[2] % 8 == a and (r[3] == "purchase") == pin) for pin in (True, False))
         assert abs(got[a] - sum(bisect.bisect_left(p, x) + 0.5 * p.count(x) for x in q) / (len(p) * len(q))) < 1e-6
     odd = [r for r in rows if r[2] % 2]
-    assert sum(r["refs"] for r in fields.QUERIES["mid_rank_whole"](spark, str(tmp_path)).collect()) == sum(a[3] == b[3] for a in odd for b in rows if b[2] % 2 == 0)
-    assert {"least_cost_whole", "reason_list_whole", "mean_flow_position_whole"} <= set(grids.QUERIES)
+    assert sum(r["refs"] for r in fields.QUERIES["mid_rank"](spark, str(tmp_path)).collect()) == sum(a[3] == b[3] for a in odd for b in rows if b[2] % 2 == 0)
+    assert {"least_cost", "reason_list", "mean_flow_position"} <= set(grids.QUERIES)
+    assert not [q for q in (*fields.SQL.values(), *grids.SQL.values()) if "user_id <" in q]
 
 
 def test_sign_flips_beyond_sixteen(spark):
