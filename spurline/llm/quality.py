@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Distinct tokens that a worker remembers the hash of.
 REMEMBERED = 200_000
-#: Distances at which a repeated token is a feature of its own.
-AGAIN = (1, 2, 3)
 _hashes: dict[str, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,10 +24,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Settings:
     """alpha, beta, l1, l2: of the per-coordinate FTRL-proximal update. rows: about how many labelled rows
-    are drawn for training, by hash of their id; shard_rows: how many of them one learner reads."""
+    are drawn for training, by hash of their id; shard_rows: how many of them one learner reads. orders: of the n-grams.
+    again: distances at which two equal tokens are a feature, an n-gram with its words left open; () for n-grams alone."""
 
     bits: int = 18
     orders: tuple[int, ...] = (1, 2)
+    again: tuple[int, ...] = (1, 2, 3)
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.0001
@@ -40,13 +40,13 @@ class Settings:
 
 
 def _width(s: Settings) -> int:
-    return 2**s.bits + 1 + len(AGAIN)
+    return 2**s.bits + 1 + len(s.again)
 
 
 def features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a text, with the square roots of their counts scaled to length 1.
 
-    Feature 0 is always on. The next count the pairs of equal tokens at each distance of AGAIN:
+    Feature 0 is always on. The next count the pairs of equal tokens at each distance of s.again:
     n-grams that say "the same word again" whichever word it is.
     """
     if len(_hashes) > REMEMBERED:
@@ -66,11 +66,11 @@ def features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         if n in s.orders:
             grams.append(((rolled * _MIX + np.uint64(n)) >> np.uint64(64 - s.bits)).astype(np.int64))
     index, count = np.unique(np.concatenate(grams), return_counts=True)
-    repeats = [np.count_nonzero(one[d:] == one[:-d]) if len(one) > d else 0 for d in AGAIN]
+    repeats = [np.count_nonzero(one[d:] == one[:-d]) if len(one) > d else 0 for d in s.again]
     value = np.sqrt(np.concatenate([[1], repeats, count]))
     norm = np.sqrt((value[1:] ** 2).sum()) or 1.0
     value[1:] /= norm
-    return np.concatenate([np.arange(1 + len(AGAIN)), index + 1 + len(AGAIN)]), value
+    return np.concatenate([np.arange(1 + len(s.again)), index + 1 + len(s.again)]), value
 
 
 def learn(texts: list[str], marks: list[int], s: Settings) -> np.ndarray:
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.nd
     About s.rows labelled rows are drawn by hash of doc_id, so the model's cost is bounded; all
     are used where there are fewer. They are dealt by hash to learners of about s.shard_rows rows,
     each of which runs its own FTRL passes, and the weights are averaged. Only the averaged weights
-    that are not 0 come to the driver: at most 2**bits + 4. Labels other than 0 and 1, null ids, and
+    that are not 0 come to the driver: at most 2**bits + 1 + len(again). Labels other than 0 and 1, null ids, and
     ids without a document are left out; repeated labels of an id count once for each different one.
     Without any labelled row all weights are 0.
     """
