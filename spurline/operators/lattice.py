@@ -33,6 +33,10 @@ def filled(values: DataFrame, height: int, width: int, *layers: str) -> DataFram
     return full.crossJoin(F.broadcast(means)).select("row", "col", *(F.coalesce(v, f"{v}_mean").alias(v) for v in layers))  # means: one row
 
 
+#: Columns on each side that a row of windows looks at.
+WIDE = 16
+
+
 def _axis(by: Sequence[str], axis: str) -> tuple[str, Window]:
     other = "row" if axis == "col" else "col"
     return other, Window.partitionBy(*by, other).orderBy(axis)
@@ -152,17 +156,21 @@ def _column_gap(df: DataFrame, there: Column, by: Sequence[str]) -> Column:
 
 
 def nearest_true(df: DataFrame, mask: str, reach: float, by: Sequence[str] = (), square: bool = False) -> DataFrame:
-    """Adds d2 (squared cells), near_row and near_col of the nearest true cell within reach, null without one; ties go to the first in row-major order. square: reach is the half-width of a square.
+    """Adds d2 (squared cells), near_row and near_col of the nearest true cell within reach, null without one; at equal distances the left column, then the upper row wins. square: reach is the half-width of a square.
 
-    The nearest of each column comes from two windows, the nearest of all from the columns within reach: work that grows with reach, not its square. df holds every cell of its rectangle.
+    The nearest of each column comes from two windows, the nearest of all from the columns within reach: work that grows with reach, not its square. Beyond WIDE cells
+    it comes from the distances of nearest_any(). df holds every cell of its rectangle.
     """
+    if reach > WIDE and not square:
+        far = nearest_any(df, mask, by)
+        return far.withColumns({c: F.when(F.col("d2") <= reach * reach, F.col(c)) for c in ("near_row", "near_col", "d2")})
     _, along = _axis(by, "col")
     k, found = int(reach), df.withColumn("at_", _column_gap(df, F.coalesce(F.col(mask), F.lit(False)), by))
 
     def offer(i: int) -> Column:
         at = F.lag("at_", -i).over(along) if i else F.col("at_")
         d2 = i * i + (at - F.col("row")) * (at - F.col("row"))
-        return F.when(F.abs(at - F.col("row")) <= k if square else d2 <= reach * reach, F.struct(d2.alias("d2"), at.alias("r"), (F.col("col") + i).alias("c")))
+        return F.when(F.abs(at - F.col("row")) <= k if square else d2 <= reach * reach, F.struct(d2.alias("d2"), (F.col("col") + i).alias("c"), at.alias("r")))
 
     # a window for each column, then the least of them: nulls are left out
     offers = found.withColumns({f"o{i + k}_": offer(i) for i in range(-k, k + 1)})

@@ -180,7 +180,7 @@ def disc_count(spark, sf):
 
 
 NEAREST = """with {LATTICE} select row, col, {d2} near_row, near_col from (select a.row, a.col, b.row as near_row, b.col as near_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 as d2,
- row_number() over (partition by a.row, a.col order by (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) as k from lat a left join sup b on (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= {far}) where k = 1"""
+ row_number() over (partition by a.row, a.col order by (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.col, b.row) as k from lat a left join sup b on (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= {far}) where k = 1"""
 
 
 @query(NEAREST.replace("{d2}", "cast(d2 as int) as d2,").replace("{far}", "144"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spurline.functions import scalar as S
-from spurline.operators import climate, evidence, graph, lattice, picks, records, vectors
+from spurline.operators import climate, evidence, graph, lattice, picks, records, site, vectors
 from spurline.operators.store import keep
 from spurline.plans.fields import fixes
 from spurline.plans.grids import FACTORS, LATTICE, SIZE, layers, masked, points, r6, scored, table
@@ -114,7 +114,7 @@ def soft_edges(spark, sf):
 
 
 @query("""with {LATTICE} select row, col, cast(d2 as int) as d2, near_row, near_col from (select a.row, a.col, b.row as near_row, b.col as near_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 as d2,
- row_number() over (partition by a.row, a.col order by (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) as k from lat a left join sup b on abs(a.row - b.row) <= 3 and abs(a.col - b.col) <= 3) where k = 1""")
+ row_number() over (partition by a.row, a.col order by (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.col, b.row) as k from lat a left join sup b on abs(a.row - b.row) <= 3 and abs(a.col - b.col) <= 3) where k = 1""")
 def window_nearest(spark, sf):
     marks = points(spark, sf).withColumn("there", F.lit(True))
     return lattice.nearest_true(layers(spark, sf).join(marks, ["row", "col"], "left"), "there", 3, square=True).select("row", "col", "d2", "near_row", "near_col")
@@ -429,3 +429,104 @@ def ring_centroids(spark, sf):
     ring = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((F.col("s_suppkey") + k).cast("double").alias("lon"), (F.lit(0.5) * F.col("s_nationkey") + k * n / 3.0 + k / 3.0 - F.when(n == 0, 0.0).otherwise(k * 0.0)).alias("lat")))
     rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), ring.alias("ring"))
     return vectors.centroids(rows, "ring").select("id", r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
+def disc_sql(out: str, mask: str, radius: int) -> str:
+    """A CTE of the share of a disc about each cell of `cv` where mask holds."""
+    size = sum(2 * c + 1 for c in lattice.chords(radius).values())
+    return f"{out} as (select a.row, a.col, count(b.row) / {size}.0 as v from cv a cross join offs left join cv b on b.{mask} and b.row = a.row + dr and b.col = a.col + dc where dr * dr + dc * dc <= {radius * radius} group by 1, 2)"
+
+
+def dist_sql(out: str, mask: str, reach: float, cell: float) -> str:
+    return f"{out} as (select a.row, a.col, min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) * {cell} as v from cv a left join cv b on b.{mask} and (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= {(reach / cell) ** 2} group by 1, 2)"
+
+
+@query("with {LATTICE}, cv as (select row, col, z >= 24 as cover, hit as meadow from masked), " + offsets_sql(6) + ", " + disc_sql("hd", "cover", 1) + ", " + disc_sql("vw", "meadow", 6) + ", " + disc_sql("rl", "cover", 3) + ", " + dist_sql("op", "meadow", 75, 10) + ", " + dist_sql("nc", "cover", 25, 10) + """
+select cv.row, cv.col, round(greatest(greatest(least((hd.v - 0.35) / 0.45, 1), 0) * least(vw.v / 0.3, 1) * case when op.v > 0 then greatest(least(1 - (op.v - 35) / 40, 1), 0) else 0 end,
+ case when meadow then case when nc.v is null then 0 else greatest(least(1 - (nc.v - 15) / 10, 1), 0) end * least(rl.v / 0.25, 1) else 0 end), 6) as edge
+from cv join hd using (row, col) join vw using (row, col) join rl using (row, col) join op using (row, col) join nc using (row, col)""")
+def hunting_edge(spark, sf):
+    """Cover is high ground here, a meadow is a marked cell; cells of 10 m."""
+    cells = keep(masked(spark, sf).select("row", "col", F.when(F.col("z") >= 24, 9.0).otherwise(0.0).alias("canopy"), "hit"))
+    return site.hunting_edge(cells, "canopy", "hit", 10.0, hide=10.0).select("row", "col", r6("edge").alias("edge"))
+
+
+@query("""with {LATTICE}, v as (select row, col, d * 8 as a, t * 10 as b, z / 60 as c, p / 90000 as e from lat) select row, col, round(least(greatest(a, b, c, e) + 0.1 * greatest((a > 0.3)::int + (b > 0.3)::int + (c > 0.3)::int + (e > 0.3)::int - 1, 0), 1), 3) as pinch,
+ round(least(greatest(a, b / 3, c / 2) + case when a > 0.3 then 0.15 * least((b / 3 > 0.15)::int + (c / 2 > 0.15)::int, 2) else 0 end, 1), 3) as edge, round(case when c > 0.6 then 0 else least(a * (0.75 + b / 4), 1) end, 3) as water,
+ round((0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c)) * e, 3) as january, round(0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c), 3) as november, 1.0::double as july, round(a * b + c * (0.5 + 0.5 * greatest(a, e)), 3) as travel from v""")
+def site_terms(spark, sf):
+    """How layers are put together: pinches, edges with travel lines, water, seasons, travel."""
+    v = layers(spark, sf).select("row", "col", (F.col("d") * 8).alias("a"), (F.col("t") * 10).alias("b"), (F.col("z") / 60).alias("c"), (F.col("p") / 90000).alias("e"))
+    a, b, c, e = (F.col(x) for x in "abce")
+    return v.select(
+        "row", "col", F.round(site.pinched([a, b, c, e]), 3).alias("pinch"), F.round(site.with_lines(a, [b / 3, c / 2]), 3).alias("edge"), F.round(site.water_score(a, 0.75 + b / 4, c > 0.6), 3).alias("water"), F.round(site.season(1, a, b, c, e), 3).alias("january"),
+        F.round(site.season(11, a, b, c, e), 3).alias("november"), site.season(7, a, b, c, e).alias("july"), F.round(site.travel(a, c, b, a, e), 3).alias("travel"),
+    )
+
+
+SITE = "ce as (select row, col, score, case when t > 0.041 then 1 + (row + col) % 4 else 0 end as kind, p / 500 as road, d * 4000 as rec, t > 0.05 as worn from scored), sp as (select row * 64 + col as id, row, col, score from ce where row % 9 = 4 and col % 7 = 3)"
+
+
+def _site(spark, sf) -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.col("t") > 0.041, 1 + (F.col("row") + F.col("col")) % 4).otherwise(0).cast("int")
+    cells = keep(scored(spark, sf).select("row", "col", "score", kind.alias("kind"), (F.col("p") / 500).alias("road"), (F.col("d") * 4000).alias("rec"), (F.col("t") > 0.05).alias("worn")))
+    return cells, cells.where("row % 9 = 4 and col % 7 = 3").select((F.col("row") * SIZE + F.col("col")).cast("int").alias("id"), "row", "col", "score")
+
+
+COMPASS = str(list(S.SECTORS))
+
+
+@query("with {LATTICE}, " + FACTORS + ", " + SITE + f""", m as (select sp.id, sp.row as r, sp.col as c, ce.*, sqrt((ce.row - sp.row) ** 2 + (ce.col - sp.col) ** 2) * 10 as distance, ce.road <= 75 as is_open
+ from sp join ce o on o.row = sp.row and o.col = sp.col and o.kind = 0 join ce on ce.kind > 0 and ce.score > 0 and ce.rec >= 150 and sqrt((ce.row - sp.row) ** 2 + (ce.col - sp.col) ** 2) * 10 <= 60 and ce.score >= greatest(1, 0.5 * sp.score)),
+k as (select *, row_number() over (partition by id order by is_open, score desc, row, col) as k from m)
+select id, row, col, score, round(distance, 4) as distance, {COMPASS}[cast(floor(((degrees(atan2(col - c, r - row)) + 360) % 360 + 11.25) / 22.5) as int) % 16 + 1] as direction, is_open, cast(kind as int) as kind from k where k = 1""")
+def line_alternates(spark, sf):
+    cells, spots = _site(spark, sf)
+    found = site.alternates(spots, cells, 10.0, search=60.0, least=1.0, apart=150.0, open_road=75.0)
+    return found.withColumn("distance", F.round("distance", 4))
+
+
+@query("with {LATTICE}, " + FACTORS + ", " + SITE + f""", m as (select sp.id, sp.row as r, sp.col as c, ce.row, ce.col, sqrt((ce.row - sp.row) ** 2 + (ce.col - sp.col) ** 2) * 10 as d from sp join ce on ce.worn and (ce.row - sp.row) ** 2 + (ce.col - sp.col) ** 2 <= 9),
+k as (select *, row_number() over (partition by id order by d, col, row) as k from m), w as (select *, {COMPASS}[cast(floor(((degrees(atan2(col - c, r - row)) + 360) % 360 + 11.25) / 22.5) as int) % 16 + 1] as direction from k where k = 1)
+select id, round(d, 4) as distance, direction, 'a worn line on no map' || case when d <= 10 then ' runs through this spot: hang the camera beside it, facing along it' when d <= 15 then ' ' || cast(cast(round(d) as int) as varchar) || ' m ' || direction || ': hang the camera facing it'
+ else ' ' || cast(cast(round(d) as int) as varchar) || ' m ' || direction || ': hang the camera a few metres toward it, facing it' end as hint from w""")
+def worn_hints(spark, sf):
+    cells, spots = _site(spark, sf)
+    return site.hints(spots, cells, "worn", 10.0)
+
+
+@query("with {LATTICE}, cv as (select row, col, hit and t > 0.045 as there from masked) select a.row, a.col, round(least(coalesce(min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) * 10, 60), 60), 6) as paved from cv a left join cv b on b.there and abs(a.row - b.row) <= 6 and abs(a.col - b.col) <= 6 group by 1, 2")
+def capped_distance(spark, sf):
+    cells = keep(masked(spark, sf).select("row", "col", (F.col("hit") & (F.col("t") > 0.045)).alias("there")))
+    return site.capped_distance(cells, "there", "paved", 10.0, 60.0).select("row", "col", r6("paved").alias("paved"))
+
+
+@query()
+def site_plan(spark, sf):
+    """One area from its layers to its spots: edges, water and its scarcity, travel, season, walks, approaches, score, masks, the lists of spots."""
+    base = masked(spark, sf).withColumns({
+        "canopy": F.col("z") - 15, "lake": F.col("p") > 45000, "road": (F.col("row") % 21 == 3), "spring": (F.col("t") > 0.055), "public": (F.col("col") < 48), "wet": F.col("p") > 44500, "height": F.col("z") * 3,
+    })
+    base = keep(base.select("row", "col", "canopy", "lake", "road", "spring", "public", "wet", "height", "hit"))
+    meadow = graph.openings(base, "canopy", "lake", 1, 4, 12.0).select("row", "col", F.lit(True).alias("meadow"))
+    cells = keep(base.join(meadow, ["row", "col"], "left").withColumn("meadow", F.coalesce("meadow", F.lit(False))))
+    edge = keep(site.hunting_edge(cells, "canopy", "meadow", 10.0).select("row", "col", "edge"))
+    sources = cells.where("spring").select("row", "col", F.lit(1.0).alias("weight"), F.lit(1).alias("place")).unionByName(cells.where("wet").select("row", "col", F.lit(0.3).alias("weight"), F.lit(2).alias("place")))
+    scarce = keep(site.scarcity(cells.select("row", "col", "wet", "spring", "lake"), "wet", "spring", 8))
+    water = lattice.best_source(scarce, sources, 4, 4.0, 12)
+    water = keep(water.select("row", "col", site.water_score(F.col("value"), F.col("scarcity"), F.col("lake")).alias("water")))
+    parts = lattice.travel_parts(cells.select("row", "col", "height"), "height", 5, SIZE, SIZE).select("row", "col", "bottom", "spine")
+    parts = keep(site.gentle_slope(cells.select("row", "col", "height"), "height", 10.0, SIZE, SIZE, 2.0).join(parts, ["row", "col"]).select("row", "col", "bottom", "spine", "grade"))
+    slope = keep(lattice.slopes(cells.select("row", "col", "height"), "height", 10.0).select("row", "col", "slope"))
+    walk = keep(site.walks(cells.join(slope, ["row", "col"]).select("row", "col", "slope", "road", "lake"), "slope", "road", "lake", 10.0, tile=64).select("row", "col", "walk_m"))
+    site_ = keep(cells.join(edge, ["row", "col"]).join(water, ["row", "col"]).join(parts, ["row", "col"]).join(slope, ["row", "col"]).join(walk, ["row", "col"]))
+    way = site_.select("row", "col", (1 + F.col("slope") / 20).alias("cost"), (F.col("spring") | F.col("meadow")).alias("dest"), (F.col("canopy") >= 12).alias("bed"), (F.col("canopy") >= 9).alias("covered"), F.lit(0.8).alias("fx"), F.lit(0.6).alias("fn"))
+    approach = keep(site.approaches(way, "cost", "dest", "bed", "covered", F.lit(1.0), ("fx", "fn"), 10.0, 20.0, 600.0, 60.0, (40.0, 250.0), tile=64).select("row", "col", "approach"))
+    full = site_.join(approach, ["row", "col"]).withColumn("travel", F.greatest(site.travel(F.col("bottom"), F.col("spine"), F.col("grade"), F.lit(0.0), F.lit(0.0)), F.coalesce("approach", F.lit(0.0))))
+    names = {"wind": "spine", "edges": "edge", "pinch": "approach", "water": "water"}
+    full = full.withColumn("spot", S.spot_score(names, "travel") * S.habitat("edge", "water"))
+    scored_ = lattice.gaussian(keep(full.select("row", "col", "spot", "lake", "public", "walk_m", *names.values(), "travel")), "spot", 2.0, SIZE, SIZE)
+    usable = ~F.col("lake") & (F.coalesce("walk_m", F.lit(1e9)) <= S.METRES_PER_MILE)
+    ready = keep(scored_.withColumns({"score": r6(S.score_100("spot")), "pub": usable & F.col("public"), "priv": usable & ~F.col("public")}))
+    chosen = picks.two_lists(ready, "score", "pub", "priv", 1.0, 3, 1, 12.0, 3, SIZE, SIZE, 10)
+    return chosen.join(ready.select("row", "col", *(r6(c).alias(c) for c in (*names.values(), "travel"))), ["row", "col"]).select("name", "rank", "zone", "row", "col", "score", *names.values(), "travel")

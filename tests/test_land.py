@@ -154,9 +154,10 @@ def test_discs_and_distances(spark):
     for r in lattice.nearest_any(df, "m").collect():
         d2, c, a = min(((a - r["row"]) ** 2 + (b - r["col"]) ** 2, b, a) for a, b in true)
         assert (r["d2"], r["near_col"], r["near_row"]) == (d2, c, a)
-    for r in lattice.nearest_true(df, "m", 4.5).collect():
-        best = min(((a - r["row"]) ** 2 + (b - r["col"]) ** 2, a, b) for a, b in true)
-        assert (r["d2"], r["near_row"], r["near_col"]) == (best if best[0] <= 4.5**2 else (None,) * 3)
+    for reach in (4.5, lattice.WIDE + 0.5):
+        for r in lattice.nearest_true(df, "m", reach).collect():
+            best = min(((a - r["row"]) ** 2 + (b - r["col"]) ** 2, b, a) for a, b in true)
+            assert (r["d2"], r["near_col"], r["near_row"]) == (best if best[0] <= reach**2 else (None,) * 3)
     none = lattice.nearest_any(df.withColumn("m", F.lit(False)), "m")
     assert none.where("d2 is not null").isEmpty() and none.count() == v.size
     with pytest.raises(Exception, match="without any value"):
@@ -286,3 +287,27 @@ def test_codes_and_times(spark):
         records.versioned(spark.createDataFrame([(3,)], "v int"), "v", 2).collect()
     log = spark.createDataFrame([("a", None), ("b", "x")], "id string, sender string")
     assert [r["id"] for r in records.own(log).collect()] == ["a"]
+
+
+def test_approaches_lead_under_cover_to_water(spark):
+    """A spring in the middle of a strip of cover: the way along the strip counts, the far end and the bare ground beside do not; downwind is better."""
+    shape = (9, 41)
+    dest, covered, bed = (np.zeros(shape, bool) for _ in range(3))
+    dest[4, 20], covered[3:6, :] = True, True
+    bed[4, 5:9] = bed[4, 32:36] = True
+    df = frame(spark, cost=np.where(covered, 1.0, 4.0), dest=dest, covered=covered, bed=bed, fx=np.full(shape, 1.0), fn=np.zeros(shape))
+    from spurline.operators import site
+
+    got = {(r["row"], r["col"]): r["approach"] for r in site.approaches(df, "cost", "dest", "bed", "covered", F.lit(1.0), ("fx", "fn"), 10.0, 5.0, 400.0, 60.0, (40.0, 160.0), tile=16).collect()}
+    assert len(got) == 9 * 41 and got[4, 20] == 0 and got[4, 24] > got[4, 16] > 0 and got[4, 38] == 0 and got[0, 24] == 0
+
+
+def test_walks_keep_off_closed_ground(spark):
+    from spurline.operators import site
+
+    shape = (5, 7)
+    road, closed = np.zeros(shape, bool), np.zeros(shape, bool)
+    road[2, 0], closed[:4, 3] = True, True
+    got = {(r["row"], r["col"]): r for r in site.walks(frame(spark, slope=np.zeros(shape), road=road, closed=closed), "slope", "road", "closed", 10.0, tile=4).collect()}
+    assert got[0, 3]["walk_m"] is None and got[2, 0]["walk_s"] == 0 and abs(got[2, 2]["walk_m"] - 20) < 1e-9
+    assert abs(got[2, 6]["walk_m"] - (20 + 40 * math.sqrt(2))) < 1e-6 and abs(got[2, 2]["walk_s"] - 20 * 3.6 / (6 * math.exp(-3.5 * 0.05))) < 1e-6
