@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows of a few numbers that are sent to all executors at most; the same join shuffles beyond.
 SENT_ROWS = 1_000_000
+#: Row numbers alone, of 16 bytes each, that are sent to all executors at most.
+SENT_IDS = 4_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spurline.llm.common import SENT_ROWS, keep, segments, slices
+from spurline.llm.common import SENT_IDS, keep, segments, slices
 from spurline.llm.components import components, merged
 
 WORD = re.compile(r"\w+")
@@ -189,7 +189,7 @@ class Overlaps:
 def _linked(pairs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     """pairs: a, b, parts (blocks of a bucket of both); rows: row, text. The pairs that are links: a, b.
 
-    A text that is compared with many is copied to each block of them. Only the texts asked for are shuffled, once each and block.
+    A text that is compared with many is copied to each block of them. Only the texts asked for are shuffled.
     """
     salted = keep(pairs.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b"))
     asked = salted.select(F.col("a").alias("row"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().unionByName(salted.select(F.col("b").alias("row"), "a", "salt", "b"))
@@ -197,9 +197,12 @@ def _linked(pairs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     return texts.select("a", "salt", "b", "text").mapInArrow(_distances(s), "a long, b long")
 
 
-def _with_texts(asked: DataFrame, rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
-    """asked joined with rows on row. It is a table of numbers, kept; up to `most` rows it is sent to all executors; a larger table is joined by shuffling."""
-    return rows.join(F.broadcast(asked) if asked.count() <= most else asked, "row")
+def _with_texts(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked, a kept table of numbers, joined with rows on row. The numbers of the texts asked for, up to SENT_IDS of them, are sent to all executors
+    first, so that no other text is shuffled."""
+    wanted = keep(asked.select("row").distinct())
+    texts = rows.join(F.broadcast(wanted), "row", "left_semi") if wanted.count() <= SENT_IDS else rows
+    return texts.join(asked, "row")
 
 
 def _least_alike(s: Settings) -> int:
@@ -312,7 +315,7 @@ def near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     of_block, kinds = ["key", "first", "second"], "key long, first int, second int, part int, id long, component long, keys array<long>, nibbles array<long>"
     asked = keep(dealt.repartition(*of_block).sortWithinPartitions(*of_block).mapInArrow(_promising(s), kinds)).withColumn("row", F.col("id"))
-    compared = _with_texts(asked, texts, SENT_ROWS // 32).select(*(k.split()[0] for k in kinds.split(", ")), "text")
+    compared = _with_texts(asked, texts).select(*(k.split()[0] for k in kinds.split(", ")), "text")
     links = keep(compared.repartition(*of_block).sortWithinPartitions(*of_block).mapInArrow(_spanning(s), "a long, b long"))
     group = merged(group, links)
 
