@@ -451,16 +451,16 @@ def hunting_edge(spark, sf):
     return site.hunting_edge(cells, "canopy", "hit", 10.0, hide=10.0).select("row", "col", r6("edge").alias("edge"))
 
 
-@query("""with {LATTICE}, v as (select row, col, d * 8 as a, t * 10 as b, z / 60 as c, p / 90000 as e from lat) select row, col, round(least(greatest(a, b, c, e) + 0.1 * greatest((a > 0.3)::int + (b > 0.3)::int + (c > 0.3)::int + (e > 0.3)::int - 1, 0), 1), 3) as pinch,
- round(least(greatest(a, b / 3, c / 2) + case when a > 0.3 then 0.15 * least((b / 3 > 0.15)::int + (c / 2 > 0.15)::int, 2) else 0 end, 1), 3) as edge, round(case when c > 0.6 then 0 else least(a * (0.75 + b / 4), 1) end, 3) as water,
- round((0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c)) * e, 3) as january, round(0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c), 3) as november, 1.0::double as july, round(a * b + c * (0.5 + 0.5 * greatest(a, e)), 3) as travel from v""")
+@query("""with {LATTICE}, v as (select row, col, d * 8.1375913::double as a, t * 10.3141597::double as b, z / 61.7::double as c, p / 91234.5::double as e from lat) select row, col, round(least(greatest(a, b, c, e) + 0.1::double * greatest((a > 0.3)::int + (b > 0.3)::int + (c > 0.3)::int + (e > 0.3)::int - 1, 0), 1), 7) as pinch,
+ round(least(greatest(a, b / 3, c / 2) + case when a > 0.3 then 0.15::double * least((b / 3 > 0.15)::int + (c / 2 > 0.15)::int, 2) else 0 end, 1), 7) as edge, round(case when c > 0.6 then 0 else least(a * (0.75 + b / 4), 1) end, 7) as water,
+ round((0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c)) * e, 7) as january, round(0.6 + 0.4 * a * (0.5 + 0.5 * b) * (0.5 + 0.5 * c), 7) as november, 1.0::double as july, round(a * b + c * (0.5 + 0.5 * greatest(a, e)), 7) as travel from v""")
 def site_terms(spark, sf):
     """How layers are put together: pinches, edges with travel lines, water, seasons, travel."""
-    v = layers(spark, sf).select("row", "col", (F.col("d") * 8).alias("a"), (F.col("t") * 10).alias("b"), (F.col("z") / 60).alias("c"), (F.col("p") / 90000).alias("e"))
+    v = layers(spark, sf).select("row", "col", (F.col("d") * 8.1375913).alias("a"), (F.col("t") * 10.3141597).alias("b"), (F.col("z") / 61.7).alias("c"), (F.col("p") / 91234.5).alias("e"))
     a, b, c, e = (F.col(x) for x in "abce")
     return v.select(
-        "row", "col", F.round(site.pinched([a, b, c, e]), 3).alias("pinch"), F.round(site.with_lines(a, [b / 3, c / 2]), 3).alias("edge"), F.round(site.water_score(a, 0.75 + b / 4, c > 0.6), 3).alias("water"), F.round(site.season(1, a, b, c, e), 3).alias("january"),
-        F.round(site.season(11, a, b, c, e), 3).alias("november"), site.season(7, a, b, c, e).alias("july"), F.round(site.travel(a, c, b, a, e), 3).alias("travel"),
+        "row", "col", F.round(site.pinched([a, b, c, e]), 7).alias("pinch"), F.round(site.with_lines(a, [b / 3, c / 2]), 7).alias("edge"), F.round(site.water_score(a, 0.75 + b / 4, c > 0.6), 7).alias("water"), F.round(site.season(1, a, b, c, e), 7).alias("january"),
+        F.round(site.season(11, a, b, c, e), 7).alias("november"), site.season(7, a, b, c, e).alias("july"), F.round(site.travel(a, c, b, a, e), 7).alias("travel"),
     )
 
 
@@ -503,7 +503,7 @@ def capped_distance(spark, sf):
 
 @query()
 def site_plan(spark, sf):
-    """One area from its layers to its spots: edges, water and its scarcity, travel, season, walks, approaches, score, masks, the lists of spots."""
+    """One area from its layers to its spots: openings and edges, water and its scarcity, travel, walks, score, masks, the lists of spots."""
     base = masked(spark, sf).withColumns({
         "canopy": F.col("z") - 15, "lake": F.col("p") > 45000, "road": (F.col("row") % 21 == 3), "spring": (F.col("t") > 0.055), "public": (F.col("col") < 48), "wet": F.col("p") > 44500, "height": F.col("z") * 3,
     })
@@ -520,10 +520,8 @@ def site_plan(spark, sf):
     slope = keep(lattice.slopes(cells.select("row", "col", "height"), "height", 10.0).select("row", "col", "slope"))
     walk = keep(site.walks(cells.join(slope, ["row", "col"]).select("row", "col", "slope", "road", "lake"), "slope", "road", "lake", 10.0, tile=64).select("row", "col", "walk_m"))
     site_ = keep(cells.join(edge, ["row", "col"]).join(water, ["row", "col"]).join(parts, ["row", "col"]).join(slope, ["row", "col"]).join(walk, ["row", "col"]))
-    way = site_.select("row", "col", (1 + F.col("slope") / 20).alias("cost"), (F.col("spring") | F.col("meadow")).alias("dest"), (F.col("canopy") >= 12).alias("bed"), (F.col("canopy") >= 9).alias("covered"), F.lit(0.8).alias("fx"), F.lit(0.6).alias("fn"))
-    approach = keep(site.approaches(way, "cost", "dest", "bed", "covered", F.lit(1.0), ("fx", "fn"), 10.0, 20.0, 600.0, 60.0, (40.0, 250.0), tile=64).select("row", "col", "approach"))
-    full = site_.join(approach, ["row", "col"]).withColumn("travel", F.greatest(site.travel(F.col("bottom"), F.col("spine"), F.col("grade"), F.lit(0.0), F.lit(0.0)), F.coalesce("approach", F.lit(0.0))))
-    names = {"wind": "spine", "edges": "edge", "pinch": "approach", "water": "water"}
+    full = site_.withColumn("travel", site.travel(F.col("bottom"), F.col("spine"), F.col("grade"), F.lit(0.0), F.lit(0.0)))
+    names = {"wind": "spine", "edges": "edge", "pinch": "bottom", "water": "water"}
     full = full.withColumn("spot", S.spot_score(names, "travel") * S.habitat("edge", "water"))
     scored_ = lattice.gaussian(keep(full.select("row", "col", "spot", "lake", "public", "walk_m", *names.values(), "travel")), "spot", 2.0, SIZE, SIZE)
     usable = ~F.col("lake") & (F.coalesce("walk_m", F.lit(1e9)) <= S.METRES_PER_MILE)
