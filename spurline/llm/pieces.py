@@ -102,6 +102,23 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
+    """encode() and decode() of docs (doc_id, text) in one pass, so that a task needs one worker: doc_id, ids, decoded."""
+    check_model(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(sent.value)
+        for part in slices(batches, "text", TEXTS):
+            lengths, flat = encode_texts(part.column("text").to_pylist(), table)
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+            texts = [table.sp.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
     """Adds decoded, the library's text for ids, to rows (doc_id, ids). Null and empty ids give an empty text."""
     sent = rows.sparkSession.sparkContext.broadcast(model)

@@ -33,7 +33,7 @@ def tokenizer_model() -> bytes:
 def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Encodes and decodes docs; n_tokens and the digests stand for ids and decoded text."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return pieces.decode(pieces.encode(docs, model), model).select(
+    return pieces.round_trip(docs, model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -104,6 +104,7 @@ def test_pieces_are_the_librarys(spark, odd, none):
     got = pieces.decode(pieces.encode(odd, model), model).collect()
     want = sorted((str(r["doc_id"]), sp.encode(r["text"] or ""), sp.decode(sp.encode(r["text"] or ""))) for r in odd.collect())
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in got) == want and pieces.encode(none, model).count() == 0
+    assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in pieces.round_trip(odd, model).collect()) == want and pieces.round_trip(none, model).count() == 0
     table, random_ = pieces.Table(sp), random.Random(5)
     signs = [" ", "  ", "\n", "▁", "a", "the", "\t", "\r", "é", "\U0001d4b3", "漢", "\x00", "<s>", "</s>", "<0x0A>", " ", "e\u0301", "//"]
     for _ in range(1500):
