@@ -76,9 +76,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no ids and decodes to an empty text. Repeated rows give a row each. An empty table gives an empty one; further columns are left out.
     """
-    model = tokenizer_model()
-    done = pieces.decode(pieces.encode(docs, model), model)
-    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.round_trip(docs, tokenizer_model()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
