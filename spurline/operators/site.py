@@ -98,12 +98,12 @@ def approaches(df: DataFrame, cost: str, dest: str, origin: str, covered: str, b
     for axis in ("col", "row"):
         other = "row" if axis == "col" else "col"
         wide = wide.withColumn("conv", F.max("conv").over(Window.partitionBy(other).orderBy(axis).rowsBetween(-1, 1)))
-    ends = cells.select(F.col("row").alias("root_row"), F.col("col").alias("root_col"), F.col(flow[0]).alias("fx"), F.col(flow[1]).alias("fn"))
+    ends = cells.select(F.col("row").alias("root_row"), F.col("col").alias("root_col"), F.col(flow[0]).alias("air_east_"), F.col(flow[1]).alias("air_north_"))
     d = lattice.nearest_any(cells.select("row", "col", dest), dest).select("row", "col", (F.sqrt("d2") * cell).alias("d_dest"))
     full = cells.join(wide, ["row", "col"]).join(tree.select("row", "col", "share", "root_row", "root_col"), ["row", "col"]).join(ends, ["root_row", "root_col"], "left").join(d, ["row", "col"])
     east, north = F.col("col") - F.col("root_col"), F.col("root_row") - F.col("row")
     far = F.hypot(east, north)
-    q = F.when(far > 0, clip(0.5 + 0.5 * (east * F.col("fx") + north * F.col("fn")) / F.greatest(far, F.lit(1e-6)))).otherwise(0.5)
+    q = F.when(far > 0, clip(0.5 + 0.5 * (east * F.col("air_east_") + north * F.col("air_north_")) / F.greatest(far, F.lit(1e-6)))).otherwise(0.5)
     near = clip(1 - (F.col("d_dest") - taper[0]) / (taper[1] - taper[0]))
     value = F.col("conv") * F.sqrt(clip(F.col("share")) * by_cover) * (0.5 + 0.5 * q) * near
     return full.withColumn("approach", F.when(F.col("root_row").isNull() | F.col(dest), 0.0).otherwise(value)).select("row", "col", "approach", "root_row", "root_col")
