@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, lattice, licenses, mixing, neardup, pages, pieces, quality, urls
+from spurline.llm import exact, language, lattice, licenses, mixing, neardup, pages, pieces, prefixes, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,47 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.with_heads(table(spark, sf_dir, "conversations")))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of the ASCII characters of a text, which DuckDB has no function for: each byte is xored in, then come eight shifts (-1)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda a, x: case when x >= 0 then xor(a, x) else {shift} end), 4294967295)"
+
+
+OP11_SQL = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as body,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), digest) as k
+  from conversations where conv_id is not null),
+convs as (select distinct conv_id, conv_id - conv_id % 20 as base, {crc32_sql("conv_id::varchar")} % 4 as h from turns),
+rebuilt as (
+  select c.conv_id, 0 as part, t.k, t.digest, t.body from convs c join turns t on t.conv_id = c.base and t.k <= c.h
+  union all select c.conv_id, 1, t.k, t.digest, t.body from convs c join turns t on t.conv_id = c.conv_id and t.k > c.h),
+paths as (
+  select conv_id, row_number() over w as depth, string_agg(digest, '') over w as path, len(list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as words
+  from rebuilt window w as (partition by conv_id order by part, k)
+  union all select conv_id, 0, '', 0 from convs),
+ended as (select conv_id, max_by(path, depth) as path from paths group by conv_id),
+ends as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from ended group by path),
+nodes as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, left(path, 32 * (depth - 1)::int) as above
+  from paths group by path, depth),
+kids as (select above as path, count(*) as n from nodes where depth > 0 group by above),
+below as (
+  select n.path, sum((d.n_convs - 1) * d.words)::bigint as saved_tokens, sum((k.n is null)::int)::bigint as n_leaves
+  from nodes n join nodes d on d.depth >= n.depth and left(d.path, 32 * n.depth::int) = n.path left join kids k on k.path = d.path
+  group by n.path)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0)::bigint as n_children, b.n_leaves, b.saved_tokens,
+  coalesce(e.ends, sha256('')) as ends_sha256
+from nodes n join below b using (path) left join kids k using (path) left join ends e using (path) left join nodes p on n.depth > 0 and p.path = n.above
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -119,8 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.as_sql(), "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_license_scan": licenses.as_sql(), "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL}
