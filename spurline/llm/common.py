@@ -87,6 +87,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int
         pa.default_memory_pool().release_unused()
 
 
+def cut(plain: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between the spaces of a text, of about `size` bytes of it at a time."""
+    at = 0
+    while at < len(plain):
+        end = plain.find(b" ", at + size)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end
+
+
 def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys in sorted batches, each as one batch; holds one run and one batch at a time."""
     held: list[pa.RecordBatch] = []

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spurline.llm import exact, language, lattice, licenses, mixing, neardup, pages, pieces, prefixes, quality, urls
+from spurline.llm import divergence, exact, language, lattice, licenses, mixing, neardup, ngrams, pages, pieces, prefixes, quality, urls
 from spurline.llm.common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +148,45 @@ from nodes n join below b using (path) left join kids k using (path) left join e
 """
 
 
+def op12_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = ngrams.pack(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    return ngrams.score(blocks, ngrams.train(blocks))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = """
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body
+  from documents),
+found as (select id, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as whole from found group by lang, term having count(distinct id) >= 30),
+counts as (select lang, source, term, count(*) as n from found join kept using (lang, term) group by lang, source, term),
+langs as (select lang, count(*) as v, sum(whole) as total from kept group by lang),
+grps as (
+  select d.lang, d.source, coalesce(sum(c.n), 0) as total
+  from (select distinct lang, source from docs) d left join counts c on c.lang = d.lang and c.source = d.source group by d.lang, d.source),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) as p, 1 + (1000000000::hugeint * (k.whole + 5)) // (l.total + 5 * l.v) as q
+  from grps g join kept k on k.lang = g.lang join langs l on l.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+items as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from grps a join grps b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, p - q from shares where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from items)
+where part = 'pair' or rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -161,8 +200,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_source_mix": op10_source_mix,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_ngram_score": op12_ngram_score,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.as_sql(), "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op2_license_scan": licenses.as_sql(), "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_source_divergence": OP13_SQL}
