@@ -81,33 +81,37 @@ def _given(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(counters: int):
     """Rows (lang, source, text), none null: the tries of the languages, in order. The root counts nothing but names all sources."""
-    tries: dict[str, Trie] = {}
-    paths: dict[str, dict[bytes, dict]] = {}
-    size = 0
-    for part in slices(batches, "text", 2_000):
-        for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
-            trie = tries.get(lang)
-            if trie is None:
-                trie, paths[lang] = tries.setdefault(lang, Trie()), {}
-            trie.counts.setdefault(source, [0, 0])
-            known = paths[lang]
-            for term, n in terms(text).items():
-                counts = known.get(term)
-                if counts is None:
-                    counts = known[term] = trie.at(term)
-                own = counts.get(source)
-                if own is None:
-                    counts[source] = [n, 1]
-                    size += 1
-                else:
-                    own[0] += n
-                    own[1] += 1
-        if size > COUNTERS:
-            yield from _given(tries)
-            tries, paths, size = {}, {}, 0
-    yield from _given(tries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries: dict[str, Trie] = {}
+        paths: dict[str, dict[bytes, dict]] = {}
+        size = 0
+        for part in slices(batches, "text", 2_000):
+            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                trie = tries.get(lang)
+                if trie is None:
+                    trie, paths[lang] = tries.setdefault(lang, Trie()), {}
+                trie.counts.setdefault(source, [0, 0])
+                known = paths[lang]
+                for term, n in terms(text).items():
+                    counts = known.get(term)
+                    if counts is None:
+                        counts = known[term] = trie.at(term)
+                    own = counts.get(source)
+                    if own is None:
+                        counts[source] = [n, 1]
+                        size += 1
+                    else:
+                        own[0] += n
+                        own[1] += 1
+            if size > counters:
+                yield from _given(tries)
+                tries, paths, size = {}, {}, 0
+        yield from _given(tries)
+
+    return run
 
 
 def _sent(small: DataFrame) -> DataFrame:
@@ -121,26 +125,30 @@ def share(count: Column, total: Column, n_terms: Column) -> Column:
     return F.call_function("div", scaled, wide(total + 5 * n_terms, 20)) + 1
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(size: int):
     """Sorted rows (lang, chunk, a, b, term, place, p): of a block of terms the shares of all sources of two blocks, those of terms that a source hasn't as term null. Sums of absolute differences."""
-    for block in segments(batches, ["lang", "chunk", "a", "b"]):
-        lang, a, b = (block.column(c)[0].as_py() for c in ("lang", "a", "b"))
-        place, p = block.column("place").to_numpy(), block.column("p").to_numpy()
-        of = block.column("term").dictionary_encode().indices
-        at, rest = of.fill_null(-1).to_numpy(zero_copy_only=False), np.asarray(of.is_null())
-        named = np.unique(place[rest])
-        dense = np.empty((int(at.max()) + 1, len(named)), dtype=np.int64)
-        dense[:] = p[rest][np.argsort(place[rest], kind="stable")]
-        dense[at[~rest], np.searchsorted(named, place[~rest])] = p[~rest]
-        left, right = np.flatnonzero(named // BLOCK == a), np.flatnonzero(named // BLOCK == b)
-        for i in left:
-            others = right[right > i] if a == b else right
-            if len(others):
-                total = np.abs(dense[:, others] - dense[:, i : i + 1]).sum(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(others), pa.string()), pa.array(np.full(len(others), named[i])), pa.array(named[others]), pa.array(total)], ["lang", "i", "j", "value"])
-
-
-def audit(docs: DataFrame, least_docs: int = 30, most: int = 50) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in segments(batches, ["lang", "chunk", "a", "b"]):
+            lang, a, b = (block.column(c)[0].as_py() for c in ("lang", "a", "b"))
+            place, p = block.column("place").to_numpy(), block.column("p").to_numpy()
+            of = block.column("term").dictionary_encode().indices
+            at, rest = of.fill_null(-1).to_numpy(zero_copy_only=False), np.asarray(of.is_null())
+            named = np.unique(place[rest])
+            dense = np.empty((int(at.max()) + 1, len(named)), dtype=np.int64)
+            dense[:] = p[rest][np.argsort(place[rest], kind="stable")]
+            dense[at[~rest], np.searchsorted(named, place[~rest])] = p[~rest]
+            left, right = np.flatnonzero(named // size == a), np.flatnonzero(named // size == b)
+            for i in left:
+                others = right[right > i] if a == b else right
+                if len(others):
+                    total = np.abs(dense[:, others] - dense[:, i : i + 1]).sum(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(others), pa.string()), pa.array(np.full(len(others), named[i])), pa.array(named[others]), pa.array(total)], ["lang", "i", "j", "value"])
+
+    return run
+
+
+def audit(docs: DataFrame, least_docs: int = 30, most: int = 50, counters: int = COUNTERS, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """docs: text, lang, source; null counts as ''. Per row: lang, source, part, item, value, rank.
 
     A term is a run of ASCII letters, lower-cased, and of characters beyond ASCII; a language keeps those in at least least_docs of its documents. A source gives a term the share
@@ -148,7 +156,7 @@ def audit(docs: DataFrame, least_docs: int = 30, most: int = 50) -> DataFrame:
     ranked. Part `term`: the kept terms which the source has and gives more than the whole language does, by how much, the first `most` of them. Ranks by value, descending, then by item in the
     order of its bytes.
 
-    Each task counts into radix tries, one a language, with counters by source at the leaves, and gives them away in byte order when they hold COUNTERS counters, so its memory is bounded
+    Each task counts into radix tries, one a language, with counters by source at the leaves, and gives them away in byte order when they hold `counters` counters, so its memory is bounded
     whatever the words. The tries are dealt by ranges of (lang, term), that is by prefix, and equal leaves add up there. Of the kept leaves chunks of terms are compared for blocks of sources, so that no task holds all
     terms or all pairs; what is absent has the share of count 0. All is exact integers.
 
@@ -156,7 +164,7 @@ def audit(docs: DataFrame, least_docs: int = 30, most: int = 50) -> DataFrame:
     terms a piece at a time. Other columns are ignored.
     """
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
-    parts = written(docs.select(lang, source, text).mapInArrow(_counted, "lang string, term string, source array<string>, n array<long>, docs array<long>"))
+    parts = written(docs.select(lang, source, text).mapInArrow(_counted(counters), "lang string, term string, source array<string>, n array<long>, docs array<long>"))
     leaf = F.explode(F.arrays_zip("source", "n", "docs")).alias("leaf")
     leaves = parts.where("term <> ''").repartitionByRange("lang", "term").select("lang", "term", leaf).groupBy("lang", "term", F.col("leaf.source").alias("source"))
     leaves = leaves.agg(F.sum("leaf.n").alias("n"), F.sum("leaf.docs").alias("docs"))
@@ -170,21 +178,21 @@ def audit(docs: DataFrame, least_docs: int = 30, most: int = 50) -> DataFrame:
     placed = named.join(sums, ["lang", "source"], "left").join(whole, "lang", "left").select("lang", "source", *map(zero, ("total", "terms", "lang_total")))
     groups = keep(placed.withColumns({
         "place": (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long"), "sources": F.count(F.lit(1)).over(Window.partitionBy("lang")),
-        "chunks": F.greatest(F.lit(1), F.ceil(F.col("terms") / CHUNK)), "rest": F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(0),
+        "chunks": F.greatest(F.lit(1), F.ceil(F.col("terms") / chunk)), "rest": F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(0),
     }))
 
     cells = kept.join(_sent(groups), ["lang", "source"]).withColumns({"p": share(F.col("n"), F.col("total"), F.col("terms")), "q": share(F.col("all"), F.col("lang_total"), F.col("terms"))})
     cells = keep(cells.select("lang", "source", "term", "place", "sources", "chunks", "p", "q", "n"))
     top = cells.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
 
-    own, chunk = (F.col("place") / BLOCK).cast("long"), F.pmod(F.xxhash64("term"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("sources") - 1) / BLOCK).cast("long")))
-    present = cells.select("lang", chunk.alias("chunk"), "term", "place", "p", own.alias("own"), other.alias("other"))
+    own, dealt_to = (F.col("place") / block).cast("long"), F.pmod(F.xxhash64("term"), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("sources") - 1) / block).cast("long")))
+    present = cells.select("lang", dealt_to.alias("chunk"), "term", "place", "p", own.alias("own"), other.alias("other"))
     absent = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     absent = absent.select("lang", "chunk", F.lit(None).cast("string").alias("term"), "place", F.col("rest").alias("p"), own.alias("own"), other.alias("other"))
     dealt = present.unionByName(absent).select("lang", "chunk", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "term", "place", "p")
     keys = ["lang", "chunk", "a", "b"]
-    summed = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_distances, "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    summed = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_distances(block), "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
     both = summed.select("lang", "value", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("at")).select("lang", "value", "at.*")
     name = lambda place, c: _sent(groups.select("lang", F.col("place").alias(place), F.col("source").alias(c)))
     pairs = both.join(name("i", "source"), ["lang", "i"]).join(name("j", "item"), ["lang", "j"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
