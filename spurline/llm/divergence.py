@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from spurline.llm.common import SENT_ROWS, cut, keep, segments, slices, written
 
-#: Counters that a trie holds before it is given away, rows of an output batch.
-COUNTERS, ROWS = 250_000, 8_192
+#: Counters that are held before they are given away as tries, rows of an output batch.
+COUNTERS, ROWS = 1_000_000, 8_192
 #: Terms of a chunk and sources of a block that are compared at a time.
 CHUNK, BLOCK = 512, 256
 #: Letters, ASCII ones as lower case, and bytes of other characters stay, all else ends a term.
@@ -21,30 +23,44 @@ _LETTERS = bytes(c | 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >=
 
 
 class Trie:
-    """A radix trie of byte strings: an edge holds as many bytes as no other string leaves it; a node has counters by source, each occurrences and documents."""
+    """A radix trie of byte strings: an edge holds as many bytes as no other string leaves it; a node has counters by source, each a source with its occurrences and documents."""
 
     __slots__ = ("label", "children", "counts")
 
     def __init__(self, label: bytes = b"") -> None:
-        self.label, self.children, self.counts = label, {}, {}
-
-    def at(self, term: bytes) -> dict[str, list[int]]:
-        """The counters of a term, whose path is made where it is new."""
-        node, rest = self, term
-        while rest:
-            child = node.children.get(rest[0])
-            if child is None:
-                child = node.children[rest[0]] = Trie(rest)
-            elif not rest.startswith(child.label):
-                same = next(k for k, (a, b) in enumerate(zip(rest + b"\0", child.label + b"\1")) if a != b)
-                upper = node.children[rest[0]] = Trie(rest[:same])
-                child.label = child.label[same:]
-                upper.children[child.label[0]] = child
-                child = upper
-            node, rest = child, rest[len(child.label) :]
-        return node.counts
-
-    def ordered(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
+        self.label, self.children, self.counts = label, [], []
+
+    @classmethod
+    def of(cls, terms: Iterable[tuple[bytes, list[tuple[str, int, int]]]]) -> Trie:
+        """The trie of distinct terms in the order of their bytes, each with its counters; only the path to the last term is looked at for the next."""
+        root = cls()
+        path, ends, last = [root], [0], b""
+        for term, counts in terms:
+            same, most = 0, min(len(term), len(last))
+            while same < most and term[same] == last[same]:
+                same += 1
+            while ends[-1] > same:
+                node, end = path.pop(), ends.pop()
+                if ends[-1] < same:
+                    # the edge to the node is cut where the term leaves it
+                    upper = cls(node.label[: same - ends[-1]])
+                    node.label = node.label[same - ends[-1] :]
+                    upper.children.append(node)
+                    path[-1].children[-1] = upper
+                    path.append(upper)
+                    ends.append(same)
+            if same == len(term):
+                path[-1].counts = counts
+            else:
+                node = cls(term[same:])
+                node.counts = counts
+                path[-1].children.append(node)
+                path.append(node)
+                ends.append(len(term))
+            last = term
+        return root
+
+    def ordered(self) -> Iterator[tuple[bytes, list[tuple[str, int, int]]]]:
         """All terms with counters, in the order of their bytes."""
         open_ = [(b"", self)]
         while open_:
@@ -52,64 +68,70 @@ class Trie:
             term = before + node.label
             if node.counts:
                 yield term, node.counts
-            open_ += [(term, node.children[b]) for b in sorted(node.children, reverse=True)]
-
-
-def terms(text: bytes) -> Counter[bytes]:
-    """The terms of a whole text and how often each occurs, a piece at a time."""
-    found: Counter[bytes] = Counter()
-    for piece in cut(text.translate(_LETTERS)):
-        found.update(piece)
-    return found
-
-
-def _given(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        lang, term, source, n, docs = zip(*rows)
-        counts = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.list_(pa.string())), pa.array(n, counts), pa.array(docs, counts)], ["lang", "term", "source", "n", "docs"])
-
-    for lang, trie in tries.items():
-        for term, counts in trie.ordered():
-            rows.append((lang, term, list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]))
-            if len(rows) == ROWS:
-                yield batch()
-                rows.clear()
-    if rows:
-        yield batch()
+            open_ += [(term, child) for child in reversed(node.children)]
+
+
+class Counts:
+    """Occurrences and documents of the terms of one source of a language."""
+
+    def __init__(self) -> None:
+        self.n: Counter[bytes] = Counter()
+        self.docs: Counter[bytes] = Counter()
+
+    def add(self, text: bytes) -> int:
+        """Counts the terms of a whole text, a piece at a time, and says how many are new."""
+        before, found = len(self.n), set()
+        for piece in cut(text.translate(_LETTERS)):
+            self.n.update(piece)
+            found.update(piece)
+        self.docs.update(found)
+        return len(self.n) - before
+
+
+def trie_of(sources: dict[str, Counts]) -> Trie:
+    """The counts of the sources of a language as one trie. Its root counts nothing but names all sources."""
+    leaves: dict[bytes, list[tuple[str, int, int]]] = {b"": [(source, 0, 0) for source in sources]}
+    for source, c in sources.items():
+        docs = c.docs
+        for term, n in c.n.items():
+            leaf = (source, n, docs[term])
+            if term in leaves:
+                leaves[term].append(leaf)
+            else:
+                leaves[term] = [leaf]
+    return Trie.of((term, leaves[term]) for term in sorted(leaves))
+
+
+def _given(counts: dict[str, dict[str, Counts]]) -> Iterator[pa.RecordBatch]:
+    gc.disable()  # many small objects and no cycles
+    try:
+        for lang, sources in counts.items():
+            leaves = trie_of(sources).ordered()
+            while rows := list(islice(leaves, ROWS)):
+                ends = pa.array(np.cumsum([0, *(len(c) for _, c in rows)]), pa.int32())
+                source, n, docs = (list(x) for x in zip(*(leaf for _, c in rows for leaf in c)))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((source, pa.string()), (n, pa.int64()), (docs, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([t for t, _ in rows], pa.binary()).cast(pa.string()), *lists], ["lang", "term", "source", "n", "docs"])
+    finally:
+        gc.enable()
 
 
 def _counted(counters: int):
-    """Rows (lang, source, text), none null: the tries of the languages, in order. The root counts nothing but names all sources."""
+    """Rows (lang, source, text), none null: the tries of the languages, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        paths: dict[str, dict[bytes, dict]] = {}
+        counts: dict[str, dict[str, Counts]] = {}
         size = 0
         for part in slices(batches, "text", 2_000):
-            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
-                trie = tries.get(lang)
-                if trie is None:
-                    trie, paths[lang] = tries.setdefault(lang, Trie()), {}
-                trie.counts.setdefault(source, [0, 0])
-                known = paths[lang]
-                for term, n in terms(text).items():
-                    counts = known.get(term)
-                    if counts is None:
-                        counts = known[term] = trie.at(term)
-                    own = counts.get(source)
-                    if own is None:
-                        counts[source] = [n, 1]
-                        size += 1
-                    else:
-                        own[0] += n
-                        own[1] += 1
+            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary())):
+                sources = counts.setdefault(lang, {})
+                if source not in sources:
+                    sources[source] = Counts()
+                size += sources[source].add(text.as_py())
             if size > counters:
-                yield from _given(tries)
-                tries, paths, size = {}, {}, 0
-        yield from _given(tries)
+                yield from _given(counts)
+                counts, size = {}, 0
+        yield from _given(counts)
 
     return run
 
@@ -156,7 +178,7 @@ def audit(docs: DataFrame, least_docs: int = 30, most: int = 50, counters: int =
     ranked. Part `term`: the kept terms which the source has and gives more than the whole language does, by how much, the first `most` of them. Ranks by value, descending, then by item in the
     order of its bytes.
 
-    Each task counts into radix tries, one a language, with counters by source at the leaves, and gives them away in byte order when they hold `counters` counters, so its memory is bounded
+    Each task makes radix tries of what it counts, one a language, with counters by source at the leaves, and gives them away in byte order when there are `counters` counters, so its memory is bounded
     whatever the words. The tries are dealt by ranges of (lang, term), that is by prefix, and equal leaves add up there. Of the kept leaves chunks of terms are compared for blocks of sources, so that no task holds all
     terms or all pairs; what is absent has the share of count 0. All is exact integers.
 
