@@ -142,10 +142,36 @@ class Block:
             self.valid.append(place >= n - 2)
             before = np.concatenate([[_U(0)], joint[:-1]])
 
-    def asked(self, learning: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Its distinct n-grams in order, and how often each occurs in texts to learn from; learning: those alone."""
-        every = np.concatenate([g[v & self.learn] if learning else g[v] for g, v in zip(self.grams, self.valid)] or [np.empty(0, dtype=np.uint64)])
-        return np.unique(every, return_counts=True)
+    def _every(self) -> np.ndarray:
+        return np.concatenate([g[v] for g, v in zip(self.grams, self.valid)] or [np.empty(0, dtype=np.uint64)])
+
+    def asked(self) -> np.ndarray:
+        """Its distinct n-grams in order."""
+        return np.unique(self._every())
+
+    def placed(self) -> list[np.ndarray]:
+        """Where in the order of its distinct n-grams each token's are, by length; 0 where there is none."""
+        every = self._every()
+        order = np.argsort(every)
+        ordered = every[order]
+        new = np.concatenate([[False], ordered[1:] != ordered[:-1]]) if len(every) else np.empty(0, dtype=bool)
+        where = np.empty(len(every), dtype=np.int64)
+        where[order] = np.cumsum(new)
+        out, at = [], 0
+        for v in self.valid:
+            place, n = np.zeros(len(v), dtype=np.int64), int(v.sum())
+            place[v] = where[at : at + n]
+            out.append(place)
+            at += n
+        return out
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and how often each occurs in texts to learn from."""
+        held = np.concatenate([~self.learn[v] for v in self.valid] or [np.empty(0, dtype=bool)])
+        both = np.sort(self._every() << _U(1) | held.astype(np.uint64))
+        keys = both >> _U(1)
+        at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return keys[at], np.add.reduceat((both & _U(1)) == 0, at, dtype=np.uint32) if len(at) else np.empty(0, dtype=np.uint32)
 
 
 def _dealt(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -167,22 +193,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["kind", "shard", "block", "keys", "counts"])
 
 
-def _messages(shards: tuple[int, int], s: Settings, learning: bool):
-    """Per block and shard its words and n-grams there: with their counts to learn from, or all of them to ask for."""
+def _messages(shards: tuple[int, int], s: Settings, learning: bool, asking: bool):
+    """Per block and shard its words and n-grams there, with how often they are to be learnt if learning; all of them if asking, else those to learn alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                if learning and not any(row["learn"]):
+                if not asking and not any(row["learn"]):
                     continue
                 b, out = Block(row, shards, s), []
-                counts = np.bincount(b.of[b.learn], minlength=len(b.distinct)).astype(np.uint64)
-                words, counts = (b.distinct[counts > 0], counts[counts > 0]) if learning else (b.distinct, counts)
-                for shard, at in _dealt(words, _word_shard(words, shards[WORD])):
-                    out.append((WORD, shard, row["block"], _steps(words[at]), _small(counts[at]) if learning else None))
-                grams, counts = b.asked(learning)
-                for shard, at in _dealt(grams, (grams >> _U(32)).astype(np.int64)):
-                    out.append((GRAM, shard, row["block"], _steps(grams[at].astype(np.uint32)), _small(counts[at].astype(np.uint32)) if learning else None))
+                words, grams = (b.distinct, np.bincount(b.of[b.learn], minlength=len(b.distinct)).astype(np.uint32)), b.counted() if learning else (b.asked(), None)
+                for kind, (keys, counts) in ((WORD, words), (GRAM, grams)):
+                    if not asking:
+                        keys, counts = keys[counts > 0], counts[counts > 0]
+                    shard = _word_shard(keys, shards[WORD]) if kind == WORD else (keys >> _U(32)).astype(np.int64)
+                    for k, at in _dealt(keys, shard):
+                        out.append((kind, k, row["block"], _steps(keys[at] if kind == WORD else keys[at].astype(np.uint32)), _small(counts[at]) if learning else None))
                 for at in range(0, len(out), 256):
                     yield _batch(out[at : at + 256])
 
@@ -192,9 +218,14 @@ def _messages(shards: tuple[int, int], s: Settings, learning: bool):
 # ---- the model
 
 
-def _bits(keys: np.ndarray, level: int, probe: int, m: int) -> np.ndarray:
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     joint = _mixed(keys.astype(np.uint64) + (_U(level) << _U(32)))
-    return ((joint & _U(0xFFFFFFFF)) + _U(probe) * ((joint >> _U(32)) | _U(1))) % _U(m)
+    return joint & _U(0xFFFFFFFF), (joint >> _U(32)) | _U(1)
+
+
+def _bit(first: np.ndarray, step: np.ndarray, probe: int, m: int) -> np.ndarray:
+    """The bit of m that a pair asks for in its probe: double hashing, its 32 bits spread over m."""
+    return (((first + _U(probe) * step) & _U(0xFFFFFFFF)) * _U(m)) >> _U(32)
 
 
 class LogFilter:
@@ -213,9 +244,9 @@ class LogFilter:
         full = np.zeros(m, dtype=np.uint8)
         top = int(levels.max(initial=0))
         for level in range(1, top + 1):
-            held = keys[levels >= level]
+            first, step = _hashed(keys[levels >= level], level)
             for probe in range(s.probes):
-                full[_bits(held, level, probe, m)] = 1
+                full[_bit(first, step, probe, m)] = 1
         return cls(np.packbits(full), m, top, s.probes)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
@@ -223,9 +254,11 @@ class LogFilter:
         found = np.zeros(len(keys), dtype=np.uint8)
         left = np.arange(len(keys))
         for level in range(1, self.top + 1):
+            first, step = _hashed(keys[left], level)
             for probe in range(self.probes):
-                at = _bits(keys[left], level, probe, self.m)
-                left = left[(self.bits[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1 == 1]
+                at = _bit(first, step, probe, self.m)
+                there = (self.bits[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1 == 1
+                left, first, step = left[there], first[there], step[there]
             found[left] = level
             if not len(left):
                 break
@@ -262,11 +295,27 @@ class WordCounts:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the sums of their counts."""
     every, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
+    if every.dtype == np.uint32:
+        both = np.sort(every.astype(np.uint64) << _U(32) | n)  # numbers sort faster than places
+        every, n = both >> _U(32), both & _U(0xFFFFFFFF)
+    else:
+        order = np.argsort(every)
+        every, n = every[order], n[order].astype(np.uint64)
     at = np.flatnonzero(np.diff(every, prepend=~every[:1]))
-    return every[at], np.add.reduceat(n[order].astype(np.uint64), at)
+    return every[at].astype(keys[0].dtype), np.add.reduceat(n, at) if len(at) else np.empty(0, dtype=np.uint64)
+
+
+_KEYS = {WORD: np.uint64, GRAM: np.uint32}
+
+
+def _learnt(kind: int, messages: pa.RecordBatch, s: Settings) -> tuple[WordCounts | LogFilter, list[np.ndarray], int, int]:
+    """What a shard holds of all messages to it; their keys; the distinct ones learnt and how often they occur."""
+    keys = [_sums(k.as_py(), _KEYS[kind]) for k in messages.column("keys")]
+    counts = [_large(c.as_py(), np.uint32) for c in messages.column("counts")]
+    every, total = _summed([k[c > 0] for k, c in zip(keys, counts)], [c[c > 0] for c in counts])
+    return WordCounts(every, total) if kind == WORD else LogFilter.of(every, total, s), keys, len(every), int(total.sum())
 
 
 def _shards(s: Settings):
@@ -275,23 +324,42 @@ def _shards(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in segments(batches, ["kind", "shard"]):
             kind, shard = rows.column("kind")[0].as_py(), rows.column("shard")[0].as_py()
-            width = (np.uint64, np.uint64) if kind == WORD else (np.uint32, np.uint32)
-            keys, counts = _summed([_sums(k.as_py(), width[0]) for k in rows.column("keys")], [_large(c.as_py(), width[1]) for c in rows.column("counts")])
-            body = WordCounts(keys, counts).body() if kind == WORD else LogFilter.of(keys, counts, s).body()
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([body], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["kind", "shard", "body", "distinct", "total"])
+            held, _, distinct, total = _learnt(kind, rows, s)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([held.body()], pa.binary()), pa.array([distinct], pa.int64()), pa.array([total], pa.int64())], ["kind", "shard", "body", "distinct", "total"])
 
     return run
 
 
+def _shards_asked(s: Settings):
+    """Sorted messages with counts to learn and keys to ask for: the answers, and for each shard what it has learnt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "shard", "block", "keys", "distinct", "total"]
+        for rows in segments(batches, ["kind", "shard"]):
+            kind = rows.column("kind")[0].as_py()
+            held, keys, distinct, total = _learnt(kind, rows, s)
+            one = lambda x, t: pa.array([x], t)
+            yield pa.RecordBatch.from_arrays([rows.column("kind")[:1], rows.column("shard")[:1], one(None, pa.int64()), one(None, pa.binary()), one(distinct, pa.int64()), one(total, pa.int64())], names)
+            for i, k in enumerate(keys):
+                found = held.of(k) if kind == WORD else held.levels(k)
+                yield pa.RecordBatch.from_arrays([rows.column("kind")[i : i + 1], rows.column("shard")[i : i + 1], rows.column("block")[i : i + 1], one(_small(found), pa.binary()), one(None, pa.int64()), one(None, pa.int64())], names)
+
+    return run
+
+
+def _shard_counts(blocks: DataFrame, s: Settings) -> tuple[int, int]:
+    sizes = blocks.agg(F.sum("n").alias("n"), F.sum(F.length("codes") / 8).alias("codes")).first()
+    return max(1, -(-int(sizes["codes"] or 0) // WORDS)), max(1, -(-(sizes["n"] or 0) * (s.order - 1) // GRAMS))
+
+
 def train(blocks: DataFrame, s: Settings = Settings()) -> Model:
     """Learns from the texts of pack() that are to be learnt from.
 
     A block sends each shard its distinct n-grams, named by 32 bits within their shard, and their counts; a shard adds them up and holds them as a LogFilter. Words are held
     with exact counts by 64-bit codes, of which two among n words are equal with a chance of n^2 / 2^65. Shards are as many as the tokens ask for, so each is of bounded size and together they grow with the corpus. No text to learn from: a model of nothing.
     """
-    sizes = blocks.agg(F.sum("n").alias("n"), F.sum(F.length("codes") / 8).alias("codes")).first()
-    shards = (max(1, -(-int(sizes["codes"] or 0) // WORDS)), max(1, -(-(sizes["n"] or 0) * (s.order - 1) // GRAMS)))
-    sent = blocks.mapInArrow(_messages(shards, s, True), _MESSAGE).repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    shards = _shard_counts(blocks, s)
+    sent = blocks.mapInArrow(_messages(shards, s, True, False), _MESSAGE).repartition("kind", "shard").sortWithinPartitions("kind", "shard")
     table = written(sent.mapInArrow(_shards(s), "kind int, shard int, body binary, distinct long, total long"))
     word = F.col("kind") == WORD
     known = table.agg(F.sum(F.when(word, F.col("total"))).alias("tokens"), F.sum(F.when(word, F.col("distinct"))).alias("words"), F.sum(F.length("body")).alias("size")).first()
@@ -319,7 +387,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([(row["kind"], row["shard"], row["block"], _small(found), None)])
 
 
-def _scores(b: Block, row: dict, counts: np.ndarray, levels: np.ndarray, asked: np.ndarray, tokens: int, words: int, s: Settings) -> pa.RecordBatch:
+def _scores(b: Block, row: dict, counts: np.ndarray, levels: np.ndarray, tokens: int, words: int, s: Settings) -> pa.RecordBatch:
     """The scores of the texts of a block, given the counts of its distinct words and the levels of its distinct n-grams."""
     steps = s.base ** np.arange(0, 66)
     first, beyond = np.ceil(steps - 1e-9), np.ceil(steps[1:] - 1e-9)
@@ -330,8 +398,7 @@ def _scores(b: Block, row: dict, counts: np.ndarray, levels: np.ndarray, asked:
     # what goes before the first word is an end
     ends = float(counts[np.searchsorted(b.distinct, _U(END))])
     context = np.concatenate([[ends], c[:-1]])
-    for gram, valid in zip(b.grams, b.valid):
-        at = np.minimum(np.searchsorted(asked, gram), max(len(asked) - 1, 0))
+    for at, valid in zip(b.placed(), b.valid):
         seen = np.where(valid, value[levels[at]], 0.0)
         p = np.where(valid, (seen + s.strength * p) / (np.maximum(context, seen) + s.strength), p)
         context = np.concatenate([[0.0], seen[:-1]])
@@ -356,7 +423,7 @@ def _with_answers(tokens: int, words: int, shards: tuple[int, int], s: Settings)
             kind, b = rows.column("kind").to_pylist(), Block(row, shards, s)
             found = {k: [_large(rows.column("keys")[i].as_py(), t) for i, x in enumerate(kind) if x == k] for k, t in ((WORD, np.uint64), (GRAM, np.uint8))}
             levels = np.concatenate(found[GRAM] or [np.zeros(1, dtype=np.uint8)])
-            yield _scores(b, row, np.concatenate(found[WORD]), levels, b.asked(False)[0], tokens, words, s)
+            yield _scores(b, row, np.concatenate(found[WORD]), levels, tokens, words, s)
 
     return run
 
@@ -369,7 +436,7 @@ def _by_broadcast(sent, tokens: int, words: int, shards: tuple[int, int], s: Set
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 b = Block(row, shards, s)
-                asked = b.asked(False)[0]
+                asked = b.asked()
                 counts, levels = np.zeros(len(b.distinct), dtype=np.uint64), np.zeros(max(len(asked), 1), dtype=np.uint8)
                 for shard, at in _dealt(b.distinct, _word_shard(b.distinct, shards[WORD])):
                     if (WORD, shard) in held:
@@ -377,7 +444,7 @@ def _by_broadcast(sent, tokens: int, words: int, shards: tuple[int, int], s: Set
                 for shard, at in _dealt(asked, (asked >> _U(32)).astype(np.int64)):
                     if (GRAM, shard) in held:
                         levels[at] = held[GRAM, shard].levels(asked[at].astype(np.uint32))
-                yield _scores(b, row, counts, levels, asked, tokens, words, s)
+                yield _scores(b, row, counts, levels, tokens, words, s)
 
     return run
 
@@ -398,9 +465,25 @@ def score(blocks: DataFrame, model: Model, most_bytes: int = SENT_BYTES) -> Data
     if m.size <= most_bytes:
         sent = spark.sparkContext.broadcast([(r["kind"], r["shard"], bytes(r["body"])) for r in m.table.collect()])
         return blocks.mapInArrow(_by_broadcast(sent, m.tokens, m.words, m.shards, m.settings), _SCORE)
-    asked = blocks.mapInArrow(_messages(m.shards, m.settings, False), _MESSAGE).select("kind", "shard", "block", "keys", F.lit(None).cast("binary").alias("body"))
+    asked = blocks.mapInArrow(_messages(m.shards, m.settings, False, True), _MESSAGE).select("kind", "shard", "block", "keys", F.lit(None).cast("binary").alias("body"))
     shards = m.table.select("kind", "shard", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "body")
     met = asked.unionByName(shards).repartition("kind", "shard").sortWithinPartitions("kind", "shard", F.col("block").asc_nulls_first())
     answers = met.mapInArrow(_answers, _MESSAGE).drop("counts")
+    return _scored(blocks, answers, m.tokens, m.words, m.shards, m.settings)
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, tokens: int, words: int, shards: tuple[int, int], s: Settings) -> DataFrame:
     both = blocks.drop("n").unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("kind").asc_nulls_first(), "shard")
-    return both.mapInArrow(_with_answers(m.tokens, m.words, m.shards, m.settings), _SCORE)
+    return both.mapInArrow(_with_answers(tokens, words, shards, s), _SCORE)
+
+
+def learnt_and_scored(blocks: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """score(blocks, train(blocks, s)) with one exchange instead of two: a block sends each shard its n-grams once, with what is to be learnt of them, and the shard, when it has learnt from all blocks, asks its filter for each.
+
+    So no filter leaves its shard, and what is moved grows with the texts alone, where a model as large as its corpus could not be broadcast.
+    """
+    shards = _shard_counts(blocks, s)
+    sent = blocks.mapInArrow(_messages(shards, s, True, True), _MESSAGE).repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+    answers = written(sent.mapInArrow(_shards_asked(s), "kind int, shard int, block long, keys binary, distinct long, total long"))
+    known = answers.where((F.col("kind") == WORD) & F.col("block").isNull()).agg(F.sum("total").alias("tokens"), F.sum("distinct").alias("words")).first()
+    return _scored(blocks, answers.where("block is not null").select("kind", "shard", "block", "keys"), known["tokens"] or 0, known["words"] or 0, shards, s)

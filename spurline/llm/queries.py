@@ -151,7 +151,7 @@ from nodes n join below b using (path) left join kids k using (path) left join e
 def op12_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     blocks = ngrams.pack(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
-    return ngrams.score(blocks, ngrams.train(blocks))
+    return ngrams.learnt_and_scored(blocks)
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

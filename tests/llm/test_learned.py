@@ -127,6 +127,7 @@ def test_ngram_scores_against_brute_force(spark, corpus, monkeypatch):
     by_broadcast, by_shards = ngrams.score(blocks, model), ngrams.score(blocks, model, most_bytes=0)
     got = sorted(map(tuple, by_broadcast.collect()), key=str)
     assert got == sorted(map(tuple, by_shards.collect()), key=str)
+    assert got == sorted(map(tuple, ngrams.learnt_and_scored(blocks, s).collect()), key=str)
 
     rows = [(r["doc_id"], tokens(r["text"])) for r in corpus.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -182,6 +183,7 @@ def test_ngrams_help_with_texts_not_learnt_from(spark, corpus):
     assert all(r["base_score"] == r["score"] == 0 and r["train_tokens"] == 0 for r in ngrams.score(nothing, ngrams.train(nothing)).collect())
     none = ngrams.pack(corpus.limit(0), F.lit(True))
     assert ngrams.score(none, ngrams.train(none)).count() == 0
+    assert ngrams.learnt_and_scored(none).count() == 0
 
 
 def test_audit_against_brute_force(spark, corpus):
@@ -222,11 +224,29 @@ def test_shares_are_exact(spark):
 
 
 def test_radix_trie():
-    trie, want = divergence.Trie(), collections.Counter()
-    for t in (b"to", b"tea", b"te", b"t", b"\xc3\xa9t", b"tea", b"ten", b"", b"x" * 300):
-        trie.at(t).setdefault("s", [0, 0])[0] += 1
-        want[t] += 1
-    assert [(t, c["s"][0]) for t, c in trie.ordered()] == sorted(want.items())
+    texts = [b"to tea te t", "\u00c9t\u00e9 tea ten".encode(), b"x" * 300 + b" To", b"", b"te9tent"]
+    counts = {"a": divergence.Counts(), "b": divergence.Counts()}
+    want = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+    for k, text in enumerate(texts):
+        source = "ab"[k % 2]
+        new = counts[source].add(text)
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text.decode()))
+        assert new == sum(not want[t.encode()][source][0] for t in set(found))
+        for t in found:
+            want[t.encode()][source][0] += 1
+        for t in set(found):
+            want[t.encode()][source][1] += 1
+    trie = divergence.trie_of(counts)
+    got = list(trie.ordered())
+    assert got[0] == (b"", [("a", 0, 0), ("b", 0, 0)])
+    assert [(t, sorted(c)) for t, c in got[1:]] == [(t, sorted((s, *n) for s, n in c.items() if n[0])) for t, c in sorted(want.items())]
+    # an edge holds as many bytes as no other term leaves it, and children differ in their first
+    nodes = [trie]
+    while nodes:
+        node = nodes.pop()
+        assert node is trie or node.counts or len(node.children) > 1
+        assert len({c.label[:1] for c in node.children}) == len(node.children)
+        nodes += node.children
 
 
 def test_crc32_in_sql():
