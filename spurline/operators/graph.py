@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from spurline.operators.lattice import DIRECTIONS, neighbours, nearest_any, slopes, opened
 from spurline.operators.ranks import numbered
-from spurline.operators.store import keep
+from spurline.operators.store import drop_written, keep, written
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int = 10_000) -> DataFrame:
     """Repeats step until no row of its result has `changed`; step's result keeps start's columns and adds that one."""
-    state = keep(start)
+    state, before = written(start), None
     for _ in range(most):
-        after = keep(step(state))
-        state = after.drop(changed)
+        after = written(step(state))
+        drop_written(before if before is not None else state)
+        state, before = after.drop(changed), after
         if after.where(changed).isEmpty():
             return state
     raise RuntimeError(f"no end after {most} rounds")
@@ -64,11 +65,11 @@ def accumulated(df: DataFrame, weight: str) -> DataFrame:
 
     Doubles the length of the ways each round: an id hands what it has gathered to the id that many steps on.
     """
-    flows = keep(df.select("id", F.col("receiver").alias("jump"), F.col(weight).cast("double").alias("total")))
+    flows = written(df.select("id", F.col("receiver").alias("jump"), F.col(weight).cast("double").alias("total")))
     while not flows.where("jump is not null").isEmpty():
         arriving = flows.where("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.sum("total").alias("more"))
         onward = flows.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
-        flows = keep(
+        flows = written(
             flows.join(arriving, "id", "left").join(onward, "jump", "left").select("id", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
         )
     return df.join(flows.select("id", "total"), "id")
@@ -76,10 +77,10 @@ def accumulated(df: DataFrame, weight: str) -> DataFrame:
 
 def roots(df: DataFrame) -> DataFrame:
     """df: id, parent (null at roots). Adds root and depth by pointer doubling."""
-    state = keep(df.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
+    state = written(df.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
     while True:
         above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        after = keep(state.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        after = written(state.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         state = after.drop("moved")
         if after.where("moved").isEmpty():
             return df.join(state.select("id", F.col("up").alias("root"), "depth"), "id")
@@ -87,16 +88,16 @@ def roots(df: DataFrame) -> DataFrame:
 
 def route(df: DataFrame, start: int, thin: int = 1) -> DataFrame:
     """df: id, parent. The way from start to its root as rows step, id; every thin-th of them and the last."""
-    way, here = keep(df.where(F.col("id") == start).select(F.lit(0).cast("long").alias("step"), "id", "parent")), True
-    jump = keep(df.select("id", F.col("parent").alias("to")))
+    way, here = written(df.where(F.col("id") == start).select(F.lit(0).cast("long").alias("step"), "id", "parent")), True
+    jump = written(df.select("id", F.col("parent").alias("to")))
     size = 1
     # ids within `size` steps are known; each of them also leads to the one `size` steps on
     while here:
         more = way.join(jump, "id").where("to is not null").select((F.col("step") + size).alias("step"), F.col("to").alias("id"))
-        way = keep(way.select("step", "id").unionByName(more.join(way.select("id"), "id", "left_anti")))
+        way = written(way.select("step", "id").unionByName(more.join(way.select("id"), "id", "left_anti")))
         here = not more.isEmpty()
         onward = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jump, size = keep(jump.join(onward, "to", "left").select("id", F.col("next").alias("to"))), size * 2
+        jump, size = written(jump.join(onward, "to", "left").select("id", F.col("next").alias("to"))), size * 2
     last = way.agg(F.max("step")).first()[0]
     return way.where((F.col("step") % thin == 0) | (F.col("step") == last))
 
@@ -136,7 +137,7 @@ def tiled_fixpoint(df: DataFrame, value: str, relax: Callable[[dict[str, np.ndar
         out["changed"] = ~((out[value].to_numpy() == before) | (np.isnan(out[value].to_numpy()) & np.isnan(before)))
         return out[cells["own"].to_numpy()]
 
-    state, first = keep(df.select(*columns).withColumn("changed", F.lit(True))), True
+    state, first = written(df.select(*columns).withColumn("changed", F.lit(True))), True
     for _ in range(most):
         near = lambda c: F.array_distinct(F.array(_tile(F.col(c) - 1, tile), _tile(c, tile), _tile(F.col(c) + 1, tile)))
         copies = state.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col"))).withColumn("own", (F.col("tr") == _tile("row", tile)) & (F.col("tc") == _tile("col", tile)))
@@ -147,7 +148,7 @@ def tiled_fixpoint(df: DataFrame, value: str, relax: Callable[[dict[str, np.ndar
         work = copies.join(squares, [*by, "tr", "tc"], "left_semi").groupBy(*by, "tr", "tc").applyInPandas(settle, schema)
         rest = state.withColumns({"tr": _tile("row", tile), "tc": _tile("col", tile)}).join(squares, [*by, "tr", "tc"], "left_anti").select(*columns, F.lit(False).alias("changed"))
         # a square of ring cells alone gives nothing back
-        state = keep(rest.unionByName(work))
+        state = written(rest.unionByName(work))
     raise RuntimeError(f"no end after {most} rounds")
 
 
@@ -196,10 +197,10 @@ def least_cost(df: DataFrame, cost: str, source: str, cell: float, by: Sequence[
     before = near.groupBy(*by, "row", "col").agg(F.min(F.struct(F.col("to_reach").alias("a"), F.col("to_row").alias("r"), F.col("to_col").alias("c"), (F.col("step") * cell).alias("far"))).alias("b"))
     tree = reached.join(before, [*by, "row", "col"], "left").select(*by, "row", "col", "reach", F.when(~F.col(source), F.col("b")).alias("b"))
     up = F.struct(F.coalesce("b.r", "row").alias("r"), F.coalesce("b.c", "col").alias("c"))
-    state = keep(tree.select(*by, "row", "col", up.alias("up"), F.coalesce("b.far", F.lit(0.0)).alias("length"), F.col("b").isNotNull().alias("open")))
+    state = written(tree.select(*by, "row", "col", up.alias("up"), F.coalesce("b.far", F.lit(0.0)).alias("length"), F.col("b").isNotNull().alias("open")))
     while not state.where("open").isEmpty():
         above = state.select(*by, F.struct(F.col("row").alias("r"), F.col("col").alias("c")).alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("open").alias("on"))
-        state = keep(state.join(above, [*by, "up"]).select(*by, "row", "col", F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"), F.col("on").alias("open")))
+        state = written(state.join(above, [*by, "up"]).select(*by, "row", "col", F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"), F.col("on").alias("open")))
     ways = tree.join(state.select(*by, "row", "col", "length", F.col("up.r").alias("root_row"), F.col("up.c").alias("root_col")), [*by, "row", "col"])
     ways = ways.select(*by, "row", "col", "reach", "length", F.col("b.r").alias("from_row"), F.col("b.c").alias("from_col"), "root_row", "root_col")
     ways = ways if longest is None else ways.where(F.col("length") <= longest)
@@ -216,10 +217,10 @@ def covered_share(tree: DataFrame, covered: str, cell: float, last: float, by: S
     bare = F.when(F.col("from_row").isNotNull() & ~F.col(covered) & inner, step).otherwise(0.0)
     cells = keep(tree.where("reach is not null"))
     up = F.struct(F.coalesce("from_row", "row").alias("r"), F.coalesce("from_col", "col").alias("c"))
-    state = keep(cells.select(*by, "row", "col", up.alias("up"), bare.alias("bare"), F.col("from_row").isNotNull().alias("open")))
+    state = written(cells.select(*by, "row", "col", up.alias("up"), bare.alias("bare"), F.col("from_row").isNotNull().alias("open")))
     while not state.where("open").isEmpty():
         above = state.select(*by, F.struct(F.col("row").alias("r"), F.col("col").alias("c")).alias("up"), F.col("up").alias("next"), F.col("bare").alias("more"), F.col("open").alias("on"))
-        state = keep(state.join(above, [*by, "up"]).select(*by, "row", "col", F.col("next").alias("up"), (F.col("bare") + F.col("more")).alias("bare"), F.col("on").alias("open")))
+        state = written(state.join(above, [*by, "up"]).select(*by, "row", "col", F.col("next").alias("up"), (F.col("bare") + F.col("more")).alias("bare"), F.col("on").alias("open")))
     share = F.when(F.col("length") > 0, 1 - F.col("bare") / F.least("length", F.lit(float(last)))).otherwise(1.0)
     return tree.join(state.select(*by, "row", "col", "bare"), [*by, "row", "col"], "left").withColumn("share", F.when(F.col("reach").isNotNull(), share)).drop("bare")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spurline.operators.graph import regions, sized_regions
 from spurline.operators.ranks import numbered, quantiles
 from spurline.operators.squares import Grids, bilinear, haloed, inner, smoothed
-from spurline.operators.store import keep
+from spurline.operators.store import keep, written
 
 #: Cells that a square looks at beyond its own: the filters' half-length, the smoothing of the slope and the steps of the bench test.
 MARGIN = 32
@@ -207,12 +207,12 @@ def _followed(edges: DataFrame) -> DataFrame:
 
     Ways still open are counted each round: if none of them has ended, all are rings, as the ones nearest to an end always do.
     """
-    state = keep(edges.select("id", F.col("next").alias("jump"), F.when(F.col("next").isNull(), F.col("id")).alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("id").alias("low")))
+    state = written(edges.select("id", F.col("next").alias("jump"), F.when(F.col("next").isNull(), F.col("id")).alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("id").alias("low")))
     open_, lows = state.where("jump is not null").count(), -1
     while open_:
         onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump_"), F.col("last").alias("last_"), F.col("depth").alias("depth_"), F.col("low").alias("low_"))
         moved = state.join(onward, "jump", "left")
-        state = keep(moved.select("id", F.when(F.col("jump").isNotNull(), F.col("jump_")).alias("jump"), F.coalesce("last", "last_").alias("last"), (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"), F.least("low", F.coalesce("low_", "low")).alias("low"), (F.col("low_") < F.col("low")).alias("lower")))
+        state = written(moved.select("id", F.when(F.col("jump").isNotNull(), F.col("jump_")).alias("jump"), F.coalesce("last", "last_").alias("last"), (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"), F.least("low", F.coalesce("low_", "low")).alias("low"), (F.col("low_") < F.col("low")).alias("lower")))
         left = state.where("jump is not null").count()
         lower = state.where("jump is not null and lower").count()
         state = state.drop("lower")

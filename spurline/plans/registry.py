@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spurline.plans import fields, grids, land
+from spurline.plans import fields, grids, land, shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**grids.QUERIES, **fields.QUERIES, **land.QUERIES}
+    return {**grids.QUERIES, **fields.QUERIES, **land.QUERIES, **shapes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**grids.SQL, **fields.SQL, **land.SQL}
+    return {**grids.SQL, **fields.SQL, **land.SQL, **shapes.SQL}
