@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spurline.functions.scalar import clip, fading, ramp
 from spurline.operators.ranks import quantiles
+from spurline.operators.squares import Grids, haloed, horizon, inner, window_median
 
 # Fixed value: the order of directions, north first, clockwise; earlier ones win ties.
 DIRECTIONS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
@@ -92,13 +93,9 @@ def opened(df: DataFrame, mask: str, k: int, by: Sequence[str] = ()) -> DataFram
     return df
 
 
-def median_filter(df: DataFrame, value: str, k: int, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
+def median_filter(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Median over the square of half-width k, edges mirrored."""
-    wide = padded(padded(df.select(*by, "row", "col", value), "col", k, width, "reflect"), "row", k, height, "reflect")
-    near = F.explode(F.sequence(F.lit(-k), F.lit(k)))
-    spread = wide.withColumn("dr", near).withColumn("dc", near).select(*by, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), value)
-    inside = spread.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    return inside.groupBy(*by, "row", "col").agg(F.median(value).alias(value))
+    return window_median(df, value, k, "symmetric", by)
 
 
 def slopes(df: DataFrame, value: str, cell: float, by: Sequence[str] = ()) -> DataFrame:
@@ -268,25 +265,9 @@ def blurred(df: DataFrame, value: str, sigma: float, height: int, width: int, by
     return df.drop(value).join(upsampled(small, value, f, height, width, by), [*by, "row", "col"])
 
 
-def sampled(df: DataFrame, value: str, dr: Column, dc: Column, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """Adds at: the bilinear value so many cells further down and to the right, held at the edges. Other columns stay."""
-    y, x = F.least(F.greatest(F.col("row") + dr, F.lit(0.0)), F.lit(height - 1.0)), F.least(F.greatest(F.col("col") + dc, F.lit(0.0)), F.lit(width - 1.0))
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    at = df.withColumns({"y_": y, "x_": x, "corner_": corner})
-    part = lambda v, i: F.when(F.col(i) == 0, 1 - (F.col(v) - F.floor(v))).otherwise(F.col(v) - F.floor(v))
-    at = at.withColumns({"w_": part("y_", "corner_.i") * part("x_", "corner_.j"), "r_": F.least(F.floor("y_") + F.col("corner_.i"), F.lit(height - 1)).cast("int"), "c_": F.least(F.floor("x_") + F.col("corner_.j"), F.lit(width - 1)).cast("int")})
-    values = df.select(*by, F.col("row").alias("r_"), F.col("col").alias("c_"), F.col(value).alias("v_")).distinct()
-    others = [c for c in df.columns if c not in (*by, "row", "col")]
-    return at.join(values, [*by, "r_", "c_"]).groupBy(*by, "row", "col", *others).agg(F.sum(F.col("w_") * F.col("v_")).alias("at"))
-
-
-def upwind(df: DataFrame, z: str, cell: float, from_degrees: float, height: int, width: int, distances: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def upwind(df: DataFrame, z: str, cell: float, from_degrees: float, distances: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Adds shelter: the greatest horizon angle (degrees) over some distances in the direction that the wind comes from."""
-    a = math.radians(from_degrees)
-    asked = df.select(*by, "row", "col", z).withColumn("d", F.explode(F.array(*map(F.lit, map(float, distances)))))
-    at = sampled(asked, z, -F.col("d") * (math.cos(a) / cell), F.col("d") * (math.sin(a) / cell), height, width, by)
-    best = at.groupBy(*by, "row", "col").agg(F.max(F.degrees(F.atan((F.col("at") - F.col(z)) / F.col("d")))).alias("shelter"))
-    return df.join(best, [*by, "row", "col"]).withColumn("shelter", F.greatest("shelter", F.lit(-90.0)))
+    return df.join(horizon(df, z, cell, from_degrees, distances, "shelter", by), [*by, "row", "col"])
 
 
 # Landforms by the number of lower directions (rows) and higher directions (columns); 0 is a slope too.
@@ -306,15 +287,23 @@ LANDFORMS = (
 
 def landforms(df: DataFrame, z: str, cell: float, steps: int, flat_degrees: float, by: Sequence[str] = ()) -> DataFrame:
     """Adds landform: by how many of the eight lines of sight of so many steps rise, and how many fall, by more than flat_degrees (the steeper of both counts)."""
-    moves = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(r * k).alias("dr"), F.lit(c * k).alias("dc"), F.lit(math.hypot(r, c) * k * cell).alias("far")) for d, (r, c) in enumerate(DIRECTIONS) for k in range(1, steps + 1)))
-    seen = df.select(*by, "row", "col", F.col(z).alias("z_")).withColumn("m", F.explode(moves)).withColumns({"r_": F.col("row") + F.col("m.dr"), "c_": F.col("col") + F.col("m.dc")})
-    others = df.select(*by, F.col("row").alias("r_"), F.col("col").alias("c_"), F.col(z).alias("to_"))
-    angle = F.atan((F.col("to_") - F.col("z_")) / F.col("m.far"))
-    lines = seen.join(others, [*by, "r_", "c_"]).groupBy(*by, "row", "col", F.col("m.d").alias("d")).agg(F.max(angle).alias("up"), F.max(-angle).alias("down"))
     flat = math.radians(flat_degrees)
-    counts = lines.groupBy(*by, "row", "col").agg(F.count_if((F.col("up") > flat) & (F.col("up") > F.col("down"))).alias("higher"), F.count_if((F.col("down") > flat) & (F.col("down") > F.col("up"))).alias("lower"))
+
+    def run(grids: Grids) -> Grids:
+        wide = grids[z]
+        here = inner(wide, steps)
+        counts = np.zeros((2, *here.shape))
+        for r, c in DIRECTIONS:
+            up, down = np.full((2, *here.shape), -np.inf)
+            for k in range(1, steps + 1):
+                angle = np.arctan((inner(wide, steps, r * k, c * k) - here) / (math.hypot(r, c) * k * cell))
+                up, down = np.fmax(up, angle), np.fmax(down, -angle)
+            counts += (up > flat) & (up > down), (down > flat) & (down > up)
+        return {"higher": counts[0], "lower": counts[1]}
+
+    counts = haloed(df, [z], run, {"higher": "int", "lower": "int"}, steps, None, by)
     table = F.array(*(F.array(*map(F.lit, row)) for row in LANDFORMS))
-    form = F.coalesce(F.get(F.get(table, F.col("lower").cast("int")), F.col("higher").cast("int")), F.lit(FLAT))
+    form = F.coalesce(F.get(F.get(table, F.col("lower")), F.col("higher")), F.lit(FLAT))
     return df.join(counts, [*by, "row", "col"], "left").withColumn("landform", F.when(form > 0, form).otherwise(SLOPE)).drop("higher", "lower")
 
 

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spurline.operators.lattice import gaussian, soft
+from spurline.operators.lattice import soft
 from spurline.operators.lines import junctions, thinned
-from spurline.operators.squares import Grids, haloed, inner
+from spurline.operators.squares import Grids, blurred, haloed, inner
 from spurline.operators.store import keep
 
 
@@ -25,13 +25,14 @@ def _gradient(df: DataFrame, value: str, cell: float, down: str, along: str, by:
     return df
 
 
-def saddles(df: DataFrame, z: str, cell: float, height: int, width: int, sigma: float = 25.0, reach: float = 250.0, least: float = 8.0, by: Sequence[str] = (), tile: int = 256) -> DataFrame:
+def saddles(df: DataFrame, z: str, cell: float, sigma: float = 25.0, reach: float = 250.0, least: float = 8.0, by: Sequence[str] = (), tile: int = 256) -> DataFrame:
     """by, row, col, rise, drop and axis of the saddles of the smoothed ground: the lower of the ridge's climbs on both sides, that of the falls across it, and the ridge's angle from east, 0 to 180.
 
     A saddle is the most saddle-like cell (Hessian determinant most below 0) of 60 m about it on gentle ground, from which the ground rises by `least` metres both ways along the one axis of curvature and falls by three quarters of it both ways along the other, within reach.
     Derivatives are columns; the axes are eigenvectors of two by two numbers, and the profiles are read within squares of cells, only at candidates, so no step of a ray is a row.
     """
-    flat = gaussian(df.select(*by, "row", "col", F.col(z).cast("double").alias("z_")), "z_", sigma / cell, height, width, "nearest", by) if sigma / cell > 0.3 else df.select(*by, "row", "col", F.col(z).cast("double").alias("z_"))
+    ground = df.select(*by, "row", "col", F.col(z).cast("double").alias("z_"))
+    flat = keep(blurred(ground, "z_", sigma / cell, "edge", by, tile) if sigma / cell > 0.3 else ground)
     first = keep(_gradient(flat, "z_", cell, "gy", "gx", by))
     second = _gradient(_gradient(first, "gy", cell, "gyy", "gyx", by), "gx", cell, "gxy", "gxx", by).withColumn("hxy", 0.5 * (F.col("gxy") + F.col("gyx")))
     det = F.col("gxx") * F.col("gyy") - F.col("hxy") * F.col("hxy")

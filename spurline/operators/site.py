@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spurline.functions import scalar as S
 from spurline.functions.scalar import clip, ramp, sector, walking_kmh
-from spurline.operators import graph, lattice
+from spurline.operators import graph, lattice, squares
 from spurline.operators.store import keep
 
 
@@ -150,3 +151,59 @@ def gentle_slope(df: DataFrame, z: str, cell: float, height: int, width: int, si
     smooth = lattice.gaussian(df.select(*by, "row", "col", z), z, sigma, height, width, "nearest", by) if sigma > 0.3 else df.select(*by, "row", "col", z)
     found = lattice.slopes(smooth, z, cell, by).select(*by, "row", "col", (1 - 0.5 * ramp("slope", 8, 25)).alias("grade"))
     return df.join(found, [*by, "row", "col"])
+
+
+def _downhill(df: DataFrame, z: str, sigma: float, cell: float, prefix: str, by: Sequence[str]) -> DataFrame:
+    """by, row, col and prefix_east, prefix_north, prefix_rise: the way down the ground smoothed by sigma cells, and its slope."""
+    ground = df.select(*by, "row", "col", F.col(z).cast("double").alias(z))
+    smooth = squares.blurred(ground, z, sigma, "edge", by) if sigma > 0.3 else ground
+    return lattice.slopes(smooth, z, cell, by).select(*by, "row", "col", *(F.col(c).alias(f"{prefix}_{c}") for c in ("east", "north", "rise")))
+
+
+def wind(df: DataFrame, z: str, cell: float, from_degrees: float, consistency: float, by: Sequence[str] = ()) -> DataFrame:
+    """df: all cells with z, landform, tpi (height against its surroundings) and sca (what drains through per metre). by, row, col and the wind factor and its parts:
+
+    drain: cold air running down, spread over the valley floor; flow_east, flow_north: where air moves at dawn and dusk, from drainage in low and sheltered places and from the wind, led along valleys, in exposed ones; agree: the cosine of drainage and wind;
+    conv: both the same way in a valley; windward: slopes facing the wind within 100 m of a crest; wind: the stronger of steady drainage and windward, less where the wind is not consistent.
+    """
+    wx, wn = -math.sin(math.radians(from_degrees)), -math.cos(math.radians(from_degrees))
+    keys = [*by, "row", "col"]
+    half = max(3, int(40 / cell) | 1) // 2
+    strength = df.select(*keys, S.drainage_strength("sca").alias("own_")).withColumn("most_", F.col("own_"))
+    spread = lattice._extremes(strength, "most_", F.max, half, by).select(*keys, F.greatest("own_", 0.85 * F.col("most_")).alias("spread_"))
+    parts = keep(squares.blurred(keep(spread), "spread_", 20 / cell, "symmetric", by))
+    near, wide = keep(_downhill(df, z, 60 / cell, cell, "d", by)), keep(_downhill(df, z, 200 / cell, cell, "v", by))
+    reach = [cell + i * (300.0 - cell) / 11 for i in range(12)]
+    lee = keep(squares.horizon(df.select(*keys, z), z, cell, from_degrees, reach, "lee_", by))
+    crest = lattice.nearest_any(df.select(*keys, F.col("landform").isin(lattice.RIDGE, lattice.PEAK, lattice.SHOULDER).alias("crest_")), "crest_", by)
+    at = df.select(*keys, "tpi")
+    for other in (parts, near, wide, lee, crest.select(*keys, clip(1 - F.sqrt("d2") * cell / 100).alias("close_"))):
+        at = at.join(other, keys)
+    exposed, shelter, rise = 1 / (1 + F.exp(-F.col("tpi") / 12.0)), clip(F.col("lee_") / 10.0), F.col("d_rise")
+    at = keep(at.withColumns({"e_": exposed, "shelter_": shelter, "drain": F.col("spread_") * clip(rise / 0.05, 0.3, 1.0), "along_": F.col("v_east") * wx + F.col("v_north") * wn}))
+    led = lambda w, axis: F.col("e_") * w + (1 - F.col("e_")) * F.col("along_") * F.col(f"v_{axis}") + 1e-6 * F.col(f"d_{axis}")
+    at = at.withColumn("led_", S.normalised(led(wx, "east"), led(wn, "north"))).withColumn("beta_", clip(0.3 + 0.5 * (1 - F.col("e_")) + 0.2 * F.col("shelter_"), 0.0, 0.95))
+    moved = lambda axis: F.col("beta_") * F.col(f"d_{axis}") + (1 - F.col("beta_")) * F.col(f"led_.{axis}")
+    down = F.col("d_east") * wx + F.col("d_north") * wn
+    agree = clip(F.col("e_") * down + (1 - F.col("e_")) * (F.col("d_east") * F.col("v_east") + F.col("d_north") * F.col("v_north")) * F.col("along_"), -1.0, 1.0)
+    at = at.withColumns({"flow_": S.normalised(moved("east"), moved("north")), "agree": agree, "windward": clip(-down) * F.coalesce("close_", F.lit(0.0)) * clip(rise / 0.15) * (1 - F.col("shelter_"))})
+    steady = F.col("drain") * (0.5 + 0.5 * (1 + F.col("agree")) / 2)
+    return at.select(
+        *keys, "drain", F.col("flow_.east").alias("flow_east"), F.col("flow_.north").alias("flow_north"), "agree", (F.pow((1 + F.col("agree")) / 2, F.lit(2.0)) * F.col("drain") * clip(1.2 - F.col("e_"))).alias("conv"), "windward",
+        clip(F.greatest(steady, 0.6 * F.col("windward")) * (0.7 + 0.3 * min(max(consistency, 0.0), 1.0))).alias("wind"),
+    )
+
+
+def saddle_discs(df: DataFrame, found: DataFrame, cell: float, least: float = 8.0, by: Sequence[str] = ()) -> DataFrame:
+    """Adds saddle: the best of the saddles within six rows and columns, each a soft disc of 25 m worth 0.25 to 1 by the climb that it saves."""
+    near = F.explode(F.sequence(F.lit(-6), F.lit(6)))
+    worth = clip((F.col("rise") - least) / 40, 0.25, 1.0)
+    drawn = found.select(*by, "row", "col", worth.alias("w_")).withColumn("dr", near).withColumn("dc", near)
+    drawn = drawn.select(*by, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("w_") * F.exp(-(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) * (cell * cell / 1250.0))).alias("v_"))
+    best = drawn.groupBy(*by, "row", "col").agg(F.max("v_").alias("saddle"))
+    return df.join(best, [*by, "row", "col"], "left").withColumn("saddle", F.coalesce("saddle", F.lit(0.0)))
+
+
+def resistance(slope: Column, cliff: Column, lake: Column, bare: Column, road: Column) -> Column:
+    """What ground resists movement: 1 on easy ground, more on slopes (degrees) and roads, in the open, far more on cliffs and lakes; all but slope as shares of the cell."""
+    return 1 + 25 * F.pow(clip(slope / 45, 0.0, 1.5), F.lit(2.0)) + 150 * cliff + 400 * lake + 1.5 * bare + 4 * road

@@ -128,3 +128,9 @@ def horizon(df: DataFrame, z: str, cell: float, from_degrees: float, distances:
         return {name: best}
 
     return haloed(df, [z], run, {name: "double"}, margin, "edge", by, tile)
+
+
+def blurred(df: DataFrame, value: str, sigma: float, edge: str, by: Sequence[str] = (), tile: int = 256) -> DataFrame:
+    """by, row, col and value: its Gaussian of radius int(4 sigma + 0.5) cells; edge: `edge` or `symmetric`."""
+    margin = int(4 * sigma + 0.5)
+    return haloed(df, [value], lambda grids: {value: inner(smoothed(grids[value], sigma), margin)}, {value: "double"}, margin, edge, by, tile)

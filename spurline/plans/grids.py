@@ -163,7 +163,7 @@ def square_open(spark, sf):
 @query("with {LATTICE}, " + OFFSETS.replace("{k}", "1") + """ select a.row, a.col, round(quantile_cont(b.z, 0.5), 6) as z from lat a cross join offs
 join lat b on b.row = (case when a.row + dr < 0 then 0 when a.row + dr > 63 then 63 else a.row + dr end) and b.col = (case when a.col + dc < 0 then 0 when a.col + dc > 63 then 63 else a.col + dc end) group by a.row, a.col""")
 def median_window(spark, sf):
-    return lattice.median_filter(layers(spark, sf), "z", 1, SIZE, SIZE).select("row", "col", r6("z").alias("z"))
+    return lattice.median_filter(layers(spark, sf), "z", 1).select("row", "col", r6("z").alias("z"))
 
 
 @query("with {LATTICE}, " + OFFSETS.replace("{k}", "4") + """ select a.row, a.col, round(count(b.row) / (select count(*) from offs where dr * dr + dc * dc <= 16)::double, 6) as share

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spurline.functions import scalar as S
-from spurline.operators import climate, evidence, graph, lattice, picks, records, site, vectors
+from spurline.operators import climate, current, evidence, graph, lattice, picks, records, saddles, shores, site, vectors
 from spurline.operators.store import keep
 from spurline.plans.fields import fixes
 from spurline.plans.grids import FACTORS, LATTICE, SIZE, layers, masked, points, r6, scored, table
@@ -87,7 +87,7 @@ v as (select a.row, a.col, a.z, a.d, sum(b.z * (case when i = 0 then 1 - (y - fl
 select row, col, round(greatest(max(degrees(atan((seen - z) / d))), -90), 5) as shelter from v group by 1, 2""")
 def upwind_shelter(spark, sf):
     far = [10.0 + i * (120.0 - 10.0) / 11 for i in range(12)]
-    return lattice.upwind(layers(spark, sf).select("row", "col", "z"), "z", 10.0, 250.0, SIZE, SIZE, far).select("row", "col", F.round("shelter", 5).alias("shelter"))
+    return lattice.upwind(layers(spark, sf).select("row", "col", "z"), "z", 10.0, 250.0, far).select("row", "col", F.round("shelter", 5).alias("shelter"))
 
 
 FORMS = "[" + ", ".join("[" + ", ".join(map(str, row)) + "]" for row in lattice.LANDFORMS) + "]"
@@ -501,9 +501,48 @@ def capped_distance(spark, sf):
     return site.capped_distance(cells, "there", "paved", 10.0, 60.0).select("row", "col", r6("paved").alias("paved"))
 
 
+def _terrain(cells: DataFrame) -> DataFrame:
+    """Landforms, height against the surroundings, and what drains through each cell, of height."""
+    ground = cells.select("row", "col", "height")
+    forms = lattice.landforms(ground, "height", 10.0, 5, 4.0).select("row", "col", "landform")
+    raised = lattice.box_mean(ground.withColumn("mean", F.col("height")), "mean", 10, SIZE, SIZE).select("row", "col", (F.col("height") - F.col("mean")).alias("tpi"))
+    to = lattice.receivers(ground, "height", 10.0)
+    number = lambda r, c: (F.col(r) * SIZE + F.col(c)).cast("long")
+    flow = graph.accumulated(keep(to.select(number("row", "col").alias("id"), number("receiver_row", "receiver_col").alias("receiver"), F.lit(100.0).alias("area"))), "area")
+    drained = flow.select(F.floor(F.col("id") / SIZE).cast("int").alias("row"), (F.col("id") % SIZE).cast("int").alias("col"), (F.col("total") / 10.0).alias("sca"))
+    return ground.join(forms, ["row", "col"]).join(raised, ["row", "col"]).join(drained, ["row", "col"])
+
+
+@query()
+def wind_factor(spark, sf):
+    ground = keep(layers(spark, sf).select("row", "col", (F.col("z") * 3).alias("height")))
+    found = site.wind(keep(_terrain(ground)), "height", 10.0, 240.0, 0.6)
+    return found.select("row", "col", *(r6(c).alias(c) for c in ("drain", "flow_east", "flow_north", "agree", "conv", "windward", "wind")))
+
+
+def _pinches(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pinch of each cell, of saddles, feet and rims of steep bands, banks, funnels of the current, water squeezed against them; and the saddles."""
+    ground = cells.select("row", "col", "height")
+    found = keep(saddles.saddles(ground, "height", 10.0, 30.0, 300.0, 2.0))
+    bands = keep(graph.steep_bands(ground, "height", 10.0, cliff=42.0, steep=30.0))
+    slope = lattice.slopes(ground, "height", 10.0).select("row", "col", "slope")
+    base = keep(cells.select("row", "col", "lake", "canopy", "road").join(slope, ["row", "col"]).join(bands.select("row", "col", "rock", "base", "top"), ["row", "col"]))
+    share = lambda c: F.col(c).cast("double")
+    ohms = base.select("row", "col", site.resistance(F.col("slope"), share("rock"), share("lake"), (F.col("canopy") < 2.5).cast("double"), share("road")).alias("r"))
+    funnel = current.coarse_funnels(keep(ohms), "r", 30.0, SIZE, SIZE)
+    wall = F.when(F.col("rock"), shores.CLIFF).when(F.col("slope") >= 35, shores.STEEP).otherwise(0)
+    water = shores.squeezed(keep(base.select("row", "col", "lake", wall.alias("wall"))), "lake", "wall", 10.0)
+    bank = lattice.soft(base.select("row", "col", "lake"), "lake", 3, "bank", exclude="lake").select("row", "col", (0.7 * F.coalesce("bank", F.lit(0.0))).alias("bank"))
+    every = site.saddle_discs(base.select("row", "col", "base", (0.4 * F.col("top")).alias("rim")), found, 10.0, 2.0)
+    for part in (keep(funnel), keep(water.select("row", "col", F.col("squeeze").alias("water_pinch"))), keep(bank)):
+        every = every.join(part, ["row", "col"])
+    names = ["saddle", "base", "rim", "bank", "funnel", "water_pinch"]
+    return keep(every.select("row", "col", site.pinched([F.col(c) for c in names]).alias("pinch"))), found
+
+
 @query()
 def site_plan(spark, sf):
-    """One area from its layers to its spots: openings and edges, water and its scarcity, travel, walks, score, masks, the lists of spots."""
+    """One area from its layers to its spots: terrain and wind, openings and edges, pinches, water and its scarcity, travel with its gates and sunny slopes, walks, score, masks, the lists of spots."""
     base = masked(spark, sf).withColumns({
         "canopy": F.col("z") - 15, "lake": F.col("p") > 45000, "road": (F.col("row") % 21 == 3), "spring": (F.col("t") > 0.055), "public": (F.col("col") < 48), "wet": F.col("p") > 44500, "height": F.col("z") * 3,
     })
@@ -519,9 +558,14 @@ def site_plan(spark, sf):
     parts = keep(site.gentle_slope(cells.select("row", "col", "height"), "height", 10.0, SIZE, SIZE, 2.0).join(parts, ["row", "col"]).select("row", "col", "bottom", "spine", "grade"))
     slope = keep(lattice.slopes(cells.select("row", "col", "height"), "height", 10.0).select("row", "col", "slope"))
     walk = keep(site.walks(cells.join(slope, ["row", "col"]).select("row", "col", "slope", "road", "lake"), "slope", "road", "lake", 10.0, tile=64).select("row", "col", "walk_m"))
-    site_ = keep(cells.join(edge, ["row", "col"]).join(water, ["row", "col"]).join(parts, ["row", "col"]).join(slope, ["row", "col"]).join(walk, ["row", "col"]))
-    full = site_.withColumn("travel", site.travel(F.col("bottom"), F.col("spine"), F.col("grade"), F.lit(0.0), F.lit(0.0)))
-    names = {"wind": "spine", "edges": "edge", "pinch": "bottom", "water": "water"}
+    pinch, found = _pinches(cells)
+    pos = lattice.travel_parts(cells.select("row", "col", "height"), "height", 5, SIZE, SIZE).select("row", "col", "pos")
+    gate = keep(saddles.spine_gate(keep(pos), "pos", found, 10.0).select("row", "col", "gate"))
+    warm = keep(lattice.thermal(cells.select("row", "col", "height"), "height", 10.0, SIZE, SIZE, 3.0, radius=100.0).select("row", "col", "thermal"))
+    air = keep(site.wind(keep(_terrain(cells)), "height", 10.0, 240.0, 0.6).select("row", "col", "wind"))
+    site_ = keep(cells.join(edge, ["row", "col"]).join(pinch, ["row", "col"]).join(gate, ["row", "col"]).join(warm, ["row", "col"]).join(air, ["row", "col"]).join(water, ["row", "col"]).join(parts, ["row", "col"]).join(slope, ["row", "col"]).join(walk, ["row", "col"]))
+    full = site_.withColumn("travel", site.travel(F.col("bottom"), F.col("spine"), F.col("grade"), F.col("gate"), F.col("thermal")))
+    names = {"wind": "wind", "edges": "edge", "pinch": "pinch", "water": "water"}
     full = full.withColumn("spot", S.spot_score(names, "travel") * S.habitat("edge", "water"))
     scored_ = lattice.gaussian(keep(full.select("row", "col", "spot", "lake", "public", "walk_m", *names.values(), "travel")), "spot", 2.0, SIZE, SIZE)
     usable = ~F.col("lake") & (F.coalesce("walk_m", F.lit(1e9)) <= S.METRES_PER_MILE)
