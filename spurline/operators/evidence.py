@@ -281,7 +281,7 @@ def robust_spread(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     """Per `by`: 1.4826 times the median distance from the median of the finite values, or 1 where that is 0 or there are none."""
     sound = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (F.abs(F.col(value)) < F.lit(float("inf"))))
     middle = quantiles(sound, value, [0.5], by).select(*by, F.col(value).alias("middle"))
-    away = (sound.join(F.broadcast(middle), list(by)) if by else sound.crossJoin(F.broadcast(middle))).withColumn("away", F.abs(F.col(value) - F.col("middle")))
+    away = (sound.join(middle, list(by)) if by else sound.crossJoin(F.broadcast(middle))).withColumn("away", F.abs(F.col(value) - F.col("middle")))
     found = quantiles(away, "away", [0.5], by).select(*by, (1.4826 * F.col("away")).alias("spread"))
     every = df.select(*by).distinct().join(found, list(by), "left") if by else df.sparkSession.range(1).select().crossJoin(F.broadcast(found.agg(F.first("spread").alias("spread"))))
     return every.select(*by, F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0).alias("spread"))

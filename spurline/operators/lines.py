@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spurline.operators.evidence import robust_spread
 from spurline.operators.graph import regions, sized_regions
-from spurline.operators.ranks import numbered, quantiles
+from spurline.operators.ranks import numbered
 from spurline.operators.squares import Grids, bilinear, haloed, inner, smoothed
 from spurline.operators.store import keep, written
 
@@ -96,14 +97,6 @@ def responses(df: DataFrame, z: str, by: Sequence[str] = (), s: Worn = Worn(), t
     return haloed(df, [z], run, kinds, MARGIN, "odd", by, tile)
 
 
-def noise(found: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """by and noise: 1.4826 times the median distance from the median of value, exact; 1 where that is 0 or nothing is there."""
-    middle = quantiles(found, value, [0.5], by).select(*by, F.col(value).alias("middle_"))
-    off = (found.join(middle, list(by)) if by else found.crossJoin(F.broadcast(middle))).select(*by, F.abs(F.col(value) - F.col("middle_")).alias("off_"))  # without by one row
-    spread = 1.4826 * F.col("off_")
-    return quantiles(off, "off_", [0.5], by).select(*by, F.when(spread > 0, spread).otherwise(1.0).alias("noise"))
-
-
 def strengths(df: DataFrame, z: str, inside: str, by: Sequence[str] = (), s: Worn = Worn(), tile: int = 512) -> DataFrame:
     """by, row, col, strength (in units of the noise, 0 where a test fails or outside) and direction of the trough at each cell.
 
@@ -112,8 +105,8 @@ def strengths(df: DataFrame, z: str, inside: str, by: Sequence[str] = (), s: Wor
     """
     found = keep(responses(df, z, by, s, tile).join(df.select(*by, "row", "col", z, F.coalesce(F.col(inside), F.lit(False)).alias("in_")), [*by, "row", "col"]))
     for k in range(len(s.across)):
-        units = noise(found.where("in_"), f"best{k}", by).withColumnRenamed("noise", f"noise{k}")
-        found = found.join(units, list(by), "left") if by else found.crossJoin(F.broadcast(units))  # without by one row
+        units = robust_spread(found.where("in_"), f"best{k}", by).withColumnRenamed("spread", f"noise{k}")
+        found = found.join(units, list(by), "left") if by else found.join(F.broadcast(units), F.lit(True), "left")  # without by one row, or none
     # the first of equal scales wins
     scaled = [F.struct((F.col(f"best{k}") / F.coalesce(f"noise{k}", F.lit(1.0))).alias("v"), F.lit(-k).alias("k"), F.col(f"dir{k}").alias("d")) for k in range(len(s.across))]
     best = F.greatest(*scaled) if len(scaled) > 1 else scaled[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -51,7 +52,7 @@ def snapped(df: DataFrame, score: str, usable: str, sigma: float, spacing: int,
     """
     smooth = gaussian(df.select(*by, "row", "col", usable, score, F.col(score).alias("smooth_")), "smooth_", sigma, height, width, by=by)
     best_of = smooth.where(usable).groupBy(*by).agg(F.max("smooth_").alias("top_"))
-    limited = (smooth.join(F.broadcast(best_of), list(by)) if by else smooth.crossJoin(F.broadcast(best_of))).withColumn("at_", F.when(F.col(usable), F.col("smooth_")))
+    limited = (smooth.join(best_of, list(by)) if by else smooth.crossJoin(F.broadcast(best_of))).withColumn("at_", F.when(F.col(usable), F.col("smooth_")))
     tops = peaks(limited, "at_", spacing, None, by).where(F.col("at_") > threshold("top_"))
     tops = best(tops, "at_", times * most, by).select(*by, F.col("row").alias("r_"), F.col("col").alias("c_"), F.col("at_").alias("peak"))
     moves = F.explode(F.sequence(F.lit(-snap), F.lit(snap)))
@@ -107,7 +108,7 @@ def share_above(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"))
     placed = keep(summed_before(counts, [F.col(value)], {"low_": F.col("n_")}, by))
     total = placed.groupBy(*by).agg(F.sum("n_").alias("all_"))
-    shares = (placed.join(F.broadcast(total), list(by)) if by else placed.crossJoin(F.broadcast(total))).select(*by, value, ((F.col("low_") + 0.5 * F.col("n_")) / F.col("all_")).alias("position"))
+    shares = (placed.join(total, list(by)) if by else placed.crossJoin(F.broadcast(total))).select(*by, value, ((F.col("low_") + 0.5 * F.col("n_")) / F.col("all_")).alias("position"))
     return df.join(shares, [*by, value], "left")
 
 
@@ -120,3 +121,27 @@ def ranked_among(points: DataFrame, spots: DataFrame, key: str, score: str, leas
     above = summed_before(both, [-F.col("s_")], {"higher_": F.col("k_")}).select(F.col("s_").alias(score), "higher_")
     out = points.join(above, score, "left").crossJoin(F.broadcast(n))
     return out.withColumn("fraction", F.when(F.col("n_") > 0, F.least(F.lit(1.0), (F.col("higher_") + 1) / F.col("n_")))).drop("higher_", "n_")
+
+
+def standing(points: DataFrame, df: DataFrame, key: str, score: str, cell: float, height: int, width: int, pin: float = 15.0, spacing: float = 150.0, local: float = 1000.0) -> DataFrame:
+    """Where points (key, row, col) stand among the spots of an area: adds fraction, of spots that score as well, and better, how many better ones are between 2 pin and local metres off.
+
+    df: all cells with their score. Spots are peaks of the smoothed score at least `spacing` apart; a point counts as the best smoothed cell within pin metres of it. Points meet the spots of their own and the eight neighbouring squares of width local:
+    spots keep their distance, so a point meets at most some 9 (local / spacing)^2 of them however many points there are. Without spots there is a null fraction.
+    """
+    smooth = keep(gaussian(df.select("row", "col", F.col(score).cast("double").alias("v_")), "v_", max(0.5, 6 / cell), height, width).withColumn("v_", F.round("v_", 9)))
+    spots = keep(peaks(smooth, "v_", max(1, int(spacing / cell)), 1e-6))
+    at, k = smooth, max(1, int(pin / cell))
+    for axis, other in (("col", "row"), ("row", "col")):
+        at = at.withColumn("v_", F.max("v_").over(Window.partitionBy(other).orderBy(axis).rowsBetween(-k, k)))
+    placed = keep(points.select(key, "row", "col").join(at, ["row", "col"]))
+    ranked = ranked_among(placed.select(F.col(key), F.col("v_").alias("s")), spots.select(F.col("v_").alias("s")), key, "s").select(key, "fraction")
+    step = max(1, math.ceil(local / cell))
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    square = lambda c: F.floor(F.col(c) / step).cast("long")
+    spread = spots.select(F.col("row").alias("r_"), F.col("col").alias("c_"), F.col("v_").alias("s_"), square("row").alias("sr"), square("col").alias("sc")).withColumn("dr", near).withColumn("dc", near)
+    spread = spread.select("r_", "c_", "s_", (F.col("sr") + F.col("dr")).alias("sr"), (F.col("sc") + F.col("dc")).alias("sc"))
+    d = F.hypot(F.col("r_") - F.col("row"), F.col("c_") - F.col("col")) * cell
+    met = placed.withColumns({"sr": square("row"), "sc": square("col")}).join(spread, ["sr", "sc"]).where((d <= local) & (d > 2 * pin) & (F.col("s_") > F.col("v_")))
+    better = met.groupBy(key).agg(F.count(F.lit(1)).alias("better"))
+    return points.join(ranked, key, "left").join(better, [key], "left").withColumn("better", F.coalesce("better", F.lit(0).cast("long")))

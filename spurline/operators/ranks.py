@@ -41,7 +41,7 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
     totals = placed.groupBy(*by).agg(F.sum("n_").alias("total_"))
     wanted = F.explode(F.array(*map(F.lit, map(float, at))))
     asked = totals.withColumn("q", wanted).withColumn("place_", F.col("q") * (F.col("total_") - 1)).withColumn("k_", F.explode(F.array_distinct(F.array(F.floor("place_"), F.ceil("place_")))))
-    joined = placed.join(F.broadcast(asked), list(by)) if by else placed.crossJoin(F.broadcast(asked))  # at most two rows for each share
+    joined = placed.join(asked, list(by)) if by else placed.crossJoin(F.broadcast(asked))  # without by at most two rows for each share
     found = joined.where((F.col("low_") <= F.col("k_")) & (F.col("k_") < F.col("low_") + F.col("n_")))
     share = F.max("place_") - F.floor(F.max("place_"))
     low, high = F.min_by(value, "k_"), F.max_by(value, "k_")

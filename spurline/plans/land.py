@@ -186,13 +186,17 @@ def spot_lists(spark, sf):
     return picks.two_lists(df, "score", "public", "private", 1.2, 3, 2, 12.0, 3, SIZE, SIZE, 10).select("name", "rank", "zone", "row", "col", r6("score").alias("score"))
 
 
-@query("with {LATTICE}, " + FACTORS + """, s as (select score from scored where row % 8 = 4 and col % 8 = 4), p as (select row * 64 + col as id, score from scored where hit)
-select cast(id as int) as id, round(least(1, ((select count(*) from s where s.score > p.score) + 1) / (select count(*) from s)::double), 6) as fraction from p""")
+@query("with {LATTICE}, " + FACTORS + ", sc as (select row, col, score as z from scored), " + gauss_sql("bl", "sc", 0.5, 64, 64) + """, sm as (select row, col, round(z, 9) as z from bl),
+o as (select a.row, a.col, a.z, max(b.z) as high, bool_or(b.z = a.z and (b.row < a.row or (b.row = a.row and b.col < a.col))) as later from sm a join sm b on abs(a.row - b.row) <= 3 and abs(a.col - b.col) <= 3 group by 1, 2, 3),
+pk as (select row, col, z from o where z = high and not later and z > 1e-6), pm as (select a.row, a.col, max(b.z) as v from sm a join sm b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 group by 1, 2),
+p as (select s.row * 64 + s.col as id, s.row, s.col, v from scored s join pm using (row, col) where hit)
+select cast(id as int) as id, round(least(1, ((select count(*) from pk where pk.z > p.v) + 1) / (select count(*) from pk)::double), 6) as fraction,
+ (select count(*) from pk where pk.z > p.v and sqrt((pk.row - p.row) ** 2 + (pk.col - p.col) ** 2) * 50 > 30 and sqrt((pk.row - p.row) ** 2 + (pk.col - p.col) ** 2) * 50 <= 1000) as better from p""")
 def spot_ranks(spark, sf):
-    """Where cells of one kind stand among an area's spots."""
+    """Where cells of one kind stand among an area's spots, and how many better spots are near."""
     df = keep(scored(spark, sf).select("row", "col", "hit", "score"))
-    pins = df.where("hit").select((F.col("row") * SIZE + F.col("col")).cast("int").alias("id"), "score")
-    return picks.ranked_among(pins, df.where("row % 8 = 4 and col % 8 = 4"), "id", "score").select("id", r6("fraction").alias("fraction"))
+    pins = df.where("hit").select((F.col("row") * SIZE + F.col("col")).cast("int").alias("id"), "row", "col")
+    return picks.standing(pins, df, "id", "score", 50.0, SIZE, SIZE).select("id", r6("fraction").alias("fraction"), "better")
 
 
 @query("""with f as (select user_id, ts, event_id, value * 10 as x, cast(json_extract_string(props, '$.k') as double) * 25 as y from events), s as (select s_suppkey as id, (s_suppkey * 37 % 500) * 10.0 as x, (s_suppkey * 13 % 100) * 25.0 as y from supplier),

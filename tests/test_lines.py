@@ -84,10 +84,9 @@ def test_worn_lines(spark):
     assert [r[0] for r in rows.select(lines.bank(lines.Worn())).collect()] == [True, False, True, False]
 
 
-def test_noise(spark):
-    df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 3.0, 4.0, 100.0)] + [(2, 5.0)] * 3 + [(2, None)], "area long, v double")
-    got = {r["area"]: r["noise"] for r in lines.noise(df, "v", ["area"]).collect()}
-    assert got == {1: pytest.approx(1.4826), 2: 1.0}
+def test_nothing_inside(spark):
+    df = frame(spark, np.random.default_rng(1).normal(0, 1, (12, 12))).selectExpr("row", "col", "z", "false as inside")
+    assert {r["strength"] for r in lines.strengths(df, "z", "inside").collect()} == {0.0}
 
 
 def blob(rng, h, w):
