@@ -232,8 +232,12 @@ def traced(skeleton: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     both = keep(there.unionByName(there.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
     # where just two steps meet the one goes on as the other
     ends = both.groupBy(*by, "a").agg(F.collect_list("b").alias("to")).where(F.size("to") == 2)  # at most eight
-    turn = lambda i, j: F.struct(*by, F.element_at("to", i).alias("a"), F.col("a").alias("b")), lambda i, j: F.struct(*by, F.col("a").alias("a"), F.element_at("to", j).alias("b"))
-    follow = ends.withColumn("pair", F.explode(F.array(*(F.struct(turn[0](i, j).alias("id"), turn[1](i, j).alias("next")) for i, j in ((1, 2), (2, 1)))))).select("pair.*")
+
+    def turn(i: int, j: int) -> Column:
+        before, after = F.struct(*by, F.element_at("to", i).alias("a"), F.col("a").alias("b")), F.struct(*by, F.col("a"), F.element_at("to", j).alias("b"))
+        return F.struct(before.alias("id"), after.alias("next"))
+
+    follow = ends.select(F.explode(F.array(turn(1, 2), turn(2, 1))).alias("turn")).select("turn.*")
     edges = keep(both.select(place.alias("id")).join(follow, "id", "left"))
     found = keep(_followed(edges))
 
