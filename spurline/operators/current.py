@@ -105,7 +105,7 @@ def potentials(df: DataFrame, resistance: str, by: Sequence[str] = (), tile: int
     areas = keep(sizes.withColumn("place", F.xxhash64(*by) if by else F.lit(0).cast("long")))
     sized = cells.join(F.broadcast(areas), list(by)) if by else cells.crossJoin(F.broadcast(areas))
     leaves = keep(sized.withColumns({"tr": tile_of(F.col("row"), tile), "tc": tile_of(F.col("col"), tile)}).select("place", "height", "width", "row", "col", "tr", "tc", "left", "right", "up", "down"))
-    most = leaves.agg(F.max(F.greatest("tr", "tc"))).first()[0]
+    most = leaves.agg(F.max(F.greatest("tr", "tc"))).first()[0] or 0  # none without cells
 
     def leaf(part: pd.DataFrame) -> pd.DataFrame:
         h, w = int(part["height"].iloc[0]), int(part["width"].iloc[0])
