@@ -32,7 +32,7 @@ class Settings:
     order: int = 3
     base: float = 2.0
     probes: int = 7
-    strength: float = 4.0
+    strength: float = 30.0
 
 
 @dataclass(frozen=True)
