@@ -311,3 +311,21 @@ def test_walks_keep_off_closed_ground(spark):
     got = {(r["row"], r["col"]): r for r in site.walks(frame(spark, slope=np.zeros(shape), road=road, closed=closed), "slope", "road", "closed", 10.0, tile=4).collect()}
     assert got[0, 3]["walk_m"] is None and got[2, 0]["walk_s"] == 0 and abs(got[2, 2]["walk_m"] - 20) < 1e-9
     assert abs(got[2, 6]["walk_m"] - (20 + 40 * math.sqrt(2))) < 1e-6 and abs(got[2, 2]["walk_s"] - 20 * 3.6 / (6 * math.exp(-3.5 * 0.05))) < 1e-6
+
+
+def test_means_round_as_sql_rounds_them(spark):
+    """Halves that a sum missed by its last bit go up as in SQL, zero keeps its sign, and means don't hang on how rows are dealt out."""
+    df = spark.createDataFrame([(0.41249999999999998,), (0.0624999999999999999,), (1.0004999999999997,), (-0.0002,), (-0.0005,), (float("nan"),), (None,)], "x double")
+    got = [r["x"] for r in df.select(evidence.half_away("x", 3).alias("x")).collect()]
+    assert repr(got) == "[0.413, 0.063, 1.0, -0.0, -0.001, nan, None]"
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, float(v), 10, 200.0 * (i % 2)) for i, v in enumerate(rng.uniform(0, 1, 900))]
+    want = {}
+    for _, k, v, _, _ in rows:
+        want[k] = want.get(k, 0.0) + v
+    for parts in (1, 7):
+        dealt = spark.createDataFrame(rows, "at long, kind int, rank double, k int, step double").orderBy(F.desc("at")).repartition(parts)
+        for r in evidence.summaries(dealt, ["kind"], order="at").collect():
+            assert r["rank"] == math.floor(want[r["kind"]] / 300 * 1000 + 0.5) / 1000 and r["moving"] == 150
+    sides = [spark.createDataFrame([(i, 20, v) for i, v in enumerate(vs)], "key int, n int, value double") for vs in ([0.5, 0.4, 0.3], [0.5, 0.4, 0.301])]
+    assert str(evidence.compared(*sides, "key", "value").first()["mean_diff"]) == "-0.0"
