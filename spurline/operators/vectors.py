@@ -63,14 +63,15 @@ def centroids(rings: DataFrame, ring: str) -> DataFrame:
 def nearest_within(points: DataFrame, others: DataFrame, key: str, x: str, y: str, reach: float, order: str) -> DataFrame:
     """Adds to each point the nearest of others (order, x, y) closer than reach: near (its order) and distance, null without one; the first in order wins ties.
 
-    Points meet those of their own and the neighbouring squares of a lattice of width reach.
+    Points meet those of their own and the neighbouring squares of a lattice of width reach. Of others at one place the first in order stands for all, and pairs are cut to the nearest place of a point before they are shuffled.
     """
     square = lambda c: F.floor(F.col(c) / reach).cast("long")
     around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    spread = others.select(F.col(order).alias("near"), F.col(x).alias("x_"), F.col(y).alias("y_"), square(x).alias("sx"), square(y).alias("sy")).withColumn("dx", around).withColumn("dy", around)
+    places = others.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x_"), F.col(y).alias("y_")).agg(F.min(order).alias("near"))
+    spread = places.withColumns({"sx": square("x_"), "sy": square("y_")}).withColumn("dx", around).withColumn("dy", around)
     spread = spread.select("near", "x_", "y_", (F.col("sx") + F.col("dx")).alias("sx"), (F.col("sy") + F.col("dy")).alias("sy"))
     d = F.hypot(F.col("x_") - F.col(x), F.col("y_") - F.col(y))
-    met = points.withColumns({"sx": square(x), "sy": square(y)}).join(spread, ["sx", "sy"]).withColumn("distance", d).where(F.col("distance") < reach)
+    met = points.select(key, x, y, square(x).alias("sx"), square(y).alias("sy")).join(spread, ["sx", "sy"]).withColumn("distance", d).where(F.col("distance") < reach)
     best = met.groupBy(key).agg(F.min(F.struct("distance", "near")).alias("best"))
     return points.join(best, key, "left").withColumns({"near": F.col("best.near"), "distance": F.col("best.distance")}).drop("best")
 

@@ -329,3 +329,17 @@ def test_means_round_as_sql_rounds_them(spark):
             assert r["rank"] == math.floor(want[r["kind"]] / 300 * 1000 + 0.5) / 1000 and r["moving"] == 150
     sides = [spark.createDataFrame([(i, 20, v) for i, v in enumerate(vs)], "key int, n int, value double") for vs in ([0.5, 0.4, 0.3], [0.5, 0.4, 0.301])]
     assert str(evidence.compared(*sides, "key", "value").first()["mean_diff"]) == "-0.0"
+
+
+def test_nearest_of_many_at_one_place(spark):
+    """Others at one place are one before they meet the points, so the pairs don't grow with copies of a place; the first in order stands for it."""
+    rng = np.random.default_rng(9)
+    places = [(float(x), float(y)) for x, y in rng.integers(0, 6, (12, 2)) * 10]
+    others = [(i, *places[(i * 7) % 12]) for i in range(400, 0, -1)] + [(401, None, 1.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-5, 60, (80, 2)))] + [(900, None, 2.0)]
+    found = vectors.nearest_within(spark.createDataFrame(points, "key long, x double, y double"), spark.createDataFrame(others, "id long, x double, y double"), "key", "x", "y", 12.0, "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    got = {r["key"]: (r["distance"], r["near"]) for r in found.collect()}
+    for k, x, y in points:
+        near = min(((math.hypot(u - x, v - y), i) for i, u, v in others if u is not None and x is not None and math.hypot(u - x, v - y) < 12), default=(None, None))
+        assert got[k] == near
