@@ -294,23 +294,24 @@ def ended(deployments: DataFrame, checks: DataFrame, key: str) -> DataFrame:
 
 
 def half_away(x: Column | str, places: int) -> Column:
-    """x rounded as SQL rounds doubles: x * 10^places to the nearest whole, halves away from zero, and a negative x that rounds to zero keeps its sign. F.round goes by the decimal digits of x instead, so they part at halves that a sum missed by its last bit."""
+    """x rounded as SQL rounds doubles: x * 10^places to the nearest whole, halves away from zero, and zero keeps the sign of x. F.round goes by the decimal digits of x instead, so they part at halves that a sum missed by its last bit."""
     x, p = (F.col(x) if isinstance(x, str) else x), 10.0**places
     size = F.floor(F.abs(x) * p + 0.5).cast("double") / p
-    return F.when(F.abs(x) * p < 2.0**52, F.when(x < 0, -size).otherwise(size)).otherwise(x)
+    return F.when(F.abs(x) * p < 2.0**52, F.when(x < 0, -size).when(x == 0, x).otherwise(size)).otherwise(x)
 
 
 def summaries(ranks: DataFrame, by: Sequence[str], least: float = 100.0, order: str | None = None) -> DataFrame:
     """ranks: rank, k (available points), step. Per `by`: n, mean rank, p by the normal approximation with each stratum's own k, and the same mean of the steps of at least `least`.
 
-    With order, a column without ties, ranks are added up in it, so that means which are halves at the third place round alike however the rows are dealt out; that sorts each group, so it is for groups of few rows.
+    With order, ranks are added up in it (null first, ties by rank), so that means which are halves at the third place round alike however the rows are dealt out; that sorts each group, so it is for groups of few rows.
     """
     moving = F.col("step") >= least
     mean, moving_mean = F.avg("rank"), F.avg(F.when(moving, F.col("rank")))
     if order is not None:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = ranks.withColumns({"sum_": F.sum("rank").over(w), "moving_sum_": F.sum(F.when(moving, F.col("rank"))).over(w)})
-        mean, moving_mean = (F.try_divide(F.max_by(c, order), F.count(r)) for c, r in (("sum_", F.col("rank")), ("moving_sum_", F.when(moving, F.col("rank")))))
+        w = Window.partitionBy(*by).orderBy(order, "rank")
+        w_sum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranks = ranks.withColumns({"at_": F.row_number().over(w), "sum_": F.sum("rank").over(w_sum), "moving_sum_": F.sum(F.when(moving, F.col("rank"))).over(w_sum)})
+        mean, moving_mean = (F.try_divide(F.max_by(c, "at_"), F.count(r)) for c, r in (("sum_", F.col("rank")), ("moving_sum_", F.when(moving, F.col("rank")))))
     out = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"), F.sum((F.col("k") + 2) / (12.0 * F.col("k"))).alias("v"), F.count_if(moving).alias("moving"), moving_mean.alias("moving_rank"))
     return out.select(*by, "n", half_away("mean", 3).alias("rank"), F.round(normal_tail((F.col("mean") - 0.5) / (F.sqrt("v") / F.col("n"))), 4).alias("p"), "moving", half_away("moving_rank", 3).alias("moving_rank"))
 

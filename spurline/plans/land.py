@@ -358,7 +358,7 @@ def score_comparison(spark, sf):
     from pyspark.sql import Window
 
     a = evidence.summaries(ranks(spark, sf), ["user_id", "event_type"], order="event_id").withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    before = a.withColumn("rank", F.lag("rank").over(Window.partitionBy("user_id").orderBy("event_type"))).select("key", "rank")
+    before = a.withColumn("rank", F.lag("rank").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("event_type")))).select("key", "rank")
     return evidence.compared(a, before, "key", "rank", ["event_type"], 5)
 
 

@@ -343,3 +343,24 @@ def test_nearest_of_many_at_one_place(spark):
     for k, x, y in points:
         near = min(((math.hypot(u - x, v - y), i) for i, u, v in others if u is not None and x is not None and math.hypot(u - x, v - y) < 12), default=(None, None))
         assert got[k] == near
+
+
+def test_means_hold_where_the_order_has_ties_or_nulls(spark):
+    """Ranks that tie in the order add up alike however they are dealt out, and ranks without a place in it count."""
+    vs = (0.10442, 0.19412000000000001, 0.66596)
+    for at in (7, None):
+        for dealt in (vs, (vs[2], vs[0], vs[1])):
+            df = spark.createDataFrame([(at, 0, v, 10, 200.0) for v in dealt], "at long, kind int, rank double, k int, step double").coalesce(1)
+            got = evidence.summaries(df, ["kind"], order="at").first()
+            assert (got["n"], got["rank"], got["moving_rank"]) == (3, 0.322, 0.322)
+    assert str(spark.createDataFrame([(-0.0,)], "x double").select(evidence.half_away("x", 3)).first()[0]) == "-0.0"
+
+
+def test_scores_compare_events_without_a_kind_last(spark, tmp_path):
+    """Kinds in SQL's order: click before view, none after both; events without an id count."""
+    from spurline.plans import land
+
+    rows = [(None if u == 2 else i, u, kind, v) for u in (1, 2) for kind, v in (("click", 50.0), ("view", 100.0), (None, 75.0)) for i in range(5)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_type"]: (r["pairs"], r["better"], r["worse"], r["mean_diff"]) for r in land.QUERIES["score_comparison"](spark, str(tmp_path)).collect()}
+    assert got == {"view": (2, 2, 0, 0.1), None: (2, 0, 2, -0.05)}
