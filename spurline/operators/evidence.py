@@ -324,9 +324,12 @@ def across(animals: DataFrame, by: Sequence[str], value: str, least: int = 20) -
     return (middle.join(tested, list(by)) if by else middle.crossJoin(tested)).withColumn("p", F.when(F.col("above") + F.col("below") > 0, F.col("p")))
 
 
-def compared(one: DataFrame, other: DataFrame, key: str, value: str, by: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """one, other: key, n, value. Per `by`, of the keys in both with at least `least` strata in one: where one is better and worse, the mean difference, and the two-sided sign test."""
-    both = one.where(F.col("n") >= least).join(other.select(key, F.col(value).alias("value_b")), key).where(F.col(value).isNotNull() & F.col("value_b").isNotNull())
+def compared(one: DataFrame, other: DataFrame, key: str, value: str, by: Sequence[str] = (), least: int = 20, unranked: bool = False) -> DataFrame:
+    """one, other: key, n, value. Per `by`, of the keys in both with at least `least` strata in one: where one is better and worse, the mean difference, and the two-sided sign test.
+
+    Keys without a value are no pairs; with unranked, those that lack it in one alone count as pairs, neither better nor worse.
+    """
+    both = one.where(F.col("n") >= least).join(other.select(key, F.col(value).alias("value_b")), key).where((F.lit(unranked) | F.col(value).isNotNull()) & F.col("value_b").isNotNull())
     d = F.col(value) - F.col("value_b")
     out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), half_away(F.avg(d), 3).alias("mean_diff"))
     n = F.col("better") + F.col("worse")

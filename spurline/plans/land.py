@@ -331,7 +331,9 @@ TAIL = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n *
 
 
 def ranks(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", (F.col("value") / 500).alias("rank"), (F.col("event_id") % 6 + 10).alias("k"), F.col("value").alias("step"))
+    """A stratum an event, and its place in the table: the order in which SQL adds up."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    return table(spark, sf, "events").select(place, "user_id", "event_type", (F.col("value") / 500).alias("rank"), (F.col("event_id") % 6 + 10).alias("k"), F.col("value").alias("step"))
 
 
 @query(f"""with {RANKS}, s as (select event_type, count(*) as n, avg(rank) as m, sum((k + 2) / (12.0 * k)) as v, count(*) filter (step >= 100) as moving, avg(rank) filter (step >= 100) as mr from rk group by 1),
@@ -346,7 +348,7 @@ def rank_summary(spark, sf):
 g as (select event_type, count(*) as animals, round(median(rank), 3) as median, count(*) filter (rank > 0.5) as w, count(*) filter (rank < 0.5) as b from ok group by 1), x as (select *, w + b as n from g)
 select event_type, animals, median, cast(w as int) as above, cast(b as int) as below, case when n > 0 then round({TAIL}, 5) end as p from x""")
 def across_animals(spark, sf):
-    animals = evidence.summaries(ranks(spark, sf), ["user_id", "event_type"], order="event_id")
+    animals = evidence.summaries(ranks(spark, sf), ["user_id", "event_type"], order="place")
     return evidence.across(animals, ["event_type"], "rank", 8).select("event_type", "animals", "median", "above", "below", F.round("p", 5).alias("p"))
 
 
@@ -357,9 +359,9 @@ def score_comparison(spark, sf):
     """A user's rank in one kind of event against that in the kind before it."""
     from pyspark.sql import Window
 
-    a = evidence.summaries(ranks(spark, sf), ["user_id", "event_type"], order="event_id").withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    a = evidence.summaries(ranks(spark, sf), ["user_id", "event_type"], order="place").withColumn("key", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
     before = a.withColumn("rank", F.lag("rank").over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("event_type")))).select("key", "rank")
-    return evidence.compared(a, before, "key", "rank", ["event_type"], 5)
+    return evidence.compared(a, before, "key", "rank", ["event_type"], 5, unranked=True)
 
 
 @query(f"""with ch as (select unnest([0.6, 0.7, 0.8, 0.9]) as chance), n as (select unnest(range(1, 201)) as n), k as (select n, unnest(range(0, n + 1)) as w from n), s as (select n, min(w) as least from (select n, w, {TAIL} as p from k) where p <= 0.05 group by n),

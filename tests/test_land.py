@@ -5,6 +5,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +366,34 @@ def test_scores_compare_events_without_a_kind_last(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_type"]: (r["pairs"], r["better"], r["worse"], r["mean_diff"]) for r in land.QUERIES["score_comparison"](spark, str(tmp_path)).collect()}
     assert got == {"view": (2, 2, 0, 0.1), None: (2, 0, 2, -0.05)}
+
+
+def test_scores_add_up_in_the_order_of_the_table(spark, tmp_path):
+    """Means that are halves go up or down by the order of addition: it is that of the rows, file by file, whatever their ids. A pair without an own value is a pair."""
+    from spurline.plans import land
+
+    rng = np.random.default_rng(12)
+    kinds, groups = ("click", "view"), []
+    for user in range(300):
+        total = 300 * int(rng.integers(200, 400)) + 150
+        for kind in kinds:
+            cents = rng.multinomial(total, rng.dirichlet(np.ones(6)))
+            groups += [(user, kind, int(c) / 100) for c in cents]
+    rows = [groups[i] for i in rng.permutation(len(groups))] + [(300, k, v) for k, v in (("click", 10.0), ("view", None)) for _ in range(5)]
+
+    def by_hand(order):
+        sums = {}
+        for user, kind, v in order:
+            if v is not None:
+                sums[user, kind] = sums.get((user, kind), 0.0) + v / 500
+        mean = {k: math.floor(x / 6 * 1000 + 0.5) / 1000 for k, x in sums.items() if k[0] < 300}
+        return tuple(sum(sign * (mean[u, "view"] - mean[u, "click"]) > 0 for u in range(300)) for sign in (1, -1))
+
+    (tmp_path / "events.parquet").mkdir()
+    ids = np.arange(len(rows))[::-1]
+    for name, part in (("a", slice(0, 900)), ("b", slice(900, None))):
+        columns = list(zip(*rows[part]))
+        pq.write_table(pa.table({"event_id": pa.array(ids[part]), "user_id": pa.array(columns[0], pa.int64()), "event_type": pa.array(columns[1]), "value": pa.array(columns[2], pa.float64())}), tmp_path / f"events.parquet/{name}.parquet")
+    got = land.QUERIES["score_comparison"](spark, str(tmp_path)).collect()
+    assert [(r["event_type"], r["pairs"], r["better"], r["worse"]) for r in got] == [("view", 301, *by_hand(rows))]
+    assert by_hand(rows) != by_hand(rows[::-1])
